@@ -36,10 +36,10 @@ def parse_time_text(text: Column, bucket_clock: str = "utc") -> Column:
     return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
 
 
-def payload_time(value: Column, bucket_clock: str = "utc", numeric_unit: str = "ms") -> Column:
+def payload_time(value: Column, kind: Column, bucket_clock: str = "utc", numeric_unit: str = "ms") -> Column:
     """VARIANT text or number -> TIMESTAMP; NULL for anything else."""
     micros = (value.try_cast("double") * F.lit(_MICROS_PER[numeric_unit])).try_cast("bigint")
     return (
-        F.when(V.kind(value) == "STRING", parse_time_text(F.trim(V.as_text(value)), bucket_clock))
-        .when(V.is_numeric(value), F.timestamp_micros(micros))
+        F.when(kind == "STRING", parse_time_text(F.trim(V.as_text(value)), bucket_clock))
+        .when(V.is_numeric(kind), F.timestamp_micros(micros))
     )

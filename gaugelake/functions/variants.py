@@ -41,18 +41,17 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_numeric(value: Column) -> Column:
+def is_numeric(kind: Column) -> Column:
     """True for JSON numbers only: neither booleans nor numbers in quotes."""
-    k = kind(value)
-    return k.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | k.startswith("DECIMAL")
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | kind.startswith("DECIMAL")
 
 
-def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+def is_object(kind: Column) -> Column:
+    return kind.startswith("OBJECT")
 
 
-def as_measure(value: Column) -> Column:
-    return F.when(is_numeric(value), value.try_cast("double"))
+def as_measure(value: Column, kind: Column) -> Column:
+    return F.when(is_numeric(kind), value.try_cast("double"))
 
 
 def as_text(value: Column) -> Column:
@@ -60,16 +59,14 @@ def as_text(value: Column) -> Column:
     return value.try_cast("string")
 
 
-def is_truthy(value: Column) -> Column:
+def is_truthy(value: Column, kind: Column) -> Column:
     """Whether a payload value counts as given: not null, "", 0, false, [] or {}."""
-    k = kind(value)
-    text = as_text(value)
     return F.coalesce(
-        F.when(is_numeric(value), value.try_cast("double") != 0)
-        .when(k == "BOOLEAN", value.try_cast("boolean"))
-        .when(k == "VOID", F.lit(False))
-        .when(k.startswith("ARRAY"), text != "[]")
-        .when(k.startswith("OBJECT"), text != "{}")
-        .otherwise(text != ""),
+        F.when(is_numeric(kind), value.try_cast("double") != 0)
+        .when(kind == "BOOLEAN", value.try_cast("boolean"))
+        .when(kind == "VOID", F.lit(False))
+        .when(kind.startswith("ARRAY"), as_text(value) != "[]")
+        .when(kind.startswith("OBJECT"), as_text(value) != "{}")
+        .otherwise(as_text(value) != ""),
         F.lit(False),
     )

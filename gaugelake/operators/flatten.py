@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.constants import CANONICAL_KEYS, NON_MEASURES
 from gaugelake.functions import variants as V
+from gaugelake.functions.barrier import computed_once
 
 FIXED_COLUMNS = (
     "sensor_name", "table_name", "asset_id", "event_time", "time_quality", "topic", "partition",
@@ -34,56 +35,62 @@ def flatten_wide(
     """
     if on_collision not in ("envelope", "payload"):
         raise ValueError(f"on_collision must be envelope or payload, not {on_collision!r}")
+    paths = {**measures, **(attributes or {})}
     data = F.col("data")
-    columns: dict[str, Column] = {c: F.col(c) for c in FIXED_COLUMNS if c in rows.columns}
+    at_value = F.when(F.col("_data_kind").startswith("OBJECT"), V.field(data, "value")).otherwise(data)
+    raw = {name: f"_raw{i}" for i, name in enumerate(paths)}
+    found = rows.withColumn("_data_kind", V.kind(data)).select("*", *[
+        (at_value if list(path) == ["value"] else V.field(data, *path)).alias(raw[name])
+        for name, path in paths.items()
+    ])
+    kinds = found.select("*", *[V.kind(F.col(raw[m])).alias(f"{raw[m]}_kind") for m in measures])
+    flat = computed_once(kinds, **{
+        f"{raw[name]}_out": V.as_measure(F.col(raw[name]), F.col(f"{raw[name]}_kind"))
+        if name in measures else V.as_text(F.col(raw[name]))
+        for name in paths
+    })
 
-    def put(name: str, expr: Column) -> None:
+    columns: dict[str, Column] = {c: F.col(c) for c in FIXED_COLUMNS if c in rows.columns}
+    for name in paths:
+        out = F.col(f"{raw[name]}_out")
         if name not in columns:
-            columns[name] = expr
+            columns[name] = out
         elif on_collision == "envelope":
-            columns[f"payload_{name}"] = expr
+            columns[f"payload_{name}"] = out
         else:
-            kept = columns[name]
-            columns[name] = F.coalesce(expr.try_cast(rows.schema[name].dataType), kept)
+            columns[name] = F.coalesce(out.try_cast(rows.schema[name].dataType), columns[name])
+    return flat.select(*[expr.alias(name) for name, expr in columns.items()])
 
-    for name, path in measures.items():
-        put(name, V.as_measure(_payload_value(data, path)))
-    for name, path in (attributes or {}).items():
-        put(name, V.as_text(_payload_value(data, path)))
-    return rows.select(*[expr.alias(name) for name, expr in columns.items()])
 
+def _with_entries(rows: DataFrame) -> DataFrame:
+    """Add ``_entries``: the payload as array of (key, value), objects one level down as ``{key}_{subkey}``.
 
-def _payload_value(data: Column, path: Sequence[str]) -> Column:
-    value = V.field(data, *path)
-    if list(path) == ["value"]:
-        return F.when(V.is_object(data), value).otherwise(data)
-    return value
+    Names are unique: of two equal ones the first in key order stays.
+    """
+    top = computed_once(rows, _top=F.map_entries(F.col("data").try_cast("map<string,variant>")))
 
+    def opened(e: Column) -> Column:
+        parts = F.transform(
+            F.map_entries(e["value"].try_cast("map<string,variant>")),
+            lambda s: _pair(F.concat(e["key"], F.lit("_"), s["key"]), s["value"]),
+        )
+        single = F.array(_pair(e["key"], e["value"]))
+        # only objects can be cast to a map
+        return F.when(e["key"].isin(*CANONICAL_KEYS), single).otherwise(F.coalesce(parts, single))
 
-def flat_entries(data: Column) -> Column:
-    """Payload -> array of (key, value), objects one level down as ``{key}_{subkey}``.
+    single = F.array(_pair(F.lit("value"), F.col("data")))
+    entries = computed_once(top, _all=F.coalesce(F.flatten(F.transform("_top", opened)), single))
+    named = entries.withColumn("_names", F.transform("_all", lambda e: e["key"]))
+    unique = F.filter("_all", lambda e, i: F.array_position(F.col("_names"), e["key"]) == i.cast("bigint") + 1)
+    return computed_once(named, _entries=unique).drop("_top", "_all", "_names")
 
-    Names stay unique: a plain key wins over a composed one of the same name.
-    """
-    entries = F.map_entries(data.try_cast("map<string,variant>"))
-
-    def opens(e: Column) -> Column:
-        return V.is_object(e["value"]) & ~e["key"].isin(*CANONICAL_KEYS)
-
-    plain = F.filter(entries, lambda e: ~F.coalesce(opens(e), F.lit(False)))
-    composed = F.flatten(
-        F.transform(
-            F.filter(entries, opens),
-            lambda e: F.transform(
-                F.map_entries(e["value"].try_cast("map<string,variant>")),
-                lambda s: F.struct(
-                    F.concat(e["key"], F.lit("_"), s["key"]).alias("key"), s["value"].alias("value")
-                ),
-            ),
-        )
-    )
-    single = F.array(F.struct(F.lit("value").alias("key"), data.alias("value")))
-    return F.when(entries.isNotNull(), F.concat(plain, composed)).otherwise(single)
+
+def _pair(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
+
+
+def _is_measure(e: Column) -> Column:
+    return F.coalesce(V.is_numeric(V.kind(e["value"])), F.lit(False)) & ~e["key"].isin(*NON_MEASURES)
 
 
 def flatten_maps(rows: DataFrame, include_kafka_timestamp: bool = False) -> DataFrame:
@@ -92,50 +99,33 @@ def flatten_maps(rows: DataFrame, include_kafka_timestamp: bool = False) -> Data
     Numbers are measures, also a numeric ``time`` or ``daqid``; everything else is an attribute,
     nested values as JSON text.
     """
-    flat = rows.withColumn("_entries", flat_entries(F.col("data")))
-    names = F.transform("_entries", lambda e: e["key"])
-    unique = flat.withColumn(
-        "_entries",
-        F.filter("_entries", lambda e, i: F.array_position(names, e["key"]) == i.cast("bigint") + 1),
-    )
-
-    def is_measure(e: Column) -> Column:
-        return F.coalesce(V.is_numeric(e["value"]), F.lit(False)) & ~e["key"].isin(*NON_MEASURES)
-
-    def pair(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("key"), value.alias("value"))
-
     measures = F.transform(
-        F.filter("_entries", is_measure), lambda e: pair(e["key"], e["value"].try_cast("double"))
+        F.filter("_entries", _is_measure), lambda e: _pair(e["key"], e["value"].try_cast("double"))
     )
     if include_kafka_timestamp:
-        extra = F.array(pair(F.lit("kafka_timestamp"), F.col("kafka_timestamp").cast("double")))
+        extra = F.array(_pair(F.lit("kafka_timestamp"), F.col("kafka_timestamp").cast("double")))
         measures = F.concat(
             F.filter(measures, lambda e: e["key"] != "kafka_timestamp"),
             F.when(F.col("kafka_timestamp").isNotNull(), extra).otherwise(F.slice(extra, 1, 0)),
         )
     attrs = F.transform(
-        F.filter("_entries", lambda e: ~is_measure(e)), lambda e: pair(e["key"], V.as_text(e["value"]))
+        F.filter("_entries", lambda e: ~_is_measure(e)), lambda e: _pair(e["key"], V.as_text(e["value"]))
     )
     fixed = [c for c in FIXED_COLUMNS if c in rows.columns]
-    return unique.select(
-        *fixed,
-        F.map_from_entries(measures).alias("measures"),
-        F.map_from_entries(attrs).alias("attrs"),
+    return _with_entries(rows).select(
+        *fixed, F.map_from_entries(measures).alias("measures"), F.map_from_entries(attrs).alias("attrs")
     )
 
 
 def explode_measures(flat: DataFrame) -> DataFrame:
     """One row per (message, measure); messages without measures drop out."""
     fixed = [c for c in FIXED_COLUMNS if c in flat.columns]
-    return flat.where(F.size("measures") > 0).select(
-        *fixed, F.explode("measures").alias("measure", "measure_value")
-    ).withColumnRenamed("measure_value", "value")
+    return flat.select(*fixed, F.explode("measures").alias("measure", "value"))
 
 
 def discover_fields(rows: DataFrame) -> DataFrame:
     """Every flattened payload field with its JSON types and row count, in one pass."""
-    entries = rows.select(F.explode(flat_entries(F.col("data"))).alias("e"))
+    entries = _with_entries(rows).select(F.explode("_entries").alias("e"))
     kinds = entries.select(
         F.col("e.key").alias("field"),
         F.regexp_extract(V.kind(F.col("e.value")), "^[A-Z]+", 0).alias("type"),

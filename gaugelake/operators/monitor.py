@@ -47,9 +47,8 @@ def counter_rate(metrics: DataFrame, by: Sequence[str] = ("name",), window: str
     therefore never gathers all samples of a series in one task, only those of one grain.
     """
     grained = metrics.where(F.col("value").isNotNull()).select(
-        *by, "ts", "value",
-        _step("ts", window).alias("window_start"), _step("ts", grain).alias("_grain"),
-    )
+        *by, "ts", "value", _step("ts", window).alias("window_start")
+    ).select("*", _step("ts", grain).alias("_grain"))
     inside = Window.partitionBy(*by, "window_start", "_grain").orderBy("ts")
     per_grain = grained.withColumn("_prev", F.lag("value").over(inside)).groupBy(
         *by, "window_start", "_grain"

@@ -11,6 +11,7 @@ from gaugelake.constants import UNKNOWN_ASSET, UNKNOWN_SENSOR
 from gaugelake.functions import naming as N
 from gaugelake.functions import timing as T
 from gaugelake.functions import variants as V
+from gaugelake.functions.barrier import computed_once
 
 
 def parse_messages(messages: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def parse_messages(messages: DataFrame, ingest_ts: Column | None = None) -> Data
         "value",
         text.alias("text"),
     )
-    parsed = decoded.withColumn("_doc", V.parse_json_strict(F.col("text")))
+    parsed = computed_once(decoded, _doc=V.parse_json_strict(F.col("text")))
     is_json = V.is_document(F.col("_doc"))
     as_value = F.to_variant_object(F.struct(F.col("text").alias("value")))
     return parsed.select(
@@ -75,32 +76,37 @@ def route(
     The first listed field that is given decides. Time quality: ``payload`` (from the payload),
     ``fallback`` (given but unreadable), ``ingest`` (not given).
     """
+    fields = {name: f"_field{i}" for i, name in enumerate(dict.fromkeys((*time_fields, *asset_fields)))}
     data = F.col("data")
-    given = envelopes.select(
-        "*",
-        _first_given(data, time_fields).alias("_time"),
-        _first_given(data, asset_fields).alias("_asset"),
+    found = envelopes.select("*", *[V.field(data, name).alias(c) for name, c in fields.items()])
+    kinds = found.select("*", *[V.kind(F.col(c)).alias(f"{c}_kind") for c in fields.values()])
+
+    def first_given(names: Sequence[str]) -> Column:
+        """The first non-empty field, with its kind."""
+        candidates = [(F.col(fields[n]), F.col(f"{fields[n]}_kind")) for n in names]
+        return F.coalesce(*[
+            F.when(V.is_truthy(value, kind), F.struct(value.alias("value"), kind.alias("kind")))
+            for value, kind in candidates
+        ])
+
+    given = kinds.select("*", first_given(time_fields).alias("_time"), first_given(asset_fields).alias("_asset"))
+    time, asset = F.col("_time"), F.col("_asset")
+    timed = given.withColumn(
+        "_event_time", T.payload_time(time["value"], time["kind"], bucket_clock, numeric_time_unit)
     )
-    resolved = given.withColumn(
-        "_event_time", T.payload_time(F.col("_time"), bucket_clock, numeric_time_unit)
+    asset_text = F.when(asset["kind"] == "BOOLEAN", F.lit("True")).otherwise(V.as_text(asset["value"]))
+    routed = computed_once(
+        timed,
+        event_time=F.coalesce("_event_time", "ingest_ts"),
+        time_quality=F.when(time.isNull(), "ingest").when(F.col("_event_time").isNull(), "fallback").otherwise("payload"),
+        asset_id=F.coalesce(asset_text, F.lit(UNKNOWN_ASSET)),
     )
-    asset = F.when(V.kind(F.col("_asset")) == "BOOLEAN", F.lit("True")).otherwise(V.as_text(F.col("_asset")))
-    return resolved.select(
-        *envelopes.columns,
-        F.coalesce("_event_time", "ingest_ts").alias("event_time"),
-        F.when(F.col("_time").isNull(), "ingest")
-        .when(F.col("_event_time").isNull(), "fallback")
-        .otherwise("payload").alias("time_quality"),
-        F.coalesce(asset, F.lit(UNKNOWN_ASSET)).alias("asset_id"),
+    return routed.select(
+        *envelopes.columns, "event_time", "time_quality", "asset_id",
         N.arrival_order(F.col("partition"), F.col("offset")).alias("arrival_order"),
     )
 
 
-def _first_given(data: Column, names: Sequence[str]) -> Column:
-    fields = [V.field(data, name) for name in names]
-    return F.coalesce(*[F.when(V.is_truthy(f), f) for f in fields])
-
-
 def routed_messages(messages: DataFrame, ingest_ts: Column | None = None, **options) -> DataFrame:
     """Messages straight to accepted, routed rows."""
     rows = route(accepted(parse_messages(messages, ingest_ts)), **options)

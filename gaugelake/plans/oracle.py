@@ -102,7 +102,7 @@ def _stats(columns: list[str]) -> tuple[str, list[str]]:
 
 def _rollup(
     prefix: str, source: str, columns: list[str], level: str, keys: tuple[str, ...] = ("sensor_name", "asset_id"),
-    minute_filter: str = "true", hour_filter: str = "true",
+    minute_filter: str = "true", hour_filter: str = "true", digits: int = 6,
 ) -> str:
     """Nested GROUP BYs from rows up to the given level, rounded at the end."""
     by = ", ".join(keys)
@@ -126,7 +126,7 @@ def _rollup(
             f"min(hour_bucket) AS hour_bucket_first FROM hours WHERE {hour_filter} GROUP BY ALL)"
         )
         bucket, first, final = "day_bucket", "hour_bucket_first", "days"
-    rounded = ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    rounded = ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
     return f"{sql} SELECT {bucket}, {by}, {rounded}, {first} FROM {final}"
 
 
@@ -217,7 +217,7 @@ ORACLES: dict[str, str] = {
     # Rollups
     "agg_minute": _rollup(_VALUES, "measured", ["value"], "minute"),
     "agg_minute_multi": _rollup(_SAMPLES, "samples", _QUANTITIES, "minute"),
-    "agg_minute_long": _rollup(LONG, "long", ["value"], "minute", ("sensor_name", "asset_id", "measure")),
+    "agg_minute_long": _rollup(LONG, "long", ["value"], "minute", ("sensor_name", "asset_id", "measure"), digits=3),
     "agg_hour": _rollup(_VALUES, "measured", ["value"], "hour"),
     "agg_hour_target": _rollup(
         _VALUES, "measured", ["value"], "hour",
@@ -229,7 +229,7 @@ ORACLES: dict[str, str] = {
         _SAMPLES, "samples", ["quantity"], "day", hour_filter="CAST(hour_bucket AS DATE) = DATE '1998-06-15'"
     ),
     "agg_cascade": _rollup(_BOTH, "measured", ["value", "props_k"], "day"),
-    "agg_cascade_sensor": _rollup(_BOTH, "measured", ["value", "props_k"], "day", ("sensor_name",)),
+    "agg_cascade_sensor": _rollup(_BOTH, "measured", ["value", "props_k"], "day", ("sensor_name",), digits=8),
     "set_union_schema": """
         SELECT event_id, floor(value) AS value, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '' AS event_type
         FROM events WHERE event_type IN ('error', 'signup')

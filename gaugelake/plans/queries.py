@@ -157,7 +157,7 @@ def parse_asset(spark, sf_dir):
 
 @query
 def parse_raw_text(spark, sf_dir):
-    rows = P.accepted(parsed(spark, sf_dir)).where(~V.is_object(F.col("data")) | (F.col("parse_status") == "raw_text"))
+    rows = P.accepted(parsed(spark, sf_dir)).where(~V.is_object(V.kind(F.col("data"))) | (F.col("parse_status") == "raw_text"))
     return rows.select(
         "offset", "parse_status",
         F.when(F.col("parse_status") == "raw_text", V.as_text(V.field(F.col("data"), "value")))
@@ -240,7 +240,8 @@ def agg_minute_multi(spark, sf_dir):
 @query
 def agg_minute_long(spark, sf_dir):
     long = FL.explode_measures(FL.flatten_maps(routed(spark, sf_dir)))
-    return rounded(R.minute_rollup(long, ["value"], R.LONG_KEYS))
+    # epoch milliseconds are among the measures: at 6 digits they would leave the exact doubles
+    return rounded(R.minute_rollup(long, ["value"], R.LONG_KEYS), 3)
 
 
 @query
@@ -277,8 +278,12 @@ def agg_cascade(spark, sf_dir):
 
 @query
 def agg_cascade_sensor(spark, sf_dir):
-    """Assets left out: few hot keys with many rows per bucket."""
-    return rounded(R.cascade(wide(spark, sf_dir), list(MEASURES), keys=("sensor_name",)))
+    """Assets left out: few hot keys with many rows per bucket.
+
+    Means over 32 and more values end in a 5 at the seventh digit, where the order of summation
+    would decide the rounding; hence eight digits.
+    """
+    return rounded(R.cascade(wide(spark, sf_dir), list(MEASURES), keys=("sensor_name",)), 8)
 
 
 @query

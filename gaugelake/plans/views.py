@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugelake.constants import TOPIC_PREFIX
-from gaugelake.functions import naming as N
+from gaugelake.functions.barrier import computed_once
+from gaugelake.sources.lake import spread
 
 # Which k stands for which payload fault. The SQL checks use the same numbers.
 NO_TIMESTAMP_TYPE = 3
@@ -43,7 +44,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = events(spark, sf_dir).withColumn("k", F.from_json("props", EVENT_KEY)["k"])
+    source = computed_once(spread(events(spark, sf_dir)), k=F.from_json("props", EVENT_KEY)["k"])
     k = F.col("k")
     text_time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -83,9 +84,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == SCALAR_PAYLOAD, F.col("value").cast("string").cast("binary"))
         .otherwise(payload.cast("binary"))
     )
-    return source.select(
+    return computed_once(source, body=body).select(
         F.col("user_id").cast("string").cast("binary").alias("key"),
-        body.alias("value"),
+        F.col("body").alias("value"),
         F.concat(F.lit(TOPIC_PREFIX), F.col("event_type")).alias("topic"),
         F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),

@@ -83,6 +83,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input of few splits to all cores, ahead of work that costs more than a shuffle.
+
+    Parsing JSON does. Inputs with splits enough for the cluster, as large ones have, stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hour_slice(table: DataFrame, target: datetime) -> DataFrame:
     """Only the target hour's partition is listed and read."""
     return table.where(

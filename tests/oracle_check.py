@@ -43,7 +43,7 @@ def _rows(table) -> pd.DataFrame:
 
 def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     """Differences, empty when equal."""
-    got, want = spark_df.toArrow(), con.execute(sql).to_arrow_table()
+    got, want = spark_df.toArrow(), con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return [f"columns {sorted(got.column_names)} != {sorted(want.column_names)}"]
     problems = [
