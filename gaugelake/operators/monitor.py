@@ -177,10 +177,10 @@ def stale_sources(rows: DataFrame, now: datetime, by: Sequence[str], time_col: s
     return newest.select(*by, "last_message", age.alias("age_seconds")).where(F.col("age_seconds") > after_s)
 
 
-def ingest_counters(parsed: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
+def ingest_counters(decoded: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
     """Consumed and failed messages and the time of the last consumed one."""
     ok = F.col("text").isNotNull()
-    return parsed.groupBy(*by).agg(
+    return decoded.groupBy(*by).agg(
         F.count_if(ok).alias("messages_consumed"),
         F.count_if(~ok).alias("messages_failed"),
         F.max(F.when(ok, F.col("ingest_ts"))).alias("last_message_time"),

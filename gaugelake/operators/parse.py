@@ -14,32 +14,36 @@ from gaugelake.functions import variants as V
 from gaugelake.functions.barrier import computed_once
 
 
-def parse_messages(messages: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
-    """One row per message with the decoded text, the payload as VARIANT and a parse status.
-
-    ``messages`` has the Kafka source schema. Without ``ingest_ts`` processing time is the query's
-    ``current_timestamp()``; in a stream that value comes from the offset log, so a replayed
-    micro-batch sees the same one.
+def decode(messages: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
+    """Messages with the Kafka source schema -> envelope columns and the decoded ``text``.
 
-    Status: ``json``, ``raw_text`` (kept as ``{"value": text}``), ``null_value``, ``invalid_utf8``.
+    Without ``ingest_ts`` processing time is the query's ``current_timestamp()``; in a stream that
+    value comes from the offset log, so a replayed micro-batch sees the same one.
     """
     if ingest_ts is None:
         ingest_ts = F.col("ingest_ts") if "ingest_ts" in messages.columns else F.current_timestamp()
-    text = F.try_validate_utf8(F.col("value").cast("string"))
-    decoded = messages.select(
+    return messages.select(
+        N.sensor_name(F.col("topic")).alias("sensor_name"),
+        N.table_name(F.col("topic")).alias("table_name"),
         "topic", "partition", "offset",
         F.when(F.col("timestampType") != -1, F.unix_millis(F.col("timestamp"))).alias("kafka_timestamp"),
         ingest_ts.alias("ingest_ts"),
         "value",
-        text.alias("text"),
+        F.try_validate_utf8(F.col("value").cast("string")).alias("text"),
     )
+
+
+def parse_messages(messages: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
+    """One row per message with the payload as VARIANT ``data`` and a parse status.
+
+    Status: ``json``, ``raw_text`` (kept as ``{"value": text}``), ``null_value``, ``invalid_utf8``.
+    """
+    decoded = decode(messages, ingest_ts)
     parsed = computed_once(decoded, _doc=V.parse_json_strict(F.col("text")))
     is_json = V.is_document(F.col("_doc"))
     as_value = F.to_variant_object(F.struct(F.col("text").alias("value")))
     return parsed.select(
-        N.sensor_name(F.col("topic")).alias("sensor_name"),
-        N.table_name(F.col("topic")).alias("table_name"),
-        "topic", "partition", "offset", "kafka_timestamp", "ingest_ts", "value", "text",
+        *decoded.columns,
         F.when(is_json, V.document(F.col("_doc"))).when(F.col("text").isNotNull(), as_value).alias("data"),
         F.when(F.col("value").isNull(), "null_value")
         .when(F.col("text").isNull(), "invalid_utf8")
@@ -55,9 +59,9 @@ def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("text").isNotNull()).drop("value")
 
 
-def rejects(parsed: DataFrame) -> DataFrame:
-    """Messages that carry no usable value, with the reason."""
-    return parsed.where(F.col("text").isNull()).select(
+def rejects(decoded: DataFrame) -> DataFrame:
+    """Messages that carry no usable value, with the reason; decoding is enough to tell."""
+    return decoded.where(F.col("text").isNull()).select(
         "topic", "partition", "offset", "value", "ingest_ts",
         F.when(F.col("value").isNull(), "null_value").otherwise("invalid_utf8").alias("reason"),
     )

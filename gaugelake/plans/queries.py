@@ -167,7 +167,7 @@ def parse_raw_text(spark, sf_dir):
 
 @query
 def parse_rejects(spark, sf_dir):
-    return P.rejects(parsed(spark, sf_dir)).groupBy("topic", "reason").agg(F.count("*").alias("rows"))
+    return P.rejects(P.decode(W.messages(spark, sf_dir))).groupBy("topic", "reason").agg(F.count("*").alias("rows"))
 
 
 @query
@@ -399,7 +399,7 @@ def mon_counter_rate(spark, sf_dir):
 @query
 def mon_failure_rate(spark, sf_dir):
     return rounded(M.failure_rate(
-        parsed(spark, sf_dir), F.col("text").isNull(), ["topic"], "ingest_ts", limit=0.0,
+        P.decode(W.messages(spark, sf_dir)), F.col("text").isNull(), ["topic"], "ingest_ts", limit=0.0,
         window="1 hour", window_s=3600,
     ))
 
@@ -450,7 +450,7 @@ def mon_stale(spark, sf_dir):
 
 @query
 def mon_ingest_counters(spark, sf_dir):
-    return M.ingest_counters(parsed(spark, sf_dir))
+    return M.ingest_counters(P.decode(W.messages(spark, sf_dir)))
 
 
 @query
