@@ -27,11 +27,17 @@ from gaugelake.sources import lake
 
 LEVELS = ("hourly", "daily", "both")
 
-RAW_SCHEMA = T.StructType.fromDDL(
-    "sensor_name string, table_name string, asset_id string, event_time timestamp, time_quality string, "
-    "topic string, partition int, offset bigint, kafka_timestamp bigint, ingest_ts timestamp, "
-    "arrival_order bigint, measures map<string,double>, attrs map<string,string>, "
-    "event_date string, event_hour string, ingest_batch bigint"
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TEXT, _LONG, _DOUBLE, _TIME = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampType()
+
+RAW_SCHEMA = _schema(
+    sensor_name=_TEXT, table_name=_TEXT, asset_id=_TEXT, event_time=_TIME, time_quality=_TEXT, topic=_TEXT,
+    partition=T.IntegerType(), offset=_LONG, kafka_timestamp=_LONG, ingest_ts=_TIME, arrival_order=_LONG,
+    measures=T.MapType(_TEXT, _DOUBLE), attrs=T.MapType(_TEXT, _TEXT),
+    event_date=_TEXT, event_hour=_TEXT, ingest_batch=_LONG,
 )
 
 
@@ -42,17 +48,19 @@ def _stat_fields(depth: int) -> list[str]:
     return names
 
 
-def _rollup_schema(bucket: str, bucket_type: str, first: str, depth: int, *partitions: str) -> T.StructType:
-    keys = [f"{bucket} {bucket_type}", *(f"{k} string" for k in R.LONG_KEYS)]
-    stats = [f"{n} double" for n in _stat_fields(depth)]
-    return T.StructType.fromDDL(
-        ", ".join([*keys, *stats, f"{first} timestamp", *(f"{p} string" for p in partitions)])
+def _rollup_schema(bucket: str, bucket_type: T.DataType, first: str, depth: int, *partitions: str) -> T.StructType:
+    return _schema(
+        **{bucket: bucket_type},
+        **dict.fromkeys(R.LONG_KEYS, _TEXT),
+        **dict.fromkeys(_stat_fields(depth), _DOUBLE),
+        **{first: _TIME},
+        **dict.fromkeys(partitions, _TEXT),
     )
 
 
-MINUTE_SCHEMA = _rollup_schema("minute_bucket", "timestamp", "timestamp_first", 1, "event_date", "event_hour")
-HOUR_SCHEMA = _rollup_schema("hour_bucket", "timestamp", "minute_bucket_first", 2, "event_date", "event_hour")
-DAY_SCHEMA = _rollup_schema("day_bucket", "date", "hour_bucket_first", 3, "event_date")
+MINUTE_SCHEMA = _rollup_schema("minute_bucket", _TIME, "timestamp_first", 1, "event_date", "event_hour")
+HOUR_SCHEMA = _rollup_schema("hour_bucket", _TIME, "minute_bucket_first", 2, "event_date", "event_hour")
+DAY_SCHEMA = _rollup_schema("day_bucket", T.DateType(), "hour_bucket_first", 3, "event_date")
 
 _TABLES = {"raw": RAW_SCHEMA, "minute": MINUTE_SCHEMA, "hour": HOUR_SCHEMA, "day": DAY_SCHEMA}
 

@@ -1,0 +1,139 @@
+import os
+import shutil
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaugelake.operators import filejobs as J
+from gaugelake.operators import lifecycle as L
+from gaugelake.sources import lake
+
+NOW = datetime(2024, 1, 20)
+
+
+def manifest(spark, *rows):
+    return spark.createDataFrame(list(rows), "rel_path string, size bigint, mtime timestamp")
+
+
+def log(spark, *rows):
+    return spark.createDataFrame(list(rows), "rel_path string, event string, logged_at timestamp")
+
+
+def test_plan_reasons(spark):
+    t, u = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    local = manifest(spark, ("new", 10, t), ("newer", 10, u), ("same", 10, t), ("bigger", 2000, t), ("near", 1034, t), ("tie", 5, t))
+    remote = manifest(spark, ("newer", 10, t), ("same", 10, u), ("bigger", 10, u), ("near", 10, u), ("tie", 5, t), ("gone", 1, t))
+    got = {r.rel_path: (r.action, r.reason) for r in L.sync_plan(local, remote).collect()}
+    assert got == {
+        "new": ("upload", "missing_remote"), "newer": ("upload", "local_newer"), "same": ("skip", "already_up_to_date"),
+        "bigger": ("upload", "size_differs"), "near": ("skip", "already_up_to_date"), "tie": ("skip", "already_up_to_date")}
+
+
+def test_uploaded_set(spark):
+    d = [datetime(2024, 1, i) for i in range(1, 6)]
+    entries = log(
+        spark, ("a", "uploaded", d[0]), ("a", "uploaded", d[1]), ("b", "uploaded", d[0]), ("b", "deleted", d[1]),
+        ("c", "uploaded", d[0]), ("c", "deleted", d[1]), ("c", "uploaded", d[2]), ("d", "deleted", d[0]),
+        ("e", "uploaded", d[1]), ("e", "deleted", d[1]))
+    assert {r.rel_path: r.uploaded_at for r in L.uploaded_set(entries).collect()} == {"a": d[1], "c": d[2]}
+
+
+def test_eligible_needs_age_and_copy(spark):
+    old, new = NOW - timedelta(days=8), NOW - timedelta(days=1)
+    files = manifest(spark, ("old_up", 1, old), ("old_only", 2, old), ("new_up", 3, new), ("edge", 4, NOW - timedelta(days=7)))
+    entries = log(spark, *[(p, "uploaded", NOW) for p in ("old_up", "new_up", "edge")])
+    assert [r.rel_path for r in L.cleanup_eligible(files, entries, NOW, 7).collect()] == ["old_up"]
+    assert L.cleanup_eligible(files, entries, NOW, 7, enabled=False).count() == 0
+    assert {r.rel_path for r in L.backlog(files, entries).collect()} == {"old_only"}
+    report = L.backlog_report(L.backlog(files, entries), limit=0).first()
+    assert (report.pending_files, report.pending_bytes, report.breach) == (1, 2, True)
+    assert L.backlog_report(L.backlog(files.limit(0), entries)).first().pending_bytes == 0
+
+
+@pytest.fixture
+def tiers(tmp_path):
+    hot, cold = tmp_path / "hot", tmp_path / "cold"
+    for i in range(6):
+        f = hot / f"a{i % 2}" / "2024" / "01" / "15" / f"f{i}.parquet"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(os.urandom(1000 + i))
+    cold.mkdir()
+    return str(hot), str(cold)
+
+
+def age(path, days):
+    t = (datetime.now() - timedelta(days=days)).timestamp()
+    os.utime(path, (t, t))
+
+
+def test_mirror_then_expire(spark, tiers, tmp_path):
+    hot, cold = tiers
+    first = os.path.join(hot, "a0/2024/01/15/f0.parquet")
+    age(first, 8)
+    plan = L.sync_plan(lake.list_files(spark, hot), lake.list_files(spark, cold))
+    results = J.run_copy(plan, hot, cold)
+    assert {r.status for r in results.collect()} == {"uploaded"} and results.count() == 6
+    for d, _, names in os.walk(hot):
+        for n in names:
+            copy = os.path.join(cold, os.path.relpath(os.path.join(d, n), hot))
+            assert open(os.path.join(d, n), "rb").read() == open(copy, "rb").read()
+    assert not [n for _, _, ns in os.walk(cold) for n in ns if n.endswith(".part")]
+    log_path = str(tmp_path / "log")
+    J.append_log(L.log_entries(results), log_path)
+
+    again = J.run_copy(L.sync_plan(lake.list_files(spark, hot), lake.list_files(spark, cold)), hot, cold)
+    assert {(r.status, r.reason) for r in again.collect()} == {("skipped", "already_up_to_date")}
+    summary = {r.status: (r.files, r.size_bytes) for r in L.sync_summary(again).collect()}
+    assert summary == {"skipped": (6, 6015)}
+    J.append_log(L.log_entries(again), log_path)
+    entries = spark.read.parquet(log_path)
+    assert entries.count() == 12 and L.uploaded_set(entries).count() == 6
+
+    def eligible():
+        return L.cleanup_eligible(lake.list_files(spark, hot), spark.read.parquet(log_path), datetime.utcnow())
+
+    dry = J.run_delete(eligible(), hot).collect()
+    assert [(r.rel_path, r.status) for r in dry] == [("a0/2024/01/15/f0.parquet", "would_delete")] and os.path.exists(first)
+    done = J.run_delete(eligible(), hot, dry_run=False)
+    assert [(r.rel_path, r.status) for r in done.collect()] == [("a0/2024/01/15/f0.parquet", "deleted")]
+    assert not os.path.exists(first) and done.count() == 1
+    J.append_log(L.log_entries(done), log_path)
+    assert L.uploaded_set(spark.read.parquet(log_path)).count() == 5
+    report = L.cleanup_report(done).first()
+    assert (report.files_processed, report.files_deleted, report.files_failed, report.bytes_freed) == (1, 1, 0, 1000)
+
+
+def test_failures_are_rows(spark, tiers):
+    hot, cold = tiers
+    plan = L.sync_plan(lake.list_files(spark, hot), lake.list_files(spark, cold))
+    missing = plan.limit(1).withColumn("rel_path", F.lit("a0/none.parquet"))
+    results = J.run_copy(plan.unionByName(missing), hot, cold, retries=2, retry_delay_s=0)
+    failed = results.where("status = 'failed'").collect()
+    assert [(r.rel_path, r.attempts) for r in failed] == [("a0/none.parquet", 2)] and failed[0].reason
+    assert results.where("status = 'uploaded'").count() == 6
+    gone = manifest(spark, ("a0/none.parquet", 1, NOW))
+    assert [(r.status, r.reason) for r in J.run_delete(gone, hot, dry_run=False).collect()] == [("skipped", "file_not_found")]
+
+
+def test_repeated_delete_task_reports_the_first_attempt(tmp_path):
+    files, base = J._filesystem(str(tmp_path))
+    (tmp_path / "x").write_text("1")
+    assert J._delete_one(files, f"{base}/x", False)[0] == "deleted"
+    assert J._delete_one(files, f"{base}/x", True)[:2] == ("deleted", "by_earlier_attempt")
+
+
+def test_the_plan_is_fixed_before_files_change(spark, tiers, tmp_path):
+    hot, cold = tiers
+    job = str(tmp_path / "job")
+    J.run_copy(L.sync_plan(lake.list_files(spark, hot), lake.list_files(spark, cold)), hot, cold, job_dir=job)
+    shutil.copy(os.path.join(hot, "a1/2024/01/15/f1.parquet"), os.path.join(hot, "a1/2024/01/15/later.parquet"))
+    assert spark.read.parquet(f"{job}/plan").count() == 6 and spark.read.parquet(f"{job}/results").count() == 6
+
+
+def test_listing(spark):
+    files = manifest(spark, ("a/x", 1048576, NOW), ("b/y", 524288, NOW))
+    listed = L.listing(files)
+    assert listed.columns == ["name", "size_mb", "last_modified", "content_type"]
+    assert L.listing_totals(lake.with_prefix(listed, "a/")).first() == (1, 1.0)
+    assert L.listing_totals(lake.with_prefix(listed)).first() == (2, 1.5)

@@ -1,0 +1,99 @@
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaugelake.operators import flatten as FL
+from gaugelake.operators import rollup as R
+from gaugelake.plans import queries as Q
+from gaugelake.plans import refresh
+from gaugelake.sources import lake
+from gaugelake.streaming.ingest import raw_rows
+from gaugelake.plans import views as W
+
+
+def land(rows, root, batch):
+    keyed = lake.with_time_partitions(rows.withColumn("ingest_batch", F.lit(batch).cast("bigint")), "event_time")
+    lake.write_table(keyed.select(*refresh.RAW_SCHEMA.fieldNames()), refresh.table_path(root, "raw"),
+                     (*lake.TIME_PARTITIONS, "ingest_batch"))
+
+
+def snapshot(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def raw(spark, sf_dir):
+    return raw_rows(W.messages(spark, sf_dir))
+
+
+def test_refresh_equals_direct_rollup_and_repeats(spark, raw, tmp_path):
+    root = str(tmp_path)
+    land(raw, root, 0)
+    hours = refresh.touched_hours(refresh.table(spark, root, "raw"))
+    refresh.refresh_rollups(spark, root, hours)
+    minutes = R.minute_rollup(FL.explode_measures(raw), ["value"], R.LONG_KEYS)
+    hourly = R.hour_rollup(minutes, R.LONG_KEYS)
+    daily = R.day_rollup(hourly, R.LONG_KEYS)
+
+    def stored(name, like):
+        return Q.rounded(refresh.table(spark, root, name).select(*like.columns), 6)
+
+    for name, like in (("minute", minutes), ("hour", hourly), ("day", daily)):
+        assert snapshot(stored(name, like)) == snapshot(Q.rounded(like, 6)), name
+    before = snapshot(refresh.table(spark, root, "day"))
+    refresh.refresh_rollups(spark, root, hours)
+    assert snapshot(refresh.table(spark, root, "day")) == before
+    assert refresh.table(spark, root, "minute").count() == minutes.count()
+
+
+@pytest.fixture
+def three_hours(spark):
+    rows = [
+        ("s", "t", "a", datetime(2024, 1, 15, h, m), float(10 * h + m), 100 * h + m) for h in (8, 9, 10) for m in range(3)
+    ]
+    df = spark.createDataFrame(rows, "sensor_name string, table_name string, asset_id string, event_time timestamp, v double, arrival_order bigint")
+    return df.select(
+        "sensor_name", "table_name", "asset_id", "event_time", F.lit("payload").alias("time_quality"),
+        F.lit("sensor-data-s").alias("topic"), F.lit(0).alias("partition"), F.col("arrival_order").alias("offset"),
+        F.lit(None).cast("bigint").alias("kafka_timestamp"), F.col("event_time").alias("ingest_ts"), "arrival_order",
+        F.create_map(F.lit("v"), "v", F.lit("a_timestamp"), "v").alias("measures"),
+        F.create_map(F.lit("x"), F.lit("y")).alias("attrs"))
+
+
+def test_targets_and_late_rows(spark, three_hours, tmp_path):
+    root = str(tmp_path)
+    land(three_hours, root, 0)
+    refresh.refresh_rollups(spark, root, datetime(2024, 1, 15, 9, 30), "hourly")
+    assert {r.event_hour for r in refresh.table(spark, root, "hour").collect()} == {"09"}
+    refresh.refresh_rollups(spark, root, [datetime(2024, 1, 15, h) for h in (8, 9, 10)])
+    day = refresh.table(spark, root, "day").collect()
+    # a measure named like a timestamp stops at the minute level
+    assert [(r.measure, r.day_bucket, r.hour_bucket_first) for r in day] == [("v", date(2024, 1, 15), datetime(2024, 1, 15, 8))]
+    assert day[0].value_mean_mean_mean == pytest.approx(91.0) and day[0].value_max_max_max == 102
+    assert refresh.table(spark, root, "minute").where("measure = 'a_timestamp'").count() == 9
+
+    late = three_hours.limit(1).withColumns({
+        "event_time": F.lit(datetime(2024, 1, 15, 9, 59)).cast("timestamp"), "measures": F.create_map(F.lit("v"), F.lit(990.0))})
+    land(late, root, 1)
+    new = refresh.table(spark, root, "raw").where("ingest_batch = 1")
+    hours = refresh.touched_hours(new)
+    assert hours == [datetime(2024, 1, 15, 9)]
+    refresh.refresh_rollups(spark, root, hours)
+    hour = {r.event_hour: r.value_max_max for r in refresh.table(spark, root, "hour").collect()}
+    assert hour == {"08": 82.0, "09": 990.0, "10": 102.0}
+    assert refresh.table(spark, root, "day").first().value_max_max_max == 990
+
+
+def test_only_target_partitions_are_scanned(spark, three_hours, tmp_path):
+    land(three_hours, str(tmp_path), 0)
+    wanted = refresh.table(spark, str(tmp_path), "raw").where(refresh._in_hours([datetime(2024, 1, 15, 9)]))
+    assert len(wanted.inputFiles()) >= 1
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(concat_ws( , event_date" in plan
+    assert wanted.select("event_hour").distinct().collect()[0].event_hour == "09"
+
+
+def test_bad_level(spark, tmp_path):
+    with pytest.raises(ValueError):
+        refresh.refresh_rollups(spark, str(tmp_path), datetime(2024, 1, 1) + timedelta(hours=1), "weekly")
