@@ -14,8 +14,7 @@ CANONICAL_KEYS = ("time", "value", "daqid")
 STATS = ("mean", "min", "max")
 NON_MEASURES = ("partition", "offset", "timestamp")
 
-# Landing limits
-MAX_ROWS_PER_FILE = 100_000
+# Landing and early-flush limits
 RAW_FLUSH_AGE = "5 minutes"
 MINUTE_FLUSH_ROWS = 60
 MINUTE_FLUSH_AGE_S = 120
@@ -26,7 +25,6 @@ BYTES_PER_MB = 1024 * 1024
 COPY_RETRIES = 3
 COPY_RETRY_DELAY_S = 1
 COPY_CHUNK_BYTES = 1024 * 1024
-COPY_WORKERS = 4
 RETENTION_DAYS = 7
 
 # Monitoring limits

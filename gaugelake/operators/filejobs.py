@@ -18,9 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.constants import COPY_CHUNK_BYTES, COPY_RETRIES, COPY_RETRY_DELAY_S, COPY_WORKERS
+from gaugelake.constants import COPY_CHUNK_BYTES, COPY_RETRIES, COPY_RETRY_DELAY_S
 from gaugelake.session import shared_dir
 
+# Small tasks: a lost executor repeats few files, and big files even out over many tasks.
+FILES_PER_TASK = 16
+
 RESULT_SCHEMA = (
     "rel_path string, status string, reason string, size bigint, attempts int, finished_at timestamp"
 )
@@ -31,7 +34,7 @@ def run_copy(
     source_root: str,
     target_root: str,
     job_dir: str | None = None,
-    tasks: int = COPY_WORKERS,
+    tasks: int | None = None,
     retries: int = COPY_RETRIES,
     retry_delay_s: float = COPY_RETRY_DELAY_S,
 ) -> DataFrame:
@@ -55,15 +58,13 @@ def run_copy(
             ]
             yield _result_rows(batch, done)
 
-    copied = (
-        todo.where("action = 'upload'").select("rel_path", "size").repartition(tasks)
-        .mapInPandas(copy_batches, RESULT_SCHEMA)
-    )
+    uploads = todo.where("action = 'upload'").select("rel_path", "size")
+    copied = _in_tasks(uploads, tasks).mapInPandas(copy_batches, RESULT_SCHEMA)
     return _snapshot(copied.unionByName(skipped), f"{job_dir}/results")
 
 
 def run_delete(
-    eligible: DataFrame, root: str, dry_run: bool = True, job_dir: str | None = None, tasks: int = COPY_WORKERS
+    eligible: DataFrame, root: str, dry_run: bool = True, job_dir: str | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Delete eligible files; by default only say which (``would_delete``)."""
     spark = eligible.sparkSession
@@ -83,10 +84,17 @@ def run_delete(
             done = [_delete_one(files, f"{base}/{p}", repeated) for p in batch["rel_path"]]
             yield _result_rows(batch, done)
 
-    deleted = todo.repartition(tasks).mapInPandas(delete_batches, RESULT_SCHEMA)
+    deleted = _in_tasks(todo, tasks).mapInPandas(delete_batches, RESULT_SCHEMA)
     return _snapshot(deleted, f"{job_dir}/results")
 
 
+def _in_tasks(files: DataFrame, tasks: int | None) -> DataFrame:
+    """Files over ``tasks`` tasks; how many run at a time is up to the cluster."""
+    if tasks is None:
+        tasks = max(1, -(-files.count() // FILES_PER_TASK))
+    return files.repartition(tasks)
+
+
 def append_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 

@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugelake.constants import (
     LAG_LIMIT, RATE_WINDOW, RATE_WINDOW_S, ROLLUP_DELAY_S, SILENCE_AFTER_S, STALE_AFTER_S, USAGE_LIMIT,
@@ -30,6 +31,21 @@ def _step(time_col: str, width: str) -> Column:
     return F.window(F.col(time_col), width)["start"]
 
 
+def as_metrics(report: DataFrame, ts: datetime | Column, labels: Sequence[str] = ()) -> DataFrame:
+    """A report as rows of the metrics table: one per report row and numeric column."""
+    at = ts if isinstance(ts, Column) else F.lit(ts).cast("timestamp")
+    pairs = [x for name in labels for x in (F.lit(name), F.col(name).cast("string"))]
+    label_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    values = [
+        F.struct(F.lit(f.name).alias("name"), F.col(f.name).cast("double").alias("value"))
+        for f in report.schema.fields
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType)) and f.name not in labels
+    ]
+    return report.select(at.alias("ts"), label_map.alias("labels"), F.inline(F.array(*values))).select(
+        "ts", "name", "labels", "value"
+    )
+
+
 def message_rate(rows: DataFrame, by: Sequence[str], time_col: str, window: str = RATE_WINDOW,
                  window_s: int = RATE_WINDOW_S) -> DataFrame:
     """Messages per second in tumbling windows."""

@@ -356,4 +356,8 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (failing) AS failing_sensors, bool_and(NOT stale AND NOT failing) AS healthy,
           concat_ws(',', CASE WHEN bool_or(failing) THEN 'failing' END, CASE WHEN bool_or(stale) THEN 'stale' END) AS issues
         FROM s GROUP BY ALL""",
+    "mon_snapshot": MESSAGES + """, c AS (
+          SELECT topic, count(*) FILTER (k NOT IN (7, 21)) AS ok, count(*) FILTER (k IN (7, 21)) AS bad FROM m GROUP BY ALL)
+        SELECT TIMESTAMP '2024-01-31' AS ts, 'messages_consumed' AS name, topic, CAST(ok AS DOUBLE) AS value FROM c
+        UNION ALL SELECT TIMESTAMP '2024-01-31', 'messages_failed', topic, CAST(bad AS DOUBLE) FROM c""",
 }

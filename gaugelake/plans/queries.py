@@ -459,3 +459,11 @@ def mon_health(spark, sf_dir):
         F.col("key").cast("string").alias("asset"), "topic", "timestamp", F.col("value").isNull().alias("bad")
     )
     return M.health(rows, EVENTS_NOW, "asset", "topic", "timestamp", F.col("bad"), STALE_SECONDS)
+
+
+@query
+def mon_snapshot(spark, sf_dir):
+    """Ingest counters as rows of the metrics table."""
+    report = M.ingest_counters(P.decode(W.messages(spark, sf_dir)))
+    rows = M.as_metrics(report, EVENTS_NOW, ["topic"])
+    return rows.select("ts", "name", rows["labels"]["topic"].alias("topic"), "value")

@@ -101,7 +101,7 @@ SAMPLE_MEASURES = ("quantity", "price", "discount", "tax")
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day-granular measurements: many rows share a bucket. Arrival order is the event time."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_suppkey").cast("string").alias("asset_id"),
         F.col("l_returnflag").alias("sensor_name"),
         F.col("l_shipdate").cast("timestamp").alias("event_time"),

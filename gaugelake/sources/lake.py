@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugelake.constants import MAX_ROWS_PER_FILE
 from gaugelake.functions import naming as N
 
 # Interoperable LZ4; plain "lz4" would write Hadoop's own framing.
@@ -36,13 +35,15 @@ def write_table(
     sort_by: Sequence[str] = (),
     mode: str = "overwrite",
     compression: str = "lz4",
-    max_rows_per_file: int = MAX_ROWS_PER_FILE,
+    max_rows_per_file: int | None = None,
 ) -> None:
     """Partitioned Parquet.
 
     ``overwrite`` replaces only the partitions present in ``df``, so a re-run writes the same
     result again. The rebalance hint gathers each partition's rows for few files, and adaptive
-    execution splits a partition that is too large for one task.
+    execution splits a partition that is too large for one task. Files are as large as a task's
+    share (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) unless ``max_rows_per_file`` bounds
+    them; a small bound makes very many files of a large table.
     """
     placed = df.hint("rebalance", *[F.col(c) for c in partition_by])
     if sort_by:
@@ -51,7 +52,7 @@ def write_table(
         placed.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", _CODECS.get(compression, compression))
-        .option("maxRecordsPerFile", max_rows_per_file)
+        .option("maxRecordsPerFile", max_rows_per_file or 0)
         .partitionBy(*partition_by)
         .parquet(path)
     )

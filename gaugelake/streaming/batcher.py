@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gaugelake.constants import MINUTE_FLUSH_AGE_S, MINUTE_FLUSH_ROWS
 
-KEYS = ["asset_id", "sensor_name", "hour"]
+KEYS = ["asset_id", "sensor_name", "hour", "buffer"]
 _OUT = (
     "asset_id string, sensor_name string, minute_bucket timestamp, measure string, value_mean double, "
     "value_min double, value_max double, timestamp_first timestamp, rows bigint, trigger string"
@@ -24,7 +24,7 @@ _PARTIAL = ["minute_us", "measure", "total", "n", "low", "high", "first_us", "fi
 
 
 class _CountOrAge(StatefulProcessor):
-    """One key is one sensor of one asset in one hour."""
+    """One key is one buffer: one sensor of one asset in one hour, or a part of its rows."""
 
     def __init__(self, max_rows: int, max_age_ms: int):
         self.max_rows, self.max_age_ms = max_rows, max_age_ms
@@ -102,16 +102,20 @@ class _CountOrAge(StatefulProcessor):
 
 def early_minutes(
     flat: DataFrame, max_rows: int = MINUTE_FLUSH_ROWS, max_age_s: int = MINUTE_FLUSH_AGE_S,
-    watermark: str = "0 seconds",
+    watermark: str = "0 seconds", buffers: int = 1,
 ) -> DataFrame:
     """Streaming rows of the raw shape -> early minute rows.
 
+    A buffer is filled in one task. ``buffers > 1`` splits the rows of every sensor over as many
+    buffers, each with its own count and age, so that a hot sensor does not hold up the stream.
+
     Age is counted on the arrival clock ``ingest_ts``, from the first held row; a buffer that is
     never followed by later messages stays in state until some arrive.
     """
     entries = F.transform(F.map_entries("measures"), lambda e: F.struct(e["key"].alias("measure"), e["value"].alias("value")))
     rows = flat.where(F.size("measures") > 0).withWatermark("ingest_ts", watermark).select(
         "asset_id", "sensor_name", F.date_format("event_time", "yyyy-MM-dd HH").alias("hour"),
+        F.pmod(F.xxhash64("arrival_order"), F.lit(buffers)).cast("int").alias("buffer"),
         "ingest_ts", "arrival_order",
         F.unix_millis("ingest_ts").alias("ingest_ms"),
         F.unix_micros("event_time").alias("event_us"),

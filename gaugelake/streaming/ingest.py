@@ -56,9 +56,7 @@ def start_ingest(
     accepted. Progress carries the counters ``messages_consumed``, ``messages_failed`` and
     ``last_message_time``.
     """
-    options = {"compression": compression}
-    if max_rows_per_file is not None:
-        options["max_rows_per_file"] = max_rows_per_file
+    options = {"compression": compression, "max_rows_per_file": max_rows_per_file}
     # the stream's clock is in its offset log: a repeated batch gets the same ingest_ts
     stamped = messages if "ingest_ts" in messages.columns else messages.withColumn("ingest_ts", F.current_timestamp())
     usable = F.try_validate_utf8(F.col("value").cast("string")).isNotNull()

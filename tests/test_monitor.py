@@ -101,3 +101,10 @@ def test_health(spark):
     got = {r.asset: (r.sensors, r.stale_sensors, r.failing_sensors, r.healthy, r.issues)
            for r in M.health(rows, at(1000), "asset", "sensor", "ts", F.col("bad")).collect()}
     assert got == {"a": (2, 1, 0, False, "stale"), "b": (1, 0, 0, True, ""), "c": (1, 0, 1, False, "failing")}
+
+
+def test_reports_become_metrics(spark):
+    report = spark.createDataFrame([("t", 3, True, "x")], "topic string, n int, breach boolean, note string")
+    got = {(r.ts, r.name, r.labels["topic"], r.value) for r in M.as_metrics(report, T0, ["topic"]).collect()}
+    assert got == {(T0, "n", "t", 3.0), (T0, "breach", "t", 1.0)}
+    assert M.as_metrics(report.select("n"), T0).first().labels == {}
