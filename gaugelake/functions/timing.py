@@ -1,7 +1,9 @@
-"""Event-time resolution."""
+"""Event-time resolution and time literals."""
 
 from __future__ import annotations
 
+from datetime import date, datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ TIME_FORMATS = (
 _MICROS_PER = {"s": 1_000_000.0, "ms": 1_000.0, "us": 1.0, "ns": 0.001}
 
 
+def instant(at: datetime | date, kind: str = "timestamp") -> Column:
+    """A time literal; without an offset it means UTC, whatever time zone this process runs in."""
+    if isinstance(at, datetime) and at.tzinfo is not None:
+        at = at.astimezone(timezone.utc).replace(tzinfo=None)
+    # plain lit(datetime) would be read as local time
+    literal = F.lit(at.isoformat()).cast("timestamp_ntz")
+    return literal if kind == "timestamp_ntz" else literal.cast(kind)
+
+
 def parse_time_text(text: Column, bucket_clock: str = "utc") -> Column:
     """Text -> TIMESTAMP, NULL when unreadable.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.constants import BACKLOG_LIMIT, RETENTION_DAYS, SIZE_TOLERANCE_BYTES
 from gaugelake.functions import naming as N
+from gaugelake.functions.timing import instant
 
 
 def sync_plan(local: DataFrame, remote: DataFrame, tolerance: int = SIZE_TOLERANCE_BYTES) -> DataFrame:
@@ -90,7 +91,7 @@ def uploaded_set(log: DataFrame) -> DataFrame:
 
 def expired(manifest: DataFrame, now: datetime, age_days: int = RETENTION_DAYS) -> DataFrame:
     """Files last modified before ``now - age_days``."""
-    cutoff = F.lit(now).cast(manifest.schema["mtime"].dataType) - F.expr(f"INTERVAL {int(age_days)} DAYS")
+    cutoff = instant(now, manifest.schema["mtime"].dataType.simpleString()) - F.expr(f"INTERVAL {int(age_days)} DAYS")
     return manifest.where(F.col("mtime") < cutoff)
 
 

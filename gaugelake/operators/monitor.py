@@ -16,10 +16,7 @@ from pyspark.sql import types as T
 from gaugelake.constants import (
     LAG_LIMIT, RATE_WINDOW, RATE_WINDOW_S, ROLLUP_DELAY_S, SILENCE_AFTER_S, STALE_AFTER_S, USAGE_LIMIT,
 )
-
-
-def _now(now: datetime) -> Column:
-    return F.lit(now).cast("timestamp")
+from gaugelake.functions.timing import instant
 
 
 def _seconds(ts: Column) -> Column:
@@ -33,7 +30,7 @@ def _step(time_col: str, width: str) -> Column:
 
 def as_metrics(report: DataFrame, ts: datetime | Column, labels: Sequence[str] = ()) -> DataFrame:
     """A report as rows of the metrics table: one per report row and numeric column."""
-    at = ts if isinstance(ts, Column) else F.lit(ts).cast("timestamp")
+    at = ts if isinstance(ts, Column) else instant(ts)
     pairs = [x for name in labels for x in (F.lit(name), F.col(name).cast("string"))]
     label_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     values = [
@@ -126,7 +123,7 @@ def silences(rows: DataFrame, by: Sequence[str], time_col: str, until: datetime,
     active = rows.groupBy(*by, _step(time_col, step).alias("_start")).agg(F.count("*").alias("_n"))
     end = F.col("_start") + F.make_dt_interval(secs=F.lit(step_s))
     following = F.lead("_start", 1).over(Window.partitionBy(*by).orderBy("_start"))
-    gaps = active.select(*by, end.alias("gap_start"), F.coalesce(following, _now(until)).alias("gap_end"))
+    gaps = active.select(*by, end.alias("gap_start"), F.coalesce(following, instant(until)).alias("gap_end"))
     length = (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / F.lit(1_000_000.0)
     return gaps.withColumn("gap_seconds", length).where(F.col("gap_seconds") >= min_silence_s)
 
@@ -174,7 +171,7 @@ def rollup_delay(rollup: DataFrame, now: datetime, by: Sequence[str], bucket: st
                  limit_s: int = ROLLUP_DELAY_S) -> DataFrame:
     """Age of the newest bucket."""
     newest = rollup.groupBy(*by).agg(F.max(bucket).alias("last_bucket"))
-    delay = _seconds(_now(now)) - _seconds(F.col("last_bucket"))
+    delay = _seconds(instant(now)) - _seconds(F.col("last_bucket"))
     return newest.select(*by, "last_bucket", delay.alias("delay_seconds"), (delay > limit_s).alias("breach"))
 
 
@@ -189,7 +186,7 @@ def stale_sources(rows: DataFrame, now: datetime, by: Sequence[str], time_col: s
                   after_s: int = STALE_AFTER_S) -> DataFrame:
     """Sources whose newest message is older than the limit."""
     newest = rows.groupBy(*by).agg(F.max(time_col).alias("last_message"))
-    age = _seconds(_now(now)) - _seconds(F.col("last_message"))
+    age = _seconds(instant(now)) - _seconds(F.col("last_message"))
     return newest.select(*by, "last_message", age.alias("age_seconds")).where(F.col("age_seconds") > after_s)
 
 
@@ -213,7 +210,7 @@ def health(rows: DataFrame, now: datetime, asset_col: str, sensor_col: str, time
     sensors = rows.groupBy(asset_col, sensor_col).agg(
         F.max(time_col).alias("_last"), F.count("*").alias("_n"), F.count_if(bad).alias("_bad")
     )
-    stale = _seconds(_now(now)) - _seconds(F.col("_last")) > stale_after_s
+    stale = _seconds(instant(now)) - _seconds(F.col("_last")) > stale_after_s
     failing = F.col("_bad") / F.col("_n") > max_bad_share
     judged = sensors.select(asset_col, stale.alias("_stale"), failing.alias("_failing"))
     any_stale, any_failing = F.bool_or("_stale"), F.bool_or("_failing")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from gaugelake.constants import NON_MEASURES, STATS
 from gaugelake.functions import naming as N
+from gaugelake.functions.timing import instant
 
 SENSOR_KEYS = ("sensor_name", "asset_id")
 LONG_KEYS = ("sensor_name", "asset_id", "measure")
@@ -96,12 +97,12 @@ def _next_level(df: DataFrame, keys: Sequence[str], below: str, bucket: Column)
 
 def in_hour(minutes: DataFrame, target: datetime, column: str = "minute_bucket") -> DataFrame:
     """The full hour of ``target``, as a range so that it reaches the scan."""
-    start = F.date_trunc("hour", F.lit(target).cast("timestamp"))
+    start = instant(target.replace(minute=0, second=0, microsecond=0))
     return minutes.where((F.col(column) >= start) & (F.col(column) < start + F.expr("INTERVAL 1 HOUR")))
 
 
 def in_day(hours: DataFrame, target: date, column: str = "hour_bucket") -> DataFrame:
-    start = F.lit(target).cast("date").cast("timestamp")
+    start = instant(target)
     return hours.where((F.col(column) >= start) & (F.col(column) < start + F.expr("INTERVAL 1 DAY")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gaugelake.functions import naming as N
 from gaugelake.functions import variants as V
+from gaugelake.functions.timing import instant
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import lifecycle as L
 from gaugelake.operators import monitor as M
@@ -345,7 +346,7 @@ def life_sync_plan(spark, sf_dir):
 @query
 def life_sync_summary(spark, sf_dir):
     plan = L.sync_plan(W.manifest_local(spark, sf_dir), W.manifest_remote(spark, sf_dir))
-    return rounded(L.sync_summary(L.planned_results(plan, F.lit(FILES_NOW).cast("timestamp"))))
+    return rounded(L.sync_summary(L.planned_results(plan, instant(FILES_NOW))))
 
 
 @query
@@ -407,7 +408,7 @@ def mon_failure_rate(spark, sf_dir):
 @query
 def mon_lag(spark, sf_dir):
     head = W.messages(spark, sf_dir).select("topic", "partition", "offset", "ingest_ts")
-    return M.consumer_lag(head, head.where(F.col("ingest_ts") <= F.lit(LAG_CUT).cast("timestamp")), LAG_LIMIT)
+    return M.consumer_lag(head, head.where(F.col("ingest_ts") <= instant(LAG_CUT)), LAG_LIMIT)
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.constants import TOPIC_PREFIX
 from gaugelake.functions import naming as N
+from gaugelake.functions.timing import instant
 
 
 def jdbc_options(
@@ -51,18 +52,19 @@ def pulled(
     high_water: datetime | None = None, until: datetime | None = None,
 ) -> DataFrame:
     """Rows newer than ``high_water`` (all rows without one)."""
+    kind = table.schema[ts_col].dataType.simpleString()
     if high_water is not None:
-        table = table.where(F.col(ts_col) > F.lit(high_water).cast(table.schema[ts_col].dataType))
+        table = table.where(F.col(ts_col) > instant(high_water, kind))
     if until is not None:
-        table = table.where(F.col(ts_col) <= F.lit(until).cast(table.schema[ts_col].dataType))
+        table = table.where(F.col(ts_col) <= instant(until, kind))
     return table
 
 
 def next_high_water(rows: DataFrame, ts_col: str = "timestamp", high_water: datetime | None = None) -> DataFrame:
-    """One row: where the next pull starts; unchanged when nothing came."""
-    newest = F.max(ts_col)
+    """One row: where the next pull starts, in UTC; unchanged when nothing came."""
+    newest = F.max(ts_col).cast("timestamp_ntz")
     if high_water is not None:
-        newest = F.coalesce(newest, F.lit(high_water).cast(rows.schema[ts_col].dataType))
+        newest = F.coalesce(newest, instant(high_water, "timestamp_ntz"))
     return rows.agg(newest.alias("high_water"), F.count("*").alias("rows"))
 
 

@@ -1,9 +1,14 @@
 import os
 import sys
+import time
 from datetime import datetime, timezone
 
 import pytest
 
+# Naive datetimes of test data mean UTC.
+os.environ["TZ"] = "UTC"
+time.tzset()
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 

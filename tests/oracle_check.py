@@ -72,7 +72,15 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
-    spark, con = local_session(8), duck(sf)
+    if os.environ.get("PLAIN_SESSION"):
+        # a session with Spark's defaults, as another program may hand in
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
+    con = duck(sf)
     sqls = entry.oracle_sql()
     bad = 0
     for name, fn in entry.queries().items():

@@ -1,11 +1,14 @@
 import json
-from datetime import datetime
+import os
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import utc
 from gaugelake.functions import naming as N
+from gaugelake.functions import timing as T
 from gaugelake.functions import variants as V
 from gaugelake.operators import parse as P
 
@@ -134,3 +137,18 @@ def test_numbers_only_are_measures(spark):
 def test_keys_with_odd_characters(spark):
     data = F.parse_json(F.lit('{"a b":{"c.d":1}}'))
     assert spark.range(1).select(V.as_text(V.field(data, "a b", "c.d")).alias("v")).first().v == "1"
+
+
+def test_time_literals_do_not_depend_on_the_process(spark):
+    aware = datetime(2024, 1, 1, 2, tzinfo=timezone(timedelta(hours=2)))
+    old = os.environ["TZ"]
+    os.environ["TZ"] = "America/New_York"
+    time.tzset()
+    try:
+        r = spark.range(1).select(*[
+            F.unix_seconds(T.instant(x)).alias(n) for n, x in (("naive", datetime(2024, 1, 1)), ("aware", aware), ("day", aware.date()))
+        ]).first()
+    finally:
+        os.environ["TZ"] = old
+        time.tzset()
+    assert (r.naive, r.aware, r.day) == (1704067200,) * 3
