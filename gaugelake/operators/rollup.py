@@ -39,20 +39,20 @@ def stat_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c in numeric_columns(df, exclude) if "timestamp" not in c.lower()]
 
 
-def _clean(column: str) -> Column:
-    # avg, min and max skip NULL but not NaN
-    return F.nanvl(F.col(N.quote(column)).cast("double"), F.lit(None).cast("double"))
-
-
 def stat_aggregates(columns: Sequence[str]) -> list[Column]:
-    functions = {"mean": F.avg, "min": F.min, "max": F.max}
-    return [functions[s](_clean(c)).alias(N.stat_name(c, s)) for c in columns for s in STATS]
+    """Mean, min and max of each column; NaN is skipped like NULL.
+
+    Day rollups have many of these, so they are given as SQL text: one call per aggregate.
+    """
+    functions = {"mean": "avg", "min": "min", "max": "max"}
+    return [
+        F.expr(f"{functions[s]}(nanvl(double({N.quote(c)}), double(null))) AS {N.quote(N.stat_name(c, s))}")
+        for c in columns for s in STATS
+    ]
 
 
 def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    for key in keys:
-        df = df.where(F.col(key).isNotNull())
-    return df
+    return df.where(" AND ".join(f"{N.quote(key)} IS NOT NULL" for key in keys))
 
 
 def minute_rollup(

@@ -193,7 +193,16 @@ ORACLES: dict[str, str] = {
           'daily/' || asset_id || strftime(event_time, '/%Y/%m/') || sensor_name || '_day.parquet' AS day_path,
           count(*) AS "rows"
         FROM a GROUP BY ALL""",
+    "layout_relative_paths": """
+        SELECT o_orderkey,
+          CASE WHEN o_orderstatus = 'O' THEN o_orderkey || '_day' ELSE 'daily/asset_' || o_custkey || '/' || o_orderkey || '_day' END AS rel_path,
+          CAST(o_orderkey AS VARCHAR) AS stem
+        FROM orders""",
     # Flattening
+    "flatten_collision": MESSAGES + """
+        SELECT "offset", sensor_name,
+          CASE WHEN k IN (13, 55, 96) THEN topic WHEN k = 47 THEN CAST(user_id AS VARCHAR) ELSE asset_id END AS topic
+        FROM a""",
     "flatten_wide": MESSAGES + """
         SELECT "offset", sensor_name, asset_id, CASE WHEN k = 29 THEN -1.0 ELSE value END AS value, props_k,
           CASE WHEN k IN (13, 55, 96) THEN '' WHEN k = 47 THEN CAST(user_id AS VARCHAR) ELSE asset_id END AS daqid
@@ -230,6 +239,14 @@ ORACLES: dict[str, str] = {
     ),
     "agg_cascade": _rollup(_BOTH, "measured", ["value", "props_k"], "day"),
     "agg_cascade_sensor": _rollup(_BOTH, "measured", ["value", "props_k"], "day", ("sensor_name",), digits=8),
+    "agg_pivot_wide": f"""SELECT * EXCLUDE (timestamp_first) FROM (
+        {_rollup(_BOTH, "measured", ["value", "props_k"], "minute")})""",
+    "agg_text_buckets": f"""
+        SELECT sensor_name, asset_id, strftime(hour_bucket, '%Y-%m-%d %H:00:00') AS hour_bucket,
+          strftime(minute_bucket_first, '%Y-%m-%dT%H:%M:00') AS minute_bucket_first, hour_bucket AS parsed
+        FROM ({_rollup(_VALUES, "measured", ["value"], "hour")})""",
+    "agg_minute_windows": _rollup(_VALUES, "measured", ["value"], "minute"),
+    "agg_day_windows": _rollup(_VALUES, "measured", ["value"], "day"),
     "set_union_schema": """
         SELECT event_id, floor(value) AS value, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '' AS event_type
         FROM events WHERE event_type IN ('error', 'signup')

@@ -24,6 +24,7 @@ from gaugelake.session import configure
 from gaugelake.sources import incremental as I
 from gaugelake.sources import kafka as K
 from gaugelake.sources import lake
+from gaugelake.streaming import windows as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,11 +56,11 @@ def query(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fn(configure(spark), sf_dir)
-        plain = [
-            F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType == T.TimestampType() else F.col(f.name)
+        return df.selectExpr(*[
+            f"CAST({N.quote(f.name)} AS TIMESTAMP_NTZ) AS {N.quote(f.name)}"
+            if f.dataType == T.TimestampType() else N.quote(f.name)
             for f in df.schema.fields
-        ]
-        return df.select(*plain)
+        ])
 
     QUERIES[fn.__name__] = run
     return run
@@ -67,8 +68,8 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """DOUBLE columns rounded, since sums of doubles depend on their order."""
-    return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name)
+    return df.selectExpr(*[
+        f"round({N.quote(f.name)}, {digits}) AS {N.quote(f.name)}" if f.dataType == T.DoubleType() else N.quote(f.name)
         for f in df.schema.fields
     ])
 
@@ -198,6 +199,19 @@ def layout_rollup_paths(spark, sf_dir):
     return routed(spark, sf_dir).groupBy(*paths).agg(F.count("*").alias("rows"))
 
 
+@query
+def layout_relative_paths(spark, sf_dir):
+    """Paths below the root and, for open orders, outside of it; file stems without level suffix."""
+    root = F.when(F.col("o_orderstatus") == "O", "/elsewhere/").otherwise("/data/raw/")
+    path = F.concat(root, F.lit("daily/asset_"), F.col("o_custkey").cast("string"), F.lit("/"),
+                    F.col("o_orderkey").cast("string"), F.lit("_day"))
+    return W.table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path")).select(
+        "o_orderkey",
+        N.relative_path(F.col("path"), "/data/raw").alias("rel_path"),
+        N.strip_level_suffix(F.regexp_extract("path", "[^/]*$", 0)).alias("stem"),
+    )
+
+
 # Flattening
 
 @query
@@ -209,6 +223,13 @@ def flatten_wide(spark, sf_dir):
     )
 
 
+@query
+def flatten_collision(spark, sf_dir):
+    """A payload field that takes the place of an envelope column where it is given."""
+    flat = FL.flatten_wide(routed(spark, sf_dir), {}, {"topic": ["daqid"]}, on_collision="payload")
+    return flat.select("offset", "topic", "sensor_name")
+
+
 @query
 def flatten_long(spark, sf_dir):
     long = FL.explode_measures(FL.flatten_maps(routed(spark, sf_dir)))
@@ -287,6 +308,38 @@ def agg_cascade_sensor(spark, sf_dir):
     return rounded(R.cascade(wide(spark, sf_dir), list(MEASURES), keys=("sensor_name",)), 8)
 
 
+@query
+def agg_pivot_wide(spark, sf_dir):
+    """The long rollup turned wide for chosen measures."""
+    long = FL.explode_measures(FL.flatten_maps(routed(spark, sf_dir)))
+    minutes = R.minute_rollup(long, ["value"], R.LONG_KEYS)
+    return rounded(R.pivot_measures(minutes, list(MEASURES)).drop("timestamp_first"))
+
+
+@query
+def agg_text_buckets(spark, sf_dir):
+    hours = R.hour_rollup(R.minute_rollup(wide(spark, sf_dir), ["value"]))
+    return R.text_buckets(hours).select(
+        "sensor_name", "asset_id", "hour_bucket", "minute_bucket_first",
+        R.parse_bucket(F.col("hour_bucket")).alias("parsed"),
+    )
+
+
+@query
+def agg_minute_windows(spark, sf_dir):
+    """The streaming form of the minute rollup over the stored messages."""
+    minutes = ST.minute_windows(wide(spark, sf_dir), ["value"], R.SENSOR_KEYS, watermark=None)
+    return rounded(ST.with_bucket(minutes, "minute"))
+
+
+@query
+def agg_day_windows(spark, sf_dir):
+    """Chained windows, minute to hour to day."""
+    minutes = ST.minute_windows(wide(spark, sf_dir), ["value"], R.SENSOR_KEYS, watermark=None)
+    days = ST.day_windows(ST.hour_windows(minutes, R.SENSOR_KEYS), R.SENSOR_KEYS)
+    return rounded(ST.with_bucket(days, "day"))
+
+
 @query
 def set_union_schema(spark, sf_dir):
     """Two schema versions of the events: whole values with ``k``, and fractions with the type."""

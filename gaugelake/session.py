@@ -37,6 +37,8 @@ def local_session(cores: int | str = "*", app: str = "gaugelake", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # no Python call sites in error messages; recording them slows down building large plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
