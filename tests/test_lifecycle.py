@@ -91,7 +91,7 @@ def test_mirror_then_expire(spark, tiers, tmp_path):
     assert entries.count() == 12 and L.uploaded_set(entries).count() == 6
 
     def eligible():
-        return L.cleanup_eligible(lake.list_files(spark, hot), spark.read.parquet(log_path), datetime.utcnow())
+        return L.cleanup_eligible(lake.list_files(spark, hot), spark.read.parquet(log_path), datetime.now())
 
     dry = J.run_delete(eligible(), hot).collect()
     assert [(r.rel_path, r.status) for r in dry] == [("a0/2024/01/15/f0.parquet", "would_delete")] and os.path.exists(first)
