@@ -37,14 +37,14 @@ WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), split AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM docs
 ), starts AS (
   SELECT doc_id, unnest(range(1, len(words) - 1)) AS pos, words FROM split WHERE len(words) >= 3
 ), windows AS (
-  SELECT doc_id, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS window FROM starts
+  SELECT doc_id, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS win FROM starts
 ), twice AS (
-  SELECT doc_id, unnest(list(pos)) AS pos FROM windows GROUP BY doc_id, window HAVING count(*) > 1
+  SELECT doc_id, unnest(list(pos)) AS pos FROM windows GROUP BY doc_id, win HAVING count(*) > 1
 ), repeated AS (
   SELECT doc_id, count(DISTINCT word_pos) AS n
   FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS word_pos FROM twice) GROUP BY doc_id
@@ -54,7 +54,7 @@ WITH docs AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-         len(list_filter(words, x -> list_contains([
+         len(list_filter(words, lambda x: list_contains([
            'the', 'of', 'and', 'to', 'in', 'is', 'that', 'for', 'it', 'was', 'on', 'are', 'as', 'with', 'be', 'by', 'pos',
            'this', 'from', 'an', 'or', 'not', 'have', 'le', 'la', 'les', 'de', 'des', 'du', 'et', 'en', 'un', 'une',
            'est', 'que', 'qui', 'dans', 'pour', 'sur', 'au', 'par', 'il', 'elle', 'ne', 'pas', 'der', 'die', 'das', 'und',
@@ -71,3 +71,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 100 * n_dup_lines > 50 * n_lines) AS kept
 FROM measured
 """
+
+ORACLES["op9_exact_top_k"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""

@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import quality, secretscan, urlrules
-from gaugelake.llm.shared import importable, table, texts
+from gaugelake.llm import bpe, packing, quality, secretscan, sharding, topk, urlrules
+from gaugelake.llm.shared import importable, stored, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,6 +32,26 @@ def query(fn):
     return run
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
+    return packing.packed(pieces)
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secretscan.scanned(texts(table(spark, sf_dir, "documents")))
@@ -40,6 +60,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("counts")[2].alias("n_hex"), F.sha2(F.encode("base", "utf-8"), 256).alias("base_sha256"), "spans")
 
 
+@query
+def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    return out.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -52,3 +81,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.failed_any(quality.BASE_RULES).alias("base_failed"), "kept")
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
