@@ -18,11 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.llm.components import components
+from gaugelake.llm.hashing import mixed, runs_mixed, word_hashes
 from gaugelake.llm.shared import MAX_ID, sort_id, splits, stored, texts
 
 BANDS, ROWS = 40, 5
@@ -33,23 +33,6 @@ MARGIN = 6.0
 BUCKET_NODES, GROUP_SHINGLES = 20_000, 4_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _C2
-    return x ^ (x >> np.uint64(29))
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -57,17 +40,13 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode().translate(_LOWER).split()  # bytes split at exactly these white spaces
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mixed((out + h[k:len(h) - n + 1 + k]) * _C1)
-    return np.unique(out)
+    n = min(width, len(words))
+    return np.unique(runs_mixed(word_hashes(words), n, n))
 
 
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets, the same in every task."""
-    x = _mixed(_mixed(np.arange(1, 2 * count + 1, dtype=np.uint64) * _C1))
+    x = mixed(mixed(np.arange(1, 2 * count + 1, dtype=np.uint64)))
     return x[:count] | np.uint64(1), x[count:]
 
 
@@ -169,9 +148,9 @@ def described(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column(1):
                 values = shingles(text.as_py(), width)
                 low = minima(values, multipliers, offsets)
-                band = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64), 1)
+                band = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for row in low.reshape(BANDS, ROWS).T:
-                    band = _mixed((band + row) * _C1)
+                    band = mixed(band + row)
                 sizes.append(len(values))
                 keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 signatures.append(packed_bits(low, LOW_BITS))
