@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +84,13 @@ def _long(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def segment(words: WordEncoder, text: str) -> tuple[str, bytes | None, str]:
-    """(half word in front, ids between the outer spaces, half word behind); no space: all in front."""
+def halves(text: str) -> tuple[str, str | None, str]:
+    """(half word in front, text between the outer spaces, half word behind); no space: all in front."""
     head, space, rest = text.partition(" ")
     if not space:
         return head, None, ""
-    middle, space, tail = rest.rpartition(" ")
-    return head, words.encode(middle) if space else b"", tail
+    middle, _, tail = rest.rpartition(" ")
+    return head, middle, tail
 
 
 def rejoined(words: WordEncoder, segments: Iterable[tuple[str, bytes | None, str]]) -> bytes:
@@ -133,30 +134,34 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bitmap = encoder(path), told.value
         for batch in batches:
-            rows, size, sent = [], 0, set()
+            sent: set[bytes] = set()
+            rows, plain, size = [], [], 0
             for doc_id, parts in chunked(batch):
                 keys = [content_key(c) for c in parts]
                 marked = [bool(bitmap[(p := _long(k) % BITMAP_BITS) // 32] >> np.uint32(p % 32) & 1) for k in keys]
+                size += sum(map(len, parts))
                 if not any(marked):
-                    rows.append((doc_id, None, 0, None, None, "", words.encode(b"".join(parts).decode()), ""))
+                    plain.append(b"".join(parts).decode())
+                    rows.append([doc_id, None, 0, None, None, "", len(plain) - 1, ""])
                 else:
-                    doc_key, seg, plain = content_key(b"".join(keys)), 0, []
-                    for chunk, key, mark in [*zip(parts, keys, marked, strict=True), (b"", b"", True)]:
-                        if not mark:
-                            plain.append(chunk)
-                            continue
-                        if plain:
-                            rows.append((doc_id, doc_key, seg, None, None, *segment(words, b"".join(plain).decode())))
-                            plain, seg = [], seg + 1
-                        if key:
-                            rows.append((doc_id, doc_key, seg, key, None if key in sent else chunk, None, None, None))
-                            sent.add(key)
+                    doc_key, seg = content_key(b"".join(keys)), 0
+                    for mark, run in groupby(zip(parts, keys, marked, strict=True), key=lambda x: x[2]):
+                        if mark:
+                            for chunk, key, _ in run:
+                                rows.append([doc_id, doc_key, seg, key, None if key in sent else chunk, None, None, None])
+                                sent.add(key)
+                                seg += 1
+                        else:
+                            head, middle, tail = halves(b"".join(chunk for chunk, *_ in run).decode())
+                            if middle is not None:
+                                plain.append(middle)
+                                middle = len(plain) - 1
+                            rows.append([doc_id, doc_key, seg, None, None, head, middle, tail])
                             seg += 1
-                size += sum(map(len, parts))
                 if size > 4_000_000:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            yield _batch(rows)
+                    yield _batch(rows, list(words.encode_all(plain)))
+                    rows, plain, size = [], [], 0
+            yield _batch(rows, list(words.encode_all(plain)))
 
     out = stored(docs.mapInArrow(read, SEGMENTS), "bpe-segments")
     whole = out.filter("doc_key IS NULL").select("doc_id", F.col("mid").alias("ids"))
@@ -164,7 +169,9 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:
-            done = [segment(words, body.decode()) for body in batch.column(1).to_pylist()]
+            done = [halves(body.decode()) for body in batch.column(1).to_pylist()]
+            ids = words.encode_all([middle or "" for _, middle, _ in done])
+            done = [(head, None if middle is None else own, tail) for (head, middle, tail), own in zip(done, ids, strict=True)]
             head, mid, tail = zip(*done, strict=True) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(head, pa.string()), pa.array(mid, pa.binary()),
                                               pa.array(tail, pa.string())], names=["chunk", "head", "mid", "tail"])
@@ -208,7 +215,10 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     return whole.unionByName(parts.mapInArrow(assemble, "doc_id bigint, ids binary"))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[list], ids: list[bytes]) -> pa.RecordBatch:
+    """``mid`` of a row is a place in ``ids``."""
+    for row in rows:
+        row[6] = None if row[6] is None else ids[row[6]]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.string()]
     columns = zip(*rows, strict=True) if rows else [()] * 8
     names = [c.split()[0] for c in SEGMENTS.split(", ")]

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake.llm.shared import stored, texts
-from gaugelake.llm.wordbpe import encoder
+from gaugelake.llm.wordbpe import encoder, grouped
 
 CAPACITY = 2048
 #: Ranks within a length are counted in so many parts, so that a frequent length is not one task.
@@ -93,17 +93,15 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:
-            rows, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(names)])
-                size += len(ids)
-                if with_ids and size > 8_000_000:
-                    yield _batch(rows, names, kinds)
-                    rows, size = [], 0
-            yield _batch(rows, names, kinds)
+            ids_of, texts_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low, high in grouped(texts_of):
+                rows = []
+                for doc_id, ids in zip(ids_of[low:high], words.encode_all(texts_of[low:high]), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(names)])
+                yield _batch(rows, names, kinds)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return texts(df, id_col, text_col).mapInArrow(cut, schema)

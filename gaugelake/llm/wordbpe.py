@@ -7,6 +7,8 @@ encodes each distinct part once per worker and texts are put together from those
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +16,22 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts that a worker remembers; when they are this many it starts anew.
-MAX_PARTS = 250_000
+MAX_PARTS = 500_000
+
+# How the tokenizer splits, spelled out for lower-case Latin-1 text.
+_LETTERS, _NUMBERS, _SPACES = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+
+
+def split(text: str) -> list[str]:
+    """Parts that the tokenizer treats one by one: its own ones for Latin-1, else what stands between spaces."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+    if "<|" in text:  # special tokens are found before anything else
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+    return _LATIN.findall(text.lower())
 
 
 class WordEncoder(dict):
@@ -28,28 +45,34 @@ class WordEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.ends_word = np.array([t.endswith("</w>") for t in self.tokens])
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __missing__(self, part: str) -> bytes:
-        ids = self._simple(part)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        self[part] = ids
+        ids = self[part] = self._library(part).tobytes()
         return ids
 
-    def _simple(self, part: str) -> bytes | None:
-        """A word in capitals, or with one comma or full stop behind it, is put together from known ids."""
-        if part.isascii() and part.isalpha():
-            return None if part.islower() else self[part.lower()]
-        stem, last = part[:-1], part[-1:]
-        if last in (".", ",") and stem.isalpha() and max(stem) < "ɐ":
-            return self[stem] + self[last]
-        return None
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; what is new in some of them goes through the library in one call."""
+        for low, high in grouped(texts):
+            if len(self) > MAX_PARTS:
+                self.clear()
+            parts = [split(text) for text in texts[low:high]]
+            # in lower case and without marks a word is one run of tokens up to a word end
+            new = sorted(part for part in set().union(*parts) if part not in self and part.isalpha() and part.islower())
+            ids = self._library(" ".join(new))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(new):
+                data, at = ids.tobytes(), 0
+                for part, end in zip(new, (4 * ends).tolist(), strict=True):
+                    self[part] = data[at:end]
+                    at = end
+            yield from (b"".join(map(self.__getitem__, own)) for own in parts)
 
     def encode(self, text: str) -> bytes:
-        if len(self) > MAX_PARTS:
-            self.clear()
-        parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join(map(self.__getitem__, parts))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         """As the library does without a decoder: tokens joined by spaces."""
@@ -57,6 +80,18 @@ class WordEncoder(dict):
         return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+def grouped(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` with about ``size`` characters each."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total > size:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
