@@ -138,7 +138,7 @@ def _edges(rows: DataFrame, keys: list[str], value: str, link: Callable[[list],
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set_key``, ``signature`` and ``bands`` of each text."""
+    """``doc_id``, ``text_key``, ``n_shingles``, ``set_key``, ``signature`` and ``bands`` of each text."""
     count = BANDS * ROWS
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +158,14 @@ def described(docs: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), lists],
-                names=["doc_id", "n_shingles", "set_key", "signature", "bands"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), lists],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "signature", "bands"])
 
-    return docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>")
+    return docs.mapInArrow(describe, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``df``.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``text_key`` (a hash) of each row of ``df``.
 
     Texts are linked where 100 * intersection >= ``percent`` * union of their shingle sets. The smallest
     id of a component is kept. A text without words (NULL, empty, white space) is linked with nothing.
@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     """
     docs = texts(df, id_col, text_col).select(sort_id().alias("doc_id"), "text")
     count = BANDS * ROWS
-    rows = stored(described(docs, width), "minhash-rows")
+    rows = stored(described(docs.withColumn("text_key", F.xxhash64("text")), width), "minhash-rows")
     nodes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")), "minhash-nodes")
@@ -226,4 +226,4 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     component = F.coalesce("root", "node", "doc_id")
     return out.select(
         F.nullif("doc_id", F.lit(MAX_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(MAX_ID)).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"))
+        (F.col("doc_id") == component).alias("kept"), "text_key")

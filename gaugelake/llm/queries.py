@@ -102,4 +102,4 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_key")

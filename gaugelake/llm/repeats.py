@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugelake.llm.shared import sort_id, splits, stored, texts
+from gaugelake.llm.shared import sort_id, splits, stored
 
 #: Documents from which on a minimiser is divided.
 HOT_DOCS = 50_000
@@ -155,15 +155,20 @@ def _judged(bodies: DataFrame, kind: Kind) -> DataFrame:
     return bodies.mapInArrow(judge, "key binary, owner bigint, runs array<struct<first:int,last:int>>")
 
 
-def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
-    """``doc_id`` (NULL ids as the largest), ``text``, ``is_copy`` and ``windows`` of each row of ``df``.
+def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` (NULL ids as the largest), ``text``, ``is_copy``, ``windows`` and ``carried`` of each row of ``df``.
+
+    ``carried`` is a struct of the columns ``carry``, for callers that go on with whole rows.
 
     ``windows`` are ranges of window positions [first, last) that also start in a document with a
     smaller id, in any order and overlapping; for a copy (its whole text is a smaller document's) they
     are not listed. Rows of one id are one document: they repeat nothing of each other.
     """
-    docs = texts(df, id_col, text_col).select(sort_id().alias("doc_id"), "text")
-    docs = docs.withColumn("tkey", F.xxhash64("text"))
+    whole = df.select(sort_id(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                      F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    whole = whole.withColumn("tkey", F.xxhash64("text"))
+    docs = whole.drop("carried")
 
     named = docs.select("doc_id", "tkey", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)).alias("sha"))
     owners = named.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last")
@@ -196,6 +201,6 @@ def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: st
     spans = spans.select("doc_id", F.struct("tkey", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("span"))
     marks = spans.unionByName(copies.select("doc_id", F.struct(
         "tkey", F.lit(-1).alias("first"), F.lit(-1).alias("last")).alias("span"))).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    out = docs.join(marks, "doc_id", "left")
+    out = whole.join(marks, "doc_id", "left")
     own = F.filter(F.coalesce("spans", F.array().cast("array<struct<tkey:bigint,first:int,last:int>>")), lambda s: s["tkey"] == F.col("tkey"))
-    return out.select("doc_id", "text", F.exists(own, lambda s: s["first"] < 0).alias("is_copy"), F.filter(own, lambda s: s["first"] >= 0).alias("windows"))
+    return out.select("doc_id", "text", F.exists(own, lambda s: s["first"] < 0).alias("is_copy"), F.filter(own, lambda s: s["first"] >= 0).alias("windows"), "carried")

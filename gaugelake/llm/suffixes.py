@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugelake.llm.hashing import mixed, sliding_min
 from gaugelake.llm.repeats import HOT_DOCS, runs_of, with_repeats
@@ -155,19 +156,20 @@ def removed_runs(windows: list[tuple[int, int]], width: int) -> list[list[int]]:
 
 
 def without_repeats(df: DataFrame, width: int = 50, whole_characters: bool = False, id_col: str = "doc_id",
-                    text_col: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
+                    text_col: str = "text", hot_docs: int = HOT_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (start, end) and ``kept`` (bytes) of each row.
 
-    A byte is removed if a string of ``width`` bytes that covers it also starts in a document with a
+    ``carried`` is a struct of the columns ``carry`` of ``df``. A byte is removed if a string of ``width`` bytes that covers it also starts in a document with a
     smaller id. With ``whole_characters`` runs shrink to whole characters, so that ``kept`` is valid
     UTF-8. A NULL text is empty. Rows of one id are one document; a NULL id counts as the largest and
     stays NULL. Repeated rows are returned as often as they come.
     """
-    marked = with_repeats(df, ByteWindows(width), id_col, text_col, hot_docs)
+    marked = with_repeats(df, ByteWindows(width), id_col, text_col, hot_docs, carry)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
+            rows, size, done = [], 0, 0
             for doc_id, text, is_copy, windows in zip(*[batch.column(i) for i in range(4)], strict=True):
                 data, windows = text.as_py().encode(), [(w["first"], w["last"]) for w in windows.as_py()]
                 if is_copy.as_py() and len(data) >= width:
@@ -187,16 +189,18 @@ def without_repeats(df: DataFrame, width: int = 50, whole_characters: bool = Fal
                 rows.append((doc_id.as_py(), len(data), len(data) - len(kept), len(runs), runs, kept))
                 size += len(data)
                 if size > 8_000_000:
-                    yield batch_of(rows)
-                    rows, size = [], 0
-            yield batch_of(rows)
+                    yield batch_of(rows, batch.column(4).slice(done, len(rows)))
+                    rows, size, done = [], 0, done + len(rows)
+            yield batch_of(rows, batch.column(4).slice(done))
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    def batch_of(rows: list[tuple], carried: pa.Array) -> pa.RecordBatch:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
         columns = zip(*rows, strict=True) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, carried], names=[*names, "carried"])
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    schema = T.StructType.fromDDL(
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    schema = T.StructType([*schema, marked.schema["carried"]])
     return marked.mapInArrow(cut, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(MAX_ID)))
