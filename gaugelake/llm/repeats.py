@@ -29,7 +29,7 @@ from gaugelake.llm.shared import sort_id, splits, stored
 #: Documents from which on a minimiser is divided.
 HOT_DOCS = 50_000
 #: Bytes of super-k-mers that a bucket task works on at once, unless one minimiser has more.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 class Kind(Protocol):
@@ -107,7 +107,7 @@ def _super_kmers(docs: DataFrame, kind: Kind) -> DataFrame:
                     docs_.append(doc)
                     tkeys.append(own)
                     starts.append(a)
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield _found(found)
                     found, size = {}, 0
             yield _found(found)

@@ -14,7 +14,10 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 MAX_ID = 2**63 - 1
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, lineage cut.
 
-    Shuffle files that led to it go as soon as it is written.
+    Shuffle files that led to it go as soon as it is written; Python workers get smaller batches.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
+    before = {key: spark.conf.get(key) for key in WHILE_WRITING}
     try:
-        spark.conf.set(CLEAN_UP, "true")
+        for key, value in WHILE_WRITING.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
