@@ -34,9 +34,9 @@ def token_count(text: Column) -> Column:
 
 def place(units: Sequence[Sequence[float]], shards: int) -> list[int]:
     """The shard of each unit (a vector of sizes)."""
-    sizes = np.array(units, float).reshape(len(units), -1)
-    if not len(sizes):
+    if not units:
         return []
+    sizes = np.array(units, float)
     scaled = sizes / np.maximum(sizes.sum(0), 1) * shards  # a shard holds 1 of each
     left = np.ones((shards, sizes.shape[1]))
     where = np.zeros(len(sizes), int)

@@ -1,0 +1,127 @@
+"""Operators 1 and 2 against the tokenizer library and the laws of their results."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from gaugelake.llm import packing, queries, sharding
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def want_pieces(tokenizer, rows, capacity):
+    out = []
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), capacity)):
+            part = ids[at:at + capacity]
+            out.append((doc_id, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    return Counter(out)
+
+
+def check_packed(rows, capacity):
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by_sequence)
+
+
+def test_packing_query(spark, sf_dir, tokenizer):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = queries.QUERIES["op1_best_fit_packing"](spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want_pieces(tokenizer, docs, 2048)
+    assert check_packed(rows, 2048) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_packing_odd_rows(odd_docs, odd_rows, no_docs, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "SLOTS_PER_ROW", 3)
+    pieces = packing.pieces(odd_docs, queries.tokenizer_path(), capacity=16)
+    rows = packing.packed(pieces, capacity=16).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want_pieces(tokenizer, odd_rows, 16)
+    check_packed(rows, 16)
+    assert packing.packed(packing.pieces(no_docs, queries.tokenizer_path())).count() == 0
+
+
+def test_pieces_carry_ids(odd_docs):
+    path = queries.tokenizer_path()
+    for r in packing.pieces(odd_docs, path, capacity=100, with_ids=True).collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
+def test_plan_places_every_piece_once():
+    rng = random.Random(5)
+    for _ in range(50):
+        capacity = rng.choice([7, 50, 2048])
+        counts = {rng.randint(1, capacity): rng.randint(1, 500) for _ in range(rng.randint(0, 40))}
+        used, placed = Counter(), Counter()
+        for run in packing.best_fit(counts, capacity):
+            assert run.rank == placed[run.length]
+            placed[run.length] += run.count
+            for k in range(run.count):
+                used[run.sequence + k // run.each] += run.length
+        assert placed == Counter(counts) and max(used.values(), default=0) <= capacity
+        # a plan over counts is as good as placing the pieces one by one
+        rooms = []
+        for length in sorted(Counter(counts).elements(), reverse=True):
+            fits = [i for i, room in enumerate(rooms) if room >= length]
+            if fits:
+                best = min(fits, key=lambda i: rooms[i])
+                rooms[best] -= length
+            else:
+                rooms.append(capacity - length)
+        assert len(used) == len(rooms)
+
+
+def check_shards(rows, docs, shards):
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    for shard in range(shards):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert {r.shard for r in rows} <= set(range(shards))
+
+
+def test_sharding_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = queries.QUERIES["op2_sharding"](spark, sf_dir).collect()
+    check_shards(rows, docs, 8)
+    loads = Counter()
+    for r in rows:
+        assert r.law == "bytes" and r.grown_shard is None
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= max(r.size for r in rows)
+
+
+def test_sharding_odd_rows(odd_docs, odd_rows, no_docs):
+    check_shards(sharding.sharded(odd_docs, 3).collect(), odd_rows, 3)
+    assert sharding.sharded(no_docs).count() == 0
+
+
+def test_sharding_splits_a_hot_group(spark):
+    docs = [(i, "hot text") for i in range(600)] + [(1000 + i, f"text {i}") for i in range(1200)]
+    rows = sharding.sharded(spark.createDataFrame(docs, "doc_id bigint, text string"), 4).collect()
+    check_shards(rows, docs, 4)
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(loads.values()) <= 1.02 * min(loads.values())
+
+
+def test_small_groups_stay_together(spark):
+    docs = [(i, f"text {i // 3}") for i in range(6000)]
+    shard_of = {}
+    for r in sharding.sharded(spark.createDataFrame(docs, "doc_id bigint, text string"), 4).collect():
+        assert shard_of.setdefault(r.doc_id // 3, r.shard) == r.shard
