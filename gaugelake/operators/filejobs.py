@@ -7,7 +7,6 @@ twice does not run the job twice. Both actions can be repeated without harm.
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -20,9 +19,11 @@ from pyspark.sql import functions as F
 
 from gaugelake.constants import COPY_CHUNK_BYTES, COPY_RETRIES, COPY_RETRY_DELAY_S
 from gaugelake.session import shared_dir
+from gaugelake.sources.lake import filesystem
 
-# Small tasks: a lost executor repeats few files, and big files even out over many tasks.
-FILES_PER_TASK = 16
+# A task's share: a lost executor repeats no more than that.
+FILES_PER_TASK = 1000
+BYTES_PER_TASK = 512 * 1024 * 1024
 
 RESULT_SCHEMA = (
     "rel_path string, status string, reason string, size bigint, attempts int, finished_at timestamp"
@@ -49,8 +50,8 @@ def run_copy(
     )
 
     def copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, source_base = _filesystem(source_root)
-        target, target_base = _filesystem(target_root)
+        source, source_base = filesystem(source_root)
+        target, target_base = filesystem(target_root)
         for batch in batches:
             done = [
                 _copy_one(source, f"{source_base}/{p}", target, f"{target_base}/{p}", retries, retry_delay_s)
@@ -77,7 +78,7 @@ def run_delete(
         )
 
     def delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = _filesystem(root)
+        files, base = filesystem(root)
         context = TaskContext.get()
         repeated = context is not None and context.attemptNumber() > 0
         for batch in batches:
@@ -89,12 +90,18 @@ def run_delete(
 
 
 def _in_tasks(files: DataFrame, tasks: int | None) -> DataFrame:
-    """Files over ``tasks`` tasks; how many run at a time is up to the cluster."""
+    """Files over ``tasks`` tasks, by default by bytes and number; how many run at a time is up to the cluster."""
     if tasks is None:
-        tasks = max(1, -(-files.count() // FILES_PER_TASK))
+        n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        tasks = max(1, -(-n // FILES_PER_TASK), -(-size // BYTES_PER_TASK))
     return files.repartition(tasks)
 
 
+def snapshot(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as it is now, in the shared folder."""
+    return _snapshot(df, _new_job_dir(df.sparkSession, kind))
+
+
 def append_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
@@ -108,14 +115,6 @@ def _snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _filesystem(root: str):
-    """File system and base path of a root: a URI (s3, gs, hdfs, file, …) or a local path."""
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(root if ":" in root else os.path.abspath(root))
-    return system, base.rstrip("/")
-
-
 def _copy_one(source, source_path: str, target, target_path: str, retries: int, delay_s: float):
     error = None
     for attempt in range(1, retries + 1):

@@ -39,6 +39,19 @@ def sync_plan(local: DataFrame, remote: DataFrame, tolerance: int = SIZE_TOLERAN
     return plan.select(*local.columns, action.alias("action"), "reason")
 
 
+def superseded(local: DataFrame, remote: DataFrame, log: DataFrame) -> DataFrame:
+    """Copies that the hot tier has replaced: another file is in their folder now, and they did not expire.
+
+    Rewriting a partition gives its files new names. A file that was deleted because of its age keeps its
+    copy, which the log tells.
+    """
+    folder = F.regexp_replace("rel_path", "/[^/]*$", "")
+    alive = local.select(folder.alias("folder")).distinct()
+    gone = log.where(F.col("event") == "deleted").select("rel_path").distinct()
+    stale = remote.join(local.select("rel_path"), "rel_path", "left_anti").join(gone, "rel_path", "left_anti")
+    return stale.withColumn("folder", folder).join(alive, "folder", "left_semi").drop("folder")
+
+
 def sync_summary(results: DataFrame) -> DataFrame:
     """Totals per status of copy results."""
     return results.groupBy("status").agg(
@@ -72,6 +85,13 @@ def log_entries(results: DataFrame) -> DataFrame:
     ).where(F.col("event").isNotNull())
 
 
+def news(results: DataFrame, log: DataFrame) -> DataFrame:
+    """Copy results that change what the log says: copies, and files found up to date for the first time."""
+    known = uploaded_set(log).select("rel_path")
+    again = F.col("reason").eqNullSafe("already_up_to_date")
+    return results.where(~again).unionByName(results.where(again).join(known, "rel_path", "left_anti"))
+
+
 def uploaded_set(log: DataFrame) -> DataFrame:
     """Paths whose latest entry is an upload, once each.
 

@@ -1,4 +1,6 @@
-"""Monitoring questions over raw rows and a ``metrics(ts, name, value)`` table.
+"""Monitoring questions over raw rows and a ``metrics(ts, name, labels, series, value)`` table.
+
+A series is a name with one set of labels; ``series`` is the labels as text, which can be grouped by.
 
 Series can be hot, so rows are first reduced to time steps (with map-side partial aggregation);
 windows over a series then see a number of rows bounded by the time span, not by the data.
@@ -38,9 +40,18 @@ def as_metrics(report: DataFrame, ts: datetime | Column, labels: Sequence[str] =
         for f in report.schema.fields
         if isinstance(f.dataType, (T.NumericType, T.BooleanType)) and f.name not in labels
     ]
-    return report.select(at.alias("ts"), label_map.alias("labels"), F.inline(F.array(*values))).select(
-        "ts", "name", "labels", "value"
-    )
+    written = [F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in sorted(labels)]
+    return report.select(
+        at.alias("ts"), label_map.alias("labels"), F.concat_ws(",", *written).alias("series"), F.inline(F.array(*values))
+    ).select("ts", "name", "labels", "series", "value")
+
+
+SERIES = ("name", "series")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Append samples to a metrics table by date."""
+    metrics.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).write.mode("append").partitionBy("date").parquet(path)
 
 
 def message_rate(rows: DataFrame, by: Sequence[str], time_col: str, window: str = RATE_WINDOW,
@@ -51,7 +62,7 @@ def message_rate(rows: DataFrame, by: Sequence[str], time_col: str, window: str
     )
 
 
-def counter_rate(metrics: DataFrame, by: Sequence[str] = ("name",), window: str = RATE_WINDOW,
+def counter_rate(metrics: DataFrame, by: Sequence[str] = SERIES, window: str = RATE_WINDOW,
                  window_s: int = RATE_WINDOW_S, grain: str = "10 seconds") -> DataFrame:
     """Per-second increase of counters in tumbling windows; a drop is a reset to zero.
 
@@ -114,16 +125,23 @@ def consumer_lag(latest: DataFrame, committed: DataFrame, limit: int = LAG_LIMIT
 
 
 def silences(rows: DataFrame, by: Sequence[str], time_col: str, until: datetime,
-             step: str = RATE_WINDOW, step_s: int = RATE_WINDOW_S, min_silence_s: int = SILENCE_AFTER_S) -> DataFrame:
-    """Stretches of empty windows, at least ``min_silence_s`` long, up to ``until``.
+             step: str = RATE_WINDOW, step_s: int = RATE_WINDOW_S, min_silence_s: int = SILENCE_AFTER_S,
+             expected: DataFrame | None = None, since: datetime | None = None) -> DataFrame:
+    """Stretches of empty windows, at least ``min_silence_s`` long, up to ``until``; later rows do not count.
 
-    Only windows with messages are kept and compared with their successor; the empty ones between
+    Series of ``expected`` (columns ``by``) without any row are silent from ``since`` on. Only windows with messages are kept and compared with their successor; the empty ones between
     them need not be generated.
     """
+    rows = rows.where(F.col(time_col) < instant(until, rows.schema[time_col].dataType.simpleString()))
     active = rows.groupBy(*by, _step(time_col, step).alias("_start")).agg(F.count("*").alias("_n"))
     end = F.col("_start") + F.make_dt_interval(secs=F.lit(step_s))
     following = F.lead("_start", 1).over(Window.partitionBy(*by).orderBy("_start"))
     gaps = active.select(*by, end.alias("gap_start"), F.coalesce(following, instant(until)).alias("gap_end"))
+    if expected is not None:
+        if since is None:
+            raise ValueError("expected series need a time since when they are expected")
+        unseen = expected.select(*by).distinct().join(active.select(*by).distinct(), list(by), "left_anti")
+        gaps = gaps.unionByName(unseen.select(*by, instant(since).alias("gap_start"), instant(until).alias("gap_end")))
     length = (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / F.lit(1_000_000.0)
     return gaps.withColumn("gap_seconds", length).where(F.col("gap_seconds") >= min_silence_s)
 
@@ -137,7 +155,7 @@ def usage_ratio(used: DataFrame, capacity: DataFrame, by: Sequence[str], limit:
     )
 
 
-def held_thresholds(metrics: DataFrame, limit: float, hold_s: int, by: Sequence[str] = ("name",),
+def held_thresholds(metrics: DataFrame, limit: float, hold_s: int, by: Sequence[str] = SERIES,
                     step: str = "1 minute", step_s: int = 60, max_gap_s: int = 300) -> DataFrame:
     """Periods in which a metric stayed above ``limit`` for at least ``hold_s``.
 
@@ -175,7 +193,7 @@ def rollup_delay(rollup: DataFrame, now: datetime, by: Sequence[str], bucket: st
     return newest.select(*by, "last_bucket", delay.alias("delay_seconds"), (delay > limit_s).alias("breach"))
 
 
-def last_values(metrics: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
+def last_values(metrics: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """Latest non-null value of each series (samples of a series have distinct times)."""
     return metrics.where(F.col("value").isNotNull()).groupBy(*by).agg(
         F.max("ts").alias("last_ts"), F.max_by("value", "ts").alias("last_value")

@@ -96,7 +96,7 @@ def _next_level(df: DataFrame, keys: Sequence[str], below: str, bucket: Column)
 
 
 def in_hour(minutes: DataFrame, target: datetime, column: str = "minute_bucket") -> DataFrame:
-    """The full hour of ``target``, as a range so that it reaches the scan."""
+    """The full hour of ``target``. Cut rows before rolling them up: buckets are computed, a range on them stays above the scan."""
     start = instant(target.replace(minute=0, second=0, microsecond=0))
     return minutes.where((F.col(column) >= start) & (F.col(column) < start + F.expr("INTERVAL 1 HOUR")))
 

@@ -12,24 +12,44 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugelake.constants import RAW_FLUSH_AGE, RETENTION_DAYS, TOPIC_PATTERN
 from gaugelake.operators import filejobs as J
+from gaugelake.functions import naming as N
 from gaugelake.operators import lifecycle as L
-from gaugelake.plans.refresh import LEVELS, refresh_rollups
+from gaugelake.plans.refresh import LEVELS, TABLES, refresh_new, refresh_rollups, table, table_path
 from gaugelake.session import configure
 from gaugelake.sources import lake
 from gaugelake.sources.kafka import kafka_stream
 from gaugelake.streaming.ingest import start_ingest
 
+LOG_SCHEMA = "rel_path string, event string, logged_at timestamp"
+
 
 def mirror(spark: SparkSession, root: str, cold: str, log: str, **copy_options) -> DataFrame:
-    """Copy what is new or changed to the cold tier and log it; returns the result rows."""
-    plan = L.sync_plan(lake.list_files(spark, root), lake.list_files(spark, cold))
+    """Copy what is new or changed to the cold tier, remove copies it replaces, log the news; returns the result rows.
+
+    Copies go first: a reader of the cold tier may see a partition's old and new files, never neither.
+    """
+    before = read_log(spark, log)
+    local, remote = lake.list_files(spark, root), lake.list_files(spark, cold)
+    plan = J.snapshot(L.sync_plan(local, remote), "sync-plan")
+    stale = J.snapshot(L.superseded(plan, remote, before), "superseded")
     results = J.run_copy(plan, root, cold, **copy_options)
-    J.append_log(L.log_entries(results), log)
-    return results
+    removed = J.run_delete(stale, cold, dry_run=False)
+    entries = L.log_entries(L.news(results, before)).unionByName(
+        removed.where("status = 'deleted'").select("rel_path", F.lit("superseded").alias("event"), F.col("finished_at").alias("logged_at")))
+    J.append_log(entries, log)
+    return results.unionByName(removed.withColumn("reason", F.lit("superseded")))
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    """The upload log; one that is not there yet is empty."""
+    return spark.read.schema(LOG_SCHEMA).parquet(log) if lake.exists(spark, log) else spark.createDataFrame([], LOG_SCHEMA)
 
 
 def expire(
@@ -37,7 +57,7 @@ def expire(
     **delete_options,
 ) -> DataFrame:
     """Delete old, mirrored files (only listed unless ``dry_run=False``); returns the result rows."""
-    eligible = L.cleanup_eligible(lake.list_files(spark, root), spark.read.parquet(log), now, age_days)
+    eligible = L.cleanup_eligible(lake.list_files(spark, root), read_log(spark, log), now, age_days)
     results = J.run_delete(eligible, root, dry_run, **delete_options)
     if not dry_run:
         J.append_log(L.log_entries(results), log)
@@ -45,7 +65,14 @@ def expire(
 
 
 def stats(spark: SparkSession, root: str) -> DataFrame:
-    return L.storage_stats(lake.manifest_parts(lake.list_files(spark, root)))
+    """Files and bytes per tier and asset of the engine's tables; a file of several assets counts for each."""
+    tiers = [lake.asset_files(table(spark, root, name), name) for name in TABLES if lake.exists(spark, table_path(root, name))]
+    if not tiers:
+        return L.storage_stats(lake.manifest_parts(lake.list_files(spark, root)))
+    per_file = reduce(DataFrame.unionByName, tiers)
+    per_asset = per_file.groupBy("tier", "asset_id").agg(
+        F.countDistinct("file").alias("files"), F.round(F.sum("size")).cast("bigint").alias("size_bytes"))
+    return per_asset.withColumn("size_mb", N.megabytes(F.col("size_bytes")))
 
 
 def _arguments() -> argparse.ArgumentParser:
@@ -60,11 +87,15 @@ def _arguments() -> argparse.ArgumentParser:
     job.add_argument("--max-offsets-per-trigger", type=int)
     job.add_argument("--every", default=RAW_FLUSH_AGE)
     job.add_argument("--drain", action="store_true", help="take what there is and end")
-    job.add_argument("--checkpoint")
+    job.add_argument("--checkpoint", required=True)
 
     job = jobs.add_parser("refresh", help="recompute rollups of hours and their days")
     job.add_argument("--root", required=True)
-    job.add_argument("--hour", action="append", required=True, type=datetime.fromisoformat)
+    which = job.add_mutually_exclusive_group(required=True)
+    which.add_argument("--hour", action="append", type=datetime.fromisoformat)
+    which.add_argument("--new", action="store_true", help="the hours of all rows that landed since the last such refresh")
+    job.add_argument("--cold", help="cold tier, for hours whose raw files have expired")
+    job.add_argument("--log", help="upload log, to tell such hours")
     job.add_argument("--level", choices=LEVELS, default="both")
 
     job = jobs.add_parser("mirror", help="copy new and changed files to the cold tier")
@@ -80,6 +111,7 @@ def _arguments() -> argparse.ArgumentParser:
 
     job = jobs.add_parser("stats", help="files and bytes per tier and asset")
     job.add_argument("--root", required=True)
+    job.add_argument("--out", required=True, help="where the table of results goes")
     return parser
 
 
@@ -95,7 +127,11 @@ def main(argv: list[str] | None = None) -> None:
             messages, args.root, checkpoint=args.checkpoint, drain=args.drain, every=args.every
         ).awaitTermination()
     elif args.job == "refresh":
-        refresh_rollups(spark, args.root, args.hour, args.level)
+        deleted = read_log(spark, args.log).where("event = 'deleted'").select("rel_path") if args.log else None
+        if args.new:
+            refresh_new(spark, args.root, args.level, cold=args.cold, deleted=deleted)
+        else:
+            refresh_rollups(spark, args.root, args.hour, args.level, cold=args.cold, deleted=deleted)
     elif args.job == "mirror":
         L.sync_summary(mirror(spark, args.root, args.cold, args.log)).show(truncate=False)
     elif args.job == "expire":
@@ -103,7 +139,7 @@ def main(argv: list[str] | None = None) -> None:
         results = expire(spark, args.root, args.log, now, args.age_days, dry_run=not args.delete)
         L.cleanup_report(results).show(truncate=False)
     elif args.job == "stats":
-        stats(spark, args.root).orderBy("tier", "asset_id").show(1000, truncate=False)
+        stats(spark, args.root).write.mode("overwrite").parquet(args.out)
 
 
 if __name__ == "__main__":

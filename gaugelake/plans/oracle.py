@@ -57,9 +57,8 @@ WITH files AS (
     CASE o_orderpriority WHEN '5-LOW' THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS mtime
   FROM files WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')
 ), log AS (
-  SELECT rel_path, CASE WHEN l_linestatus = 'F' THEN 'uploaded' ELSE 'deleted' END AS event, l_shipdate AS logged_at
+  SELECT rel_path, CASE WHEN l_linestatus = 'F' THEN 'uploaded' WHEN l_returnflag = 'R' THEN 'deleted' ELSE 'failed' END AS event, l_shipdate AS logged_at
   FROM lineitem JOIN files ON l_orderkey = o_orderkey
-  WHERE l_linestatus = 'F' OR l_returnflag = 'R'
 ), state AS (
   SELECT rel_path, max(logged_at) FILTER (event = 'uploaded') AS uploaded_at,
     max(logged_at) FILTER (event = 'deleted') AS deleted_at
@@ -300,12 +299,13 @@ ORACLES: dict[str, str] = {
         FROM m GROUP BY ALL""",
     "mon_counter_rate": """
         WITH c AS (
-          SELECT event_type AS name, ts, date_trunc('hour', ts) AS window_start, CAST(event_id % 500 AS DOUBLE) AS v
+          SELECT 'half=' || (user_id % 2) || ',topic=' || event_type AS series, ts, date_trunc('hour', ts) AS window_start,
+            CAST(event_id % 500 AS DOUBLE) AS v
           FROM events
         ), d AS (
-          SELECT *, lag(v) OVER (PARTITION BY name, window_start ORDER BY ts) AS p FROM c
+          SELECT *, lag(v) OVER (PARTITION BY series, window_start ORDER BY ts) AS p FROM c
         )
-        SELECT name, window_start, count(*) AS samples,
+        SELECT 'events_total' AS name, series, window_start, count(*) AS samples,
           round(coalesce(sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END), 0), 6) AS increase,
           round(coalesce(sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END), 0) / 3600, 6) AS rate
         FROM d GROUP BY ALL""",
@@ -318,7 +318,7 @@ ORACLES: dict[str, str] = {
           SELECT topic, "partition", max("offset") AS latest_offset,
             coalesce(max("offset") FILTER (ingest_ts <= TIMESTAMP '2024-01-20'), -1) AS committed_offset
           FROM m GROUP BY ALL)
-        SELECT *, latest_offset - committed_offset AS lag, latest_offset - committed_offset > 10000 AS breach FROM h""",
+        SELECT *, latest_offset - committed_offset AS lag, latest_offset - committed_offset > 3500 AS breach FROM h""",
     "mon_gaps": MESSAGES + """, w AS (
           SELECT DISTINCT topic, time_bucket(INTERVAL 5 MINUTES, ts) AS s FROM m
         ), g AS (
@@ -335,17 +335,18 @@ ORACLES: dict[str, str] = {
         FROM u JOIN q USING (asset_id) WHERE capacity_bytes > 0""",
     "mon_threshold_for": """
         WITH s AS (
-          SELECT event_type AS name, date_trunc('minute', ts) AS t, arg_max(value, ts) AS v FROM events GROUP BY ALL
+          SELECT 'half=' || (user_id % 2) || ',topic=' || event_type AS series, date_trunc('minute', ts) AS t,
+            arg_max(value, ts) AS v FROM events GROUP BY ALL
         ), c AS (
           SELECT *, v > 40 AS above, lag(v > 40) OVER w AS p, t - lag(t) OVER w AS gap FROM s
-          WINDOW w AS (PARTITION BY name ORDER BY t)
+          WINDOW w AS (PARTITION BY series ORDER BY t)
         ), n AS (
           SELECT *, sum(CASE WHEN above AND NOT coalesce(p AND gap <= INTERVAL 1 HOUR, false) THEN 1 ELSE 0 END)
-            OVER (PARTITION BY name ORDER BY t ROWS UNBOUNDED PRECEDING) AS period FROM c
+            OVER (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING) AS period FROM c
         ), h AS (
-          SELECT name, min(t) AS held_from, max(t) AS held_until, count(*) AS steps, max(v) AS peak
-          FROM n WHERE above GROUP BY name, period)
-        SELECT name, held_from, held_until, date_diff('second', held_from, held_until) AS held_seconds, steps,
+          SELECT series, min(t) AS held_from, max(t) AS held_until, count(*) AS steps, max(v) AS peak
+          FROM n WHERE above GROUP BY series, period)
+        SELECT 'event_value' AS name, series, held_from, held_until, date_diff('second', held_from, held_until) AS held_seconds, steps,
           round(peak, 6) AS peak
         FROM h WHERE date_diff('second', held_from, held_until) >= 300""",
     "mon_rollup_delay": MESSAGES + """, d AS (
@@ -355,7 +356,8 @@ ORACLES: dict[str, str] = {
           epoch(TIMESTAMP '2024-01-30' - last_bucket) > 7200 AS breach
         FROM d""",
     "mon_last_value": """
-        SELECT event_type AS name, max(ts) AS last_ts, round(arg_max(value, ts), 6) AS last_value
+        SELECT 'event_value' AS name, 'half=' || (user_id % 2) || ',topic=' || event_type AS series, max(ts) AS last_ts,
+          round(arg_max(value, ts), 6) AS last_value
         FROM events WHERE value IS NOT NULL GROUP BY ALL""",
     "mon_stale": MESSAGES + """, l AS (SELECT topic, "partition", max(ts) AS last_message FROM m GROUP BY ALL)
         SELECT *, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_message)) / 1000000.0, 6) AS age_seconds FROM l

@@ -41,7 +41,7 @@ HELD_LIMIT = 40.0
 HELD_SECONDS = 300
 HELD_GAP_SECONDS = 3600
 LAG_CUT = datetime(2024, 1, 20)
-LAG_LIMIT = 10_000
+LAG_LIMIT = 3_500
 ROLLUP_NOW = datetime(2024, 1, 30)
 STALE_SECONDS = 21_600
 
@@ -273,8 +273,8 @@ def agg_hour(spark, sf_dir):
 
 @query
 def agg_hour_target(spark, sf_dir):
-    minutes = R.minute_rollup(wide(spark, sf_dir), ["value"])
-    return rounded(R.hour_rollup(R.in_hour(minutes, TARGET_HOUR)))
+    rows = R.in_hour(wide(spark, sf_dir), TARGET_HOUR, "event_time")
+    return rounded(R.hour_rollup(R.minute_rollup(rows, ["value"])))
 
 
 @query
@@ -289,8 +289,8 @@ def agg_day(spark, sf_dir):
 
 @query
 def agg_day_target(spark, sf_dir):
-    hours = R.hour_rollup(R.minute_rollup(W.samples(spark, sf_dir), ["quantity"]))
-    return rounded(R.day_rollup(R.in_day(hours, TARGET_DAY)))
+    rows = R.in_day(W.samples(spark, sf_dir), TARGET_DAY, "event_time")
+    return rounded(R.day_rollup(R.hour_rollup(R.minute_rollup(rows, ["quantity"]))))
 
 
 @query

@@ -13,16 +13,17 @@ rows are picked up by refreshing the hours they belong to.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugelake.constants import STATS
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import rollup as R
+from gaugelake.operators.filejobs import snapshot
 from gaugelake.sources import lake
 
 LEVELS = ("hourly", "daily", "both")
@@ -37,7 +38,7 @@ RAW_SCHEMA = _schema(
     sensor_name=_TEXT, table_name=_TEXT, asset_id=_TEXT, event_time=_TIME, time_quality=_TEXT, topic=_TEXT,
     partition=T.IntegerType(), offset=_LONG, kafka_timestamp=_LONG, ingest_ts=_TIME, arrival_order=_LONG,
     measures=T.MapType(_TEXT, _DOUBLE), attrs=T.MapType(_TEXT, _TEXT),
-    event_date=_TEXT, event_hour=_TEXT, ingest_batch=_LONG,
+    event_date=_TEXT, event_hour=_TEXT, ingest_batch=_TEXT,
 )
 
 
@@ -62,7 +63,7 @@ MINUTE_SCHEMA = _rollup_schema("minute_bucket", _TIME, "timestamp_first", 1, "ev
 HOUR_SCHEMA = _rollup_schema("hour_bucket", _TIME, "minute_bucket_first", 2, "event_date", "event_hour")
 DAY_SCHEMA = _rollup_schema("day_bucket", T.DateType(), "hour_bucket_first", 3, "event_date")
 
-_TABLES = {"raw": RAW_SCHEMA, "minute": MINUTE_SCHEMA, "hour": HOUR_SCHEMA, "day": DAY_SCHEMA}
+TABLES = {"raw": RAW_SCHEMA, "minute": MINUTE_SCHEMA, "hour": HOUR_SCHEMA, "day": DAY_SCHEMA}
 
 
 def table_path(root: str, name: str) -> str:
@@ -70,13 +71,36 @@ def table_path(root: str, name: str) -> str:
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return lake.read_table(spark, table_path(root, name), _TABLES[name])
+    return lake.read_table(spark, table_path(root, name), TABLES[name])
 
 
-def _in_hours(hours: Iterable[datetime]) -> Column:
-    """A predicate on partition columns only: other hours are not even listed."""
-    labels = sorted({h.strftime("%Y-%m-%d %H") for h in hours})
-    return F.concat_ws(" ", "event_date", "event_hour").isin(labels)
+def hour_folders(hours: Iterable[datetime]) -> list[str]:
+    return sorted({h.strftime("event_date=%Y-%m-%d/event_hour=%H") for h in hours})
+
+
+def hours_of(spark: SparkSession, root: str, name: str, hours: Iterable[datetime]) -> DataFrame:
+    """These hours of a table; no other folder is listed."""
+    return lake.read_folders(spark, table_path(root, name), TABLES[name], hour_folders(hours))
+
+
+def all_raw(spark: SparkSession, root: str, hours: Sequence[datetime], cold: str | None, deleted: DataFrame | None) -> DataFrame:
+    """All raw rows that ever landed in these hours: those still there and, from ``cold``, those expired.
+
+    ``deleted`` are the ``rel_path``s of expired files. Without ``cold``, hours that have some are refused:
+    their rollups could only be replaced by incomplete ones.
+    """
+    hot = hours_of(spark, root, "raw", hours)
+    if cold is None:
+        if deleted is not None:
+            folder = F.regexp_extract("rel_path", r"^raw/(event_date=[^/]*/event_hour=[^/]*)/", 1)
+            lost = deleted.select(folder.alias("folder")).where(F.col("folder").isin(hour_folders(hours))).distinct().collect()
+            if lost:
+                raise ValueError(f"raw files of these hours have expired, name the cold tier: {sorted(r.folder for r in lost)}")
+        return hot
+    kept = hours_of(spark, cold, "raw", hours)
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"(event_date=.*)$", 1)
+    here = hot.select(file.alias("file")).distinct()
+    return hot.unionByName(kept.withColumn("file", file).join(here, "file", "left_anti").drop("file"))
 
 
 def touched_hours(raw: DataFrame) -> list[datetime]:
@@ -88,38 +112,61 @@ def touched_hours(raw: DataFrame) -> list[datetime]:
     return sorted(datetime.strptime(f"{r.event_date} {r.event_hour}", "%Y-%m-%d %H") for r in found)
 
 
-def refresh_hours(spark: SparkSession, root: str, hours: Iterable[datetime], **write_options) -> None:
+def refresh_hours(spark: SparkSession, root: str, hours: Sequence[datetime], cold: str | None = None,
+                  deleted: DataFrame | None = None, **write_options) -> None:
     """Recompute the minute and hour rollups of the given hours, all in one job per level."""
-    wanted = _in_hours(hours)
-    rows = FL.explode_measures(table(spark, root, "raw").where(wanted))
+    rows = FL.explode_measures(all_raw(spark, root, hours, cold, deleted))
     minutes = R.minute_rollup(rows, ["value"], R.LONG_KEYS)
     _store(minutes, root, "minute", "minute_bucket", **write_options)
     # read back what was written: the hour level then starts from a stored table
-    stored = table(spark, root, "minute").where(wanted).drop("event_date", "event_hour")
+    stored = hours_of(spark, root, "minute", hours).drop("event_date", "event_hour")
     _store(R.hour_rollup(_rolled_on(stored), R.LONG_KEYS), root, "hour", "hour_bucket", **write_options)
 
 
 def refresh_days(spark: SparkSession, root: str, days: Iterable[date], **write_options) -> None:
-    labels = sorted({d.strftime("%Y-%m-%d") for d in days})
-    hours = table(spark, root, "hour").where(F.col("event_date").isin(labels)).drop("event_date", "event_hour")
+    folders = sorted({d.strftime("event_date=%Y-%m-%d") for d in days})
+    hours = lake.read_folders(spark, table_path(root, "hour"), HOUR_SCHEMA, folders).drop("event_date", "event_hour")
     _store(R.day_rollup(hours, R.LONG_KEYS), root, "day", "day_bucket", **write_options)
 
 
 def refresh_rollups(
-    spark: SparkSession, root: str, targets: datetime | Iterable[datetime], level: str = "both", **write_options
+    spark: SparkSession, root: str, targets: datetime | Iterable[datetime], level: str = "both",
+    cold: str | None = None, deleted: DataFrame | None = None, **write_options
 ) -> None:
-    """Bring the rollups of the target hours (``hourly``), their days (``daily``) or both up to date."""
+    """Bring the rollups of the target hours (``hourly``), their days (``daily``) or both up to date.
+
+    Name ``cold`` (or ``deleted``) where raw files expire, see ``all_raw``.
+    """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
     hours = [targets] if isinstance(targets, datetime) else list(targets)
     if not hours:
         return
     if level in ("hourly", "both"):
-        refresh_hours(spark, root, hours, **write_options)
+        refresh_hours(spark, root, hours, cold, deleted, **write_options)
     if level in ("daily", "both"):
         refresh_days(spark, root, [h.date() for h in hours], **write_options)
 
 
+def refresh_new(spark: SparkSession, root: str, level: str = "both", **options) -> list[datetime]:
+    """Refresh the hours of everything that landed since the last such refresh; returns them.
+
+    Which ingest batches are done is kept in ``refreshed/``. It is written last, so that a refresh that
+    broke off is repeated.
+    """
+    done = table_path(root, "refreshed")
+    keys = ["event_date", "event_hour", "ingest_batch"]
+    landed = table(spark, root, "raw").select(*keys).distinct()
+    if lake.exists(spark, done):
+        landed = landed.join(spark.read.parquet(done), keys, "left_anti")
+    landed = snapshot(landed, "landed")
+    hours = touched_hours(landed)
+    refresh_rollups(spark, root, hours, level, **options)
+    if hours:
+        landed.write.mode("append").parquet(done)
+    return hours
+
+
 def _rolled_on(minutes: DataFrame) -> DataFrame:
     """Minute rows the hour level takes: measures named like a timestamp end here."""
     return minutes.where(~F.lower("measure").contains("timestamp"))
@@ -127,6 +174,6 @@ def _rolled_on(minutes: DataFrame) -> DataFrame:
 
 def _store(rollup: DataFrame, root: str, name: str, bucket: str, **write_options) -> None:
     parts = ("event_date",) if name == "day" else lake.TIME_PARTITIONS
-    keyed = lake.with_time_partitions(rollup, bucket).select(*_TABLES[name].fieldNames())
+    keyed = lake.with_time_partitions(rollup, bucket).select(*TABLES[name].fieldNames())
     lake.write_table(keyed, table_path(root, name), parts, sort_by=["asset_id", "sensor_name", "measure", bucket],
                      **write_options)

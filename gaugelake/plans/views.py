@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.constants import TOPIC_PREFIX
 from gaugelake.functions.barrier import computed_once
-from gaugelake.sources.lake import spread
+from gaugelake.operators.monitor import as_metrics
 
 # Which k stands for which payload fault. The SQL checks use the same numbers.
 NO_TIMESTAMP_TYPE = 3
@@ -33,6 +33,9 @@ SCALAR_PAYLOAD = 96
 
 EVENT_KEY = "k INT"
 
+#: Partitions of the topic and of the measurements, whatever files the tables come in.
+PARTITIONS = 32
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = computed_once(spread(events(spark, sf_dir)), k=F.from_json("props", EVENT_KEY)["k"])
+    source = computed_once(events(spark, sf_dir).repartition(PARTITIONS, "event_id"), k=F.from_json("props", EVENT_KEY)["k"])
     k = F.col("k")
     text_time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -100,8 +103,8 @@ SAMPLE_MEASURES = ("quantity", "price", "discount", "tax")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day-granular measurements: many rows share a bucket. Arrival order is the event time."""
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    """Day-granular measurements. Arrival order is the event time."""
+    return table(spark, sf_dir, "lineitem").repartition(PARTITIONS, "l_orderkey").select(
         F.col("l_suppkey").cast("string").alias("asset_id"),
         F.col("l_returnflag").alias("sensor_name"),
         F.col("l_shipdate").cast("timestamp").alias("event_time"),
@@ -148,26 +151,27 @@ def manifest_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One entry per line item: shipped lines are uploads, returned open ones deletions."""
-    items = table(spark, sf_dir, "lineitem").where(
-        (F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "R")
-    )
+    """One entry per line item: shipped lines are uploads, returned open ones deletions, others failed uploads."""
+    items = table(spark, sf_dir, "lineitem")
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _file_path().alias("rel_path"))
     return items.join(files, "l_orderkey").select(
         "rel_path",
-        F.when(F.col("l_linestatus") == "F", "uploaded").otherwise("deleted").alias("event"),
+        F.when(F.col("l_linestatus") == "F", "uploaded").when(F.col("l_returnflag") == "R", "deleted").otherwise("failed").alias("event"),
         F.col("l_shipdate").cast("timestamp").alias("logged_at"),
     )
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric samples: the series is the event type, the value a gauge."""
-    return events(spark, sf_dir).select("ts", F.col("event_type").alias("name"), "value")
+    """Samples of one gauge, a series per event type and half of the users."""
+    return _metric_rows(spark, sf_dir, "event_value", F.col("value"))
+
+
+def _metric_rows(spark: SparkSession, sf_dir: str, name: str, value: Column) -> DataFrame:
+    report = events(spark, sf_dir).select(
+        "ts", F.col("event_type").alias("topic"), F.pmod("user_id", F.lit(2)).cast("string").alias("half"), value.alias(name))
+    return as_metrics(report, F.col("ts"), ("topic", "half"))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter per event type that grows with the event id and starts over every 500 events."""
-    return events(spark, sf_dir).select(
-        "ts", F.col("event_type").alias("name"),
-        F.pmod("event_id", F.lit(500)).cast("double").alias("value"),
-    )
+    return _metric_rows(spark, sf_dir, "events_total", F.pmod("event_id", F.lit(500)).cast("double"))

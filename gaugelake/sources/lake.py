@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +19,6 @@ _CODECS = {"lz4": "lz4_raw"}
 
 TIME_PARTITIONS = ("event_date", "event_hour")
 COMPAT_PARTITIONS = ("asset_id", "year", "month", "day", "hour", "table_name")
-# "file:/a", "s3a://bucket/a" -> "/a"
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 LEGACY_PATH = r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{2})/([^/]+)_\d{8}_\d{2}\.parquet$"
 
 
@@ -84,19 +84,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an input of few splits to all cores, ahead of work that costs more than a shuffle.
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
-    Parsing JSON does. Inputs with splits enough for the cluster, as large ones have, stay as they are.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def read_folders(spark: SparkSession, path: str, schema: T.StructType, folders: Sequence[str]) -> DataFrame:
+    """Only these partition folders of a table are listed and read; those that are absent are empty."""
+    present = [f"{path}/{f}" for f in sorted(set(folders)) if exists(spark, f"{path}/{f}")]
+    if not present:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*present)
 
 
 def hour_slice(table: DataFrame, target: datetime) -> DataFrame:
-    """Only the target hour's partition is listed and read."""
+    """Only the target hour's partition is read; for large tables ``read_folders`` also lists no other."""
     return table.where(
         (F.col("event_date") == target.strftime("%Y-%m-%d")) & (F.col("event_hour") == target.strftime("%H"))
     )
@@ -106,22 +108,49 @@ def day_slice(table: DataFrame, target: date) -> DataFrame:
     return table.where(F.col("event_date") == target.strftime("%Y-%m-%d"))
 
 
+LISTED = "path string, rel_path string, size bigint, mtime timestamp, is_dir boolean"
+#: Folders of files that are being written.
+UNFINISHED = ("_temporary", ".spark-staging-", "_spark_metadata")
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """Manifest of the tree below ``root``: path, rel_path, size and mtime; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    # the listing qualifies paths with their scheme, the root may come without one
-    local = F.regexp_replace("path", _SCHEME, "")
-    return files.select(
-        "path",
-        N.relative_path(local, re.sub(_SCHEME, "", root)).alias("rel_path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-    )
+    """Manifest of the tree below ``root``: path, rel_path, size and mtime; contents are not read.
+
+    Executors list: two levels folder by folder, then the folders found, each with all below. Names that
+    start with ``_`` or ``.`` are listed like others. An absent root is empty.
+    """
+    def listing(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs
+
+            files, base = filesystem(root)
+            for batch in batches:
+                for rel, is_dir in zip(batch["rel_path"], batch["is_dir"], strict=True):
+                    if not is_dir:
+                        continue
+                    found = files.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/"), allow_not_found=True, recursive=recursive))
+                    rows = [(f.path, f.path[len(base):].lstrip("/"), f.size, f.mtime, f.type == fs.FileType.Directory) for f in found]
+                    rows = [r for r in rows if not any(part.startswith(UNFINISHED) for part in r[1].split("/"))]
+                    yield pd.DataFrame(rows, columns=["path", "rel_path", "size", "mtime", "is_dir"]).astype(
+                        {"size": "Int64", "mtime": "datetime64[us, UTC]"})
+                yield batch[~batch["is_dir"].astype(bool)]
+        return run
+
+    start = spark.range(1).selectExpr(
+        "'' AS path", "'' AS rel_path", "CAST(NULL AS BIGINT) AS size", "CAST(NULL AS TIMESTAMP) AS mtime", "true AS is_dir")
+    found = start.mapInPandas(listing(False), LISTED)
+    for recursive in (False, True):
+        found = found.repartition("rel_path").mapInPandas(listing(recursive), LISTED)
+    name = re.escape(pattern).replace(r"\*", "[^/]*")
+    return found.where(~F.col("is_dir") & F.col("rel_path").rlike(f"(^|/){name}$")).drop("is_dir")
+
+
+def filesystem(root: str):
+    """File system and base path of a root: a URI (s3, gs, hdfs, file, …) or a local path."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root if ":" in root else os.path.abspath(root))
+    return system, base.rstrip("/")
 
 
 def sorted_files(manifest: DataFrame) -> DataFrame:
@@ -137,10 +166,20 @@ def manifest_parts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumns({"tier": tier, "asset_id": asset})
 
 
+def asset_files(table: DataFrame, tier: str) -> DataFrame:
+    """One row per file and asset of a table: tier, asset_id, and the asset's share of the file's size by rows."""
+    rows = table.select("asset_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"))
+    counted = rows.groupBy("file", "file_size", "asset_id").agg(F.count("*").alias("rows"))
+    per_file = Window.partitionBy("file")
+    share = F.col("file_size") * F.col("rows") / F.sum("rows").over(per_file)
+    return counted.select(F.lit(tier).alias("tier"), "asset_id", "file", share.alias("size"))
+
+
 def read_legacy(spark: SparkSession, root: str) -> DataFrame:
     """Files in the plain asset/yyyy/mm/dd/hh layout, with their path parts as columns."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
-    path = F.col("_metadata.file_path")
+    # the path is a URI: %20 is a space, a plus sign is itself
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     names = ("file_asset", "file_year", "file_month", "file_day", "file_hour", "file_table")
     return rows.select("*", *[
         F.regexp_extract(path, LEGACY_PATH, i).alias(name) for i, name in enumerate(names, start=1)

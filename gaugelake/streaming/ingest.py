@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +13,6 @@ from gaugelake.constants import RAW_FLUSH_AGE
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import parse as P
 from gaugelake.plans.refresh import RAW_SCHEMA, table_path
-from gaugelake.session import shared_dir
 from gaugelake.sources import lake
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -23,8 +23,13 @@ def trigger_options(drain: bool = False, every: str = RAW_FLUSH_AGE) -> dict:
     return {"availableNow": True} if drain else {"processingTime": every}
 
 
-def checkpoint_path(stream: DataFrame, name: str, path: str | None) -> str:
-    return path or f"{shared_dir(stream.sparkSession)}/streams/{name}"
+def batch_name(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """``<query id>-<batch id>``: the same when a batch is repeated, different for every other stream.
+
+    Spark keeps the query's id in its checkpoint; batch ids alone start at 0 in each.
+    """
+    query = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+    return f"{query}-{batch_id}"
 
 
 def raw_rows(messages: DataFrame, hook: Hook | None = None, **route_options) -> DataFrame:
@@ -40,20 +45,22 @@ def start_ingest(
     messages: DataFrame,
     root: str,
     *,
-    checkpoint: str | None = None,
+    checkpoint: str,
     hook: Hook | None = None,
     drain: bool = False,
     every: str = RAW_FLUSH_AGE,
     name: str = "ingest",
     compression: str = "lz4",
     max_rows_per_file: int | None = None,
+    extra_partitions: Sequence[str] = (),
     **route_options,
 ) -> StreamingQuery:
     """Land a message stream in ``raw/`` and ``rejects/`` below ``root``.
 
     Each micro-batch writes its own ``ingest_batch`` partitions and replaces them when it is
-    repeated, and offsets are committed after the write: rows land exactly once. Any lateness is
-    accepted. Progress carries the counters ``messages_consumed``, ``messages_failed`` and
+    repeated, and offsets are committed after the write: rows land exactly once. Streams with other
+    checkpoints, also later ones into the same ``root``, never touch them. Any lateness is accepted.
+    ``extra_partitions`` are columns of the raw table to partition by as well. Progress carries the counters ``messages_consumed``, ``messages_failed`` and
     ``last_message_time``.
     """
     options = {"compression": compression, "max_rows_per_file": max_rows_per_file}
@@ -70,15 +77,16 @@ def start_ingest(
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            rows = raw_rows(batch, hook, **route_options).withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+            name_of_batch = batch_name(batch.sparkSession, checkpoint, batch_id)
+            rows = raw_rows(batch, hook, **route_options).withColumn("ingest_batch", F.lit(name_of_batch))
             keyed = lake.with_time_partitions(rows, "event_time").select(*RAW_SCHEMA.fieldNames())
             lake.write_table(
-                keyed, table_path(root, "raw"), (*lake.TIME_PARTITIONS, "ingest_batch"),
-                sort_by=["asset_id", "sensor_name", "event_time"], **options,
+                keyed, table_path(root, "raw"), (*lake.TIME_PARTITIONS, *extra_partitions, "ingest_batch"),
+                sort_by=[c for c in ("asset_id", "sensor_name", "event_time") if c not in extra_partitions], **options,
             )
             refused = P.rejects(P.decode(batch)).select(
                 "*", F.date_format("ingest_ts", "yyyy-MM-dd").alias("ingest_date"),
-                F.lit(batch_id).cast("bigint").alias("ingest_batch"),
+                F.lit(name_of_batch).alias("ingest_batch"),
             )
             lake.write_table(refused, table_path(root, "rejects"), ("ingest_date", "ingest_batch"), **options)
         finally:
@@ -86,7 +94,7 @@ def start_ingest(
 
     return (
         counted.writeStream.queryName(name)
-        .option("checkpointLocation", checkpoint_path(messages, name, checkpoint))
+        .option("checkpointLocation", checkpoint)
         .trigger(**trigger_options(drain, every))
         .foreachBatch(land)
         .start()

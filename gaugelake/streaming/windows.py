@@ -13,7 +13,7 @@ from gaugelake.functions import naming as N
 from gaugelake.operators import rollup as R
 from gaugelake.plans.refresh import table_path
 from gaugelake.sources import lake
-from gaugelake.streaming.ingest import checkpoint_path, trigger_options
+from gaugelake.streaming.ingest import batch_name, trigger_options
 
 
 def minute_windows(
@@ -53,17 +53,21 @@ def with_bucket(windows: DataFrame, level: str) -> DataFrame:
 
 
 def start_minute_rollup(
-    rows: DataFrame, root: str, *, checkpoint: str | None = None, watermark: str = "10 minutes",
+    rows: DataFrame, root: str, *, checkpoint: str, watermark: str = "10 minutes",
+    output_mode: str = "append",
     drain: bool = False, every: str = RAW_FLUSH_AGE, name: str = "minute_live", **write_options,
 ) -> StreamingQuery:
     """Land closed minutes in ``minute_live/``; a repeated micro-batch replaces its own partitions.
 
+    With ``output_mode="update"`` each trigger lands the minutes it has changed, closed or not; of
+    several rows for a minute the one of the latest batch counts.
+
     ``refresh_rollups`` owns ``minute/`` and also knows rows that came after the watermark.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         keyed = lake.with_time_partitions(batch, "minute_bucket").withColumn(
-            "ingest_batch", F.lit(batch_id).cast("bigint")
+            "ingest_batch", F.lit(batch_name(batch.sparkSession, checkpoint, batch_id))
         )
         lake.write_table(
             keyed, table_path(root, name), (*lake.TIME_PARTITIONS, "ingest_batch"),
@@ -72,8 +76,8 @@ def start_minute_rollup(
 
     return (
         with_bucket(minute_windows(rows, watermark=watermark), "minute")
-        .writeStream.queryName(name).outputMode("append")
-        .option("checkpointLocation", checkpoint_path(rows, name, checkpoint))
+        .writeStream.queryName(name).outputMode(output_mode)
+        .option("checkpointLocation", checkpoint)
         .trigger(**trigger_options(drain, every))
         .foreachBatch(land)
         .start()

@@ -17,8 +17,10 @@ from gaugelake.sources.kafka import MESSAGE_SCHEMA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    session = local_session(4, "tests", **{
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 

@@ -3,13 +3,18 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gaugelake.plans import jobs
+from gaugelake.plans.refresh import RAW_SCHEMA, refresh_new, refresh_rollups, table
+from gaugelake.sources import lake
+
+T0 = datetime(2024, 1, 1)
 
 
 @pytest.fixture
 def lake_dirs(tmp_path):
     hot, cold = tmp_path / "hot", tmp_path / "cold"
-    cold.mkdir()
     for i in range(40):
         f = hot / f"a{i % 4}" / "2024" / "01" / "15" / "10" / f"t_{i}.parquet"
         f.parent.mkdir(parents=True, exist_ok=True)
@@ -35,6 +40,63 @@ def test_stats(spark, lake_dirs):
     assert got[("*", "*")] == 40 and got[("raw", "a0")] == 10
 
 
+def test_first_runs_need_no_folders(spark, tmp_path):
+    hot = str(tmp_path / "none")
+    assert jobs.mirror(spark, hot, str(tmp_path / "cold"), str(tmp_path / "log")).count() == 0
+    assert jobs.expire(spark, hot, str(tmp_path / "no_log"), datetime.now()).count() == 0
+
+
+def small_lake(spark, root, seconds, batch):
+    rows = spark.createDataFrame(
+        [("s", "t", asset, T0 + timedelta(seconds=s), float(s), s) for s in seconds for asset in ("line 1", "_x", "007")],
+        "sensor_name string, table_name string, asset_id string, event_time timestamp, v double, arrival_order bigint")
+    rows = rows.select(
+        "*", F.create_map(F.lit("v"), "v").alias("measures"), F.lit(batch).alias("ingest_batch"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA
+          if f.name not in (*rows.columns, "measures", "ingest_batch", "event_date", "event_hour")])
+    lake.write_table(lake.with_time_partitions(rows, "event_time").select(*RAW_SCHEMA.fieldNames()), f"{root}/raw",
+                     (*lake.TIME_PARTITIONS, "ingest_batch"))
+
+
+def test_mirror_equals_source_and_late_rows_keep_the_hour(spark, tmp_path):
+    root, cold, log = (str(tmp_path / n) for n in ("hot", "cold", "log"))
+    small_lake(spark, root, range(0, 300, 10), "q-0")
+    changes = 0
+    for _ in range(3):
+        refresh_rollups(spark, root, T0)
+        changes += jobs.mirror(spark, root, cold, log).where("status IN ('uploaded', 'deleted')").count()
+        for name in ("raw", "minute", "hour", "day"):
+            assert table(spark, root, name).count() == table(spark, cold, name).count() > 0
+        assert jobs.read_log(spark, log).count() == changes
+    assert jobs.mirror(spark, root, cold, log).where("status <> 'skipped'").count() == 0
+    assert jobs.read_log(spark, log).count() == changes
+    whole = sorted(map(str, table(spark, root, "minute").drop("value_mean", "value_max").collect()))
+
+    # raw files expire, then one late row comes
+    assert jobs.expire(spark, root, log, datetime.now() + timedelta(days=30), dry_run=False).where("rel_path LIKE 'raw/%'").count()
+    refresh_new_hours = lambda **kw: refresh_new(spark, root, **kw)
+    small_lake(spark, root, [5], "q-1")
+    deleted = jobs.read_log(spark, log).where("event = 'deleted'").select("rel_path")
+    with pytest.raises(ValueError):
+        refresh_new_hours(deleted=deleted)
+    assert refresh_new_hours(cold=cold, deleted=deleted) == [T0]
+    got = table(spark, root, "minute")
+    assert sorted(map(str, got.drop("value_mean", "value_max").collect())) == whole
+    assert got.where("minute_bucket = timestamp '2024-01-01 00:00:00'").first().value_mean == (0 + 10 + 20 + 30 + 40 + 50 + 5) / 7
+    assert refresh_new_hours(cold=cold) == []
+    jobs.mirror(spark, root, cold, log)
+    assert table(spark, cold, "raw").count() == 93
+    assert {r.asset_id for r in jobs.stats(spark, root).collect()} == {"line 1", "_x", "007"}
+
+
+def test_listing_shows_all_names(spark, tmp_path):
+    for name in ("_x/a.parquet", ".y/b/c/d.parquet", "e.parquet", "f/_temporary/0/g.parquet", "f/h.txt", "line 1/i+j.parquet"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1234")
+    got = {(r.rel_path, r.size) for r in lake.list_files(spark, str(tmp_path)).collect()}
+    assert got == {(n, 4) for n in ("_x/a.parquet", ".y/b/c/d.parquet", "e.parquet", "line 1/i+j.parquet")}
+
+
 def test_command_line():
     args = jobs._arguments().parse_args(["refresh", "--root", "r", "--hour", "2024-01-15T10", "--hour", "2024-01-15T11"])
     assert args.hour == [datetime(2024, 1, 15, 10), datetime(2024, 1, 15, 11)] and args.level == "both"

@@ -117,7 +117,7 @@ def test_failures_are_rows(spark, tiers):
 
 
 def test_repeated_delete_task_reports_the_first_attempt(tmp_path):
-    files, base = J._filesystem(str(tmp_path))
+    files, base = J.filesystem(str(tmp_path))
     (tmp_path / "x").write_text("1")
     assert J._delete_one(files, f"{base}/x", False)[0] == "deleted"
     assert J._delete_one(files, f"{base}/x", True)[:2] == ("deleted", "by_earlier_attempt")

@@ -16,7 +16,8 @@ def at(seconds):
 @pytest.fixture(scope="module")
 def metrics(spark):
     def make(*rows):
-        return spark.createDataFrame([(at(s), n, v) for s, n, v in rows], "ts timestamp, name string, value double")
+        return spark.createDataFrame([(at(s), n, v) for s, n, v in rows], "ts timestamp, name string, value double").withColumn(
+            "series", F.lit(""))
     return make
 
 
@@ -65,6 +66,12 @@ def test_silences(spark):
     assert got == [(at(300), at(1500), 1200.0), (at(1800), at(3900), 2100.0)]
     tail = M.silences(rows, ["topic"], "ts", at(5100)).orderBy("gap_start").collect()[-1]
     assert (tail.gap_start, tail.gap_end) == (at(4200), at(5100))
+    # rows after ``until`` do not count, series that never came are silent throughout
+    early = M.silences(rows, ["topic"], "ts", at(1400)).collect()
+    assert [(r.gap_start, r.gap_end) for r in early] == [(at(300), at(1400))]
+    expected = spark.createDataFrame([("t",), ("u",)], "topic string")
+    got = M.silences(rows, ["topic"], "ts", at(4300), expected=expected, since=at(0)).where("topic = 'u'").collect()
+    assert [(r.gap_start, r.gap_end) for r in got] == [(at(0), at(4300))]
 
 
 def test_usage(spark):
@@ -108,3 +115,14 @@ def test_reports_become_metrics(spark):
     got = {(r.ts, r.name, r.labels["topic"], r.value) for r in M.as_metrics(report, T0, ["topic"]).collect()}
     assert got == {(T0, "n", "t", 3.0), (T0, "breach", "t", 1.0)}
     assert M.as_metrics(report.select("n"), T0).first().labels == {}
+
+
+def test_labelled_series_are_apart(spark, tmp_path):
+    """Two topics whose counters grow by 1 each: the increase is 2, not the jumps between them."""
+    for second, (a, b) in ((0, (10, 1000)), (60, (11, 1001))):
+        report = spark.createDataFrame([("a", a), ("b", b)], "topic string, seen int")
+        M.write_metrics(M.as_metrics(report, at(second), ["topic"]), str(tmp_path / "metrics"))
+    metrics = spark.read.parquet(str(tmp_path / "metrics"))
+    got = {r.series: r.increase for r in M.counter_rate(metrics).collect()}
+    assert got == {"topic=a": 1.0, "topic=b": 1.0}
+    assert {r.series: r.last_value for r in M.last_values(metrics).collect()} == {"topic=a": 11.0, "topic=b": 1001.0}

@@ -12,7 +12,7 @@ from gaugelake.operators import rollup as R
 from gaugelake.plans import refresh
 from gaugelake.plans import views as W
 from gaugelake.sources import kafka as K
-from gaugelake.streaming import batcher, ingest, windows
+from gaugelake.streaming import ingest, windows
 
 
 @pytest.fixture(scope="module")
@@ -153,46 +153,45 @@ def test_redelivery(spark, make_messages, tmp_path):
     assert spark.table("once").count() == 10
 
 
-def early_reference(flat, max_rows):
-    """Rows of each buffer, cut every ``max_rows`` rows, as (key, minute, measure) statistics."""
-    out = []
-    pdf = pd.DataFrame(flat)
-    pdf["hour"] = pdf["event_time"].dt.floor("h")
-    for (asset, sensor, _), g in pdf.sort_values("arrival_order").groupby(["asset_id", "sensor_name", "hour"]):
-        for cut in range(0, len(g) // max_rows * max_rows, max_rows):
-            part = g.iloc[cut: cut + max_rows]
-            for minute, mg in part.groupby(part["event_time"].dt.floor("min")):
-                out.append((asset, sensor, minute.to_pydatetime(), round(mg["v"].mean(), 9), mg["v"].min(), mg["v"].max()))
-    return sorted(out)
+def test_streams_into_one_root_keep_all_rows(spark, replay, tmp_path):
+    """Two streams side by side, then one with a new checkpoint over the same hours."""
+    root = str(tmp_path / "lake")
+    views = F.col("topic").contains("view")
+    for name, part in (("a", views), ("b", ~views), ("c", views)):
+        run(ingest.start_ingest(stream_of(spark, replay).where(part), root, checkpoint=str(tmp_path / name), drain=True))
+    accepted, all_ = ingest.raw_rows(replay[1]), replay[1]
+    raw, refused = refresh.table(spark, root, "raw"), spark.read.parquet(f"{root}/rejects")
+    again = accepted.where(views)
+    assert raw.count() == accepted.count() + again.count()
+    assert rows(raw.select("topic", "offset").distinct()) == rows(accepted.select("topic", "offset"))
+    assert refused.count() + raw.count() == all_.count() + all_.where(views).count()
+
+
+def test_extra_partitions(spark, replay, tmp_path):
+    root = str(tmp_path / "lake")
+    run(ingest.start_ingest(stream_of(spark, replay), root, checkpoint=str(tmp_path / "cp"), drain=True, extra_partitions=["topic"]))
+    assert glob.glob(f"{root}/raw/event_date=*/event_hour=*/topic=*/ingest_batch=*")
+    assert refresh.table(spark, root, "raw").count() == ingest.raw_rows(replay[1]).count()
 
 
-def test_early_minutes_by_rows_and_age(spark, tmp_path):
+def test_updated_minutes_equal_batch(spark, tmp_path):
+    """In update mode every trigger lands what it changed; the last version of a minute is the batch row."""
     start = datetime(2024, 1, 1)
-    data = [
-        {"sensor_name": f"s{i % 2}", "asset_id": "a", "event_time": start + timedelta(seconds=5 * i),
-         "ingest_ts": start + timedelta(seconds=5 * i), "arrival_order": i, "v": float(i % 13)} for i in range(400)
-    ]
-    schema = "sensor_name string, asset_id string, event_time timestamp, ingest_ts timestamp, arrival_order bigint, v double"
-    df = spark.createDataFrame([tuple(d.values()) for d in data], schema).withColumn("measures", F.create_map(F.lit("v"), "v"))
-    source = str(tmp_path / "in")
-    df.coalesce(1).write.parquet(source)
-    stream = K.replay_stream(spark, source, None, df.schema)
-    q = batcher.early_minutes(stream, max_rows=60, max_age_s=10_000).writeStream.format("memory").queryName(
-        "early").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run(q)
-    got = spark.table("early").collect()
-    assert {r.trigger for r in got} == {"rows"} and {r.rows for r in got} == {60}
-    assert sorted((r.asset_id, r.sensor_name, r.minute_bucket, round(r.value_mean, 9), r.value_min, r.value_max) for r in got) == (
-        early_reference(data, 60))
-
-    # a short age: buffers expire once later arrivals have moved the clock on
-    q = batcher.early_minutes(stream, max_rows=1000, max_age_s=120).writeStream.format("memory").queryName(
-        "aged").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    run(q)
-    aged = spark.table("aged").collect()
-    assert {r.trigger for r in aged} == {"age"}
-    assert {(r.sensor_name, r.rows) for r in aged} == {("s0", 200), ("s1", 200)}
-    assert len({(r.sensor_name, r.minute_bucket) for r in aged}) == len(aged)
+    data = [("s", "a", start + timedelta(seconds=20 * (i % 100)), "v", float(i % 7), i) for i in range(300)]
+    df = spark.createDataFrame(data, "sensor_name string, asset_id string, event_time timestamp, measure string, value double, arrival_order bigint")
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    for part in range(3):
+        df.where(F.floor(F.col("arrival_order") / 100) == part).coalesce(1).write.mode("append").parquet(source)
+    run(windows.start_minute_rollup(
+        K.replay_stream(spark, source, 1, df.schema), root, checkpoint=str(tmp_path / "cp"), watermark="1 hour",
+        output_mode="update", drain=True, name="early"))
+    batch = R.minute_rollup(df, ["value"], R.LONG_KEYS)
+    landed = spark.read.parquet(f"{root}/early").withColumn("batch", F.substring_index("ingest_batch", "-", -1).cast("int"))
+    keys = ["minute_bucket", *R.LONG_KEYS]
+    columns = [c for c in batch.columns if c not in keys]
+    last = landed.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("last")).select(*keys, "last.*")
+    assert landed.count() > last.count()
+    assert rows(last.select(*batch.columns)) == rows(batch)
 
 
 def test_trigger_options():
