@@ -14,12 +14,12 @@ Copies of a whole text are left out of 1 to 3: all their windows also start in t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,14 +76,17 @@ def _occurring(docs: DataFrame, kind: Kind) -> DataFrame:
     return rows.withColumn("others", F.when(F.size("others") > 0, F.col("others")))
 
 
+FOUND = {"h": pa.int64(), "key": pa.int64(), "body": pa.binary(), "n": pa.int32(), "doc_id": pa.int64(), "tkey": pa.int64(), "start": pa.int32()}
+
+
 def _super_kmers(docs: DataFrame, kind: Kind) -> DataFrame:
-    """From documents with ``hs`` (minimisers to follow), ``hot`` (those to divide) and ``copies`` (texts to skip)."""
-    schema = "h bigint, key binary, body binary, owner bigint, n int, docs array<bigint>, tkeys array<bigint>, starts array<int>"
+    """From documents with ``hs`` (minimisers to follow), ``hot`` (those to divide) and ``copies`` (texts to skip).
 
+    One row for each place of a super-k-mer; its ``body`` comes once in a batch. (h, key) stand for it.
+    """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, bytes], tuple[int, list, list, list]] = {}
-            size = 0
+            rows, sent, size = [], set(), 0
             for doc_id, text, tkey, hs, hot, copies in zip(*[batch.column(i) for i in range(6)], strict=True):
                 if copies.as_py() and tkey.as_py() in copies.as_py():
                     continue
@@ -102,57 +105,51 @@ def _super_kmers(docs: DataFrame, kind: Kind) -> DataFrame:
                 doc, own = doc_id.as_py(), tkey.as_py()
                 for a, b, d in zip(cut[kept].tolist(), ends[kept].tolist(), divided[cut[kept]].view(np.int64).tolist(), strict=True):
                     body = kind.body(units, a, b)
-                    size += len(body)
-                    _, docs_, tkeys, starts = found.setdefault((d, body), (b - a, [], [], []))
-                    docs_.append(doc)
-                    tkeys.append(own)
-                    starts.append(a)
-                if size > 4_000_000:
-                    yield _found(found)
-                    found, size = {}, 0
-            yield _found(found)
-
+                    key = (d, body)
+                    rows.append((d, xxhash.xxh3_64_intdigest(body) - 2**63, None if key in sent else body, b - a, doc, own, a))
+                    sent.add(key)
+                    size += len(body) + 50
+                if size > 6_000_000:
+                    yield _rows(rows, FOUND)
+                    rows, sent, size = [], set(), 0
+            yield _rows(rows, FOUND)
+
+    schema = "h bigint, key bigint, body binary, n int, doc_id bigint, tkey bigint, start int"
     return docs.select("doc_id", "text", "tkey", "hs", "hot", "copies").mapInArrow(read, schema)
 
 
-def _found(found: dict) -> pa.RecordBatch:
-    hs = [h for h, _ in found]
-    bodies = [b for _, b in found]
-    keys = [hashlib.blake2b(b, digest_size=16, key=h.to_bytes(8, "little", signed=True)).digest() for h, b in found]
-    n, docs, tkeys, starts = ([x[i] for x in found.values()] for i in range(4))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(hs, pa.int64()), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary()), pa.array([min(d) for d in docs], pa.int64()),
-         pa.array(n, pa.int32()), pa.array(docs, pa.list_(pa.int64())), pa.array(tkeys, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))],
-        names=["h", "key", "body", "owner", "n", "docs", "tkeys", "starts"])
+def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def _judged(bodies: DataFrame, kind: Kind) -> DataFrame:
-    """``key``, ``owner`` and ``runs`` (windows of the owner that also start in a smaller document)."""
+    """``h``, ``key``, ``owner`` and ``runs`` (windows of the owner that also start in a smaller document), where any document has a repeat."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows, owners, size, last = [], [], [], 0, None
+        rows, size, last = [], 0, None
 
         def done() -> pa.RecordBatch:
-            which, first, end = kind.repeats(rows, np.array(owners, np.int64)) if rows else ([], [], [])
-            runs: list[list[dict]] = [[] for _ in rows]
-            for i, a, b in zip(which, first, end, strict=True):
-                runs[i].append({"first": int(a), "last": int(b)})
-            run = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(runs, run)], names=["key", "owner", "runs"])
+            h, key, bodies, owners, lasts = zip(*rows, strict=True) if rows else [()] * 5
+            owner, last_doc = np.array(owners, np.int64), np.array(lasts, np.int64)
+            which, first, end = map(np.asarray, kind.repeats(list(bodies), owner)) if rows else [np.zeros(0, np.int64)] * 3
+            at = np.searchsorted(which, np.arange(len(rows) + 1)).astype(np.int32)
+            run = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["first", "last"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array(owner), pa.ListArray.from_arrays(pa.array(at), run)],
+                names=["h", "key", "owner", "runs"])
+            return out.filter(pa.array((last_doc > owner) | (at[1:] > at[:-1])))
 
         for batch in batches:
-            for h, key, body, owner in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if h != last and size > BLOCK_BYTES:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if row[0] != last and size > BLOCK_BYTES:
                     yield done()
-                    keys, rows, owners, size = [], [], [], 0
-                last = h
-                keys.append(key)
-                rows.append(body)
-                owners.append(owner)
-                size += len(body)
+                    rows, size = [], 0
+                last = row[0]
+                rows.append(row)
+                size += len(row[2])
         yield done()
 
-    return bodies.mapInArrow(judge, "key binary, owner bigint, runs array<struct<first:int,last:int>>")
+    return bodies.mapInArrow(judge, "h bigint, key bigint, owner bigint, runs array<struct<first:int,last:int>>")
 
 
 def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS,
@@ -190,17 +187,18 @@ def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: st
     found = _super_kmers(docs.join(info.filter(F.size("hs") > 0), "doc_id"), kind)
     found = stored(found, "repeats-super-kmers")
 
-    bodies = found.select("h", "key", "body", "owner").repartition(splits(df), "h").groupBy("h", "key").agg(
-        F.any_value("body").alias("body"), F.min("owner").alias("owner")).sortWithinPartitions("h").select("h", "key", "body", "owner")
+    bodies = found.select("h", "key", "body", "doc_id").repartition(splits(df), "h").groupBy("h", "key").agg(
+        F.max("body").alias("body"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    bodies = bodies.sortWithinPartitions("h").select("h", "key", "body", "owner", "last")
     judged = stored(_judged(bodies, kind), "repeats-judged")
 
-    uses = found.select("key", "n", F.explode(F.arrays_zip("docs", "tkeys", "starts")).alias("at")).join(judged, "key")
-    ranges = F.when(F.col("at.docs") > F.col("owner"), F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("last")))).otherwise(
-        F.col("runs"))
-    spans = uses.select(F.col("at.docs").alias("doc_id"), F.col("at.tkeys").alias("tkey"), F.col("at.starts").alias("start"), F.explode(ranges).alias("r"))
+    uses = found.drop("body").join(judged, ["h", "key"])
+    ranges = F.when(F.col("doc_id") > F.col("owner"), F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("last")))).otherwise(F.col("runs"))
+    spans = uses.select("doc_id", "tkey", "start", F.explode(ranges).alias("r"))
     spans = spans.select("doc_id", F.struct("tkey", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("span"))
     marks = spans.unionByName(copies.select("doc_id", F.struct(
         "tkey", F.lit(-1).alias("first"), F.lit(-1).alias("last")).alias("span"))).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    marks = stored(marks, "repeats-marks")
     out = whole.join(marks, "doc_id", "left")
     own = F.filter(F.coalesce("spans", F.array().cast("array<struct<tkey:bigint,first:int,last:int>>")), lambda s: s["tkey"] == F.col("tkey"))
     return out.select("doc_id", "text", F.exists(own, lambda s: s["first"] < 0).alias("is_copy"), F.filter(own, lambda s: s["first"] >= 0).alias("windows"), "carried")

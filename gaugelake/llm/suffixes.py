@@ -51,8 +51,12 @@ def sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     return at[order]
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``data`` in the order of their suffixes, exact to ``depth`` bytes."""
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of ``data`` in the order of their suffixes, exact to ``depth`` bytes.
+
+    With ``wanted`` (marks), only those positions and what they are induced from: each one's run of
+    suffixes up to the next that is smaller than its successor.
+    """
     n = len(data)
     if n < 2:
         return np.arange(n)
@@ -63,11 +67,19 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     follows[-1] = -1
     small = data[after] < follows[after]  # smaller than its successor
 
-    direct = sorted_directly(words, np.flatnonzero(small), depth)
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        base = np.minimum.accumulate(np.where(small, np.arange(n), n)[::-1])[::-1]
+        edge = np.bincount(np.flatnonzero(wanted), minlength=n + 2) - np.bincount(base[wanted] + 1, minlength=n + 2)
+        needed = np.cumsum(edge)[:n] > 0
+    skip = small | ~needed
+
+    direct = sorted_directly(words, np.flatnonzero(small & needed), depth)
     bounds = np.searchsorted(data[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[-1]].append(np.array([n - 1]))  # induced by the empty suffix
-    large_at = np.flatnonzero(~small)
+    if not skip[-1]:
+        waiting[data[-1]].append(np.array([n - 1]))  # induced by the empty suffix
+    large_at = np.flatnonzero(~skip)
     by_byte = large_at[np.argsort(data[large_at], kind="stable")]
     large_bounds = np.searchsorted(data[by_byte], np.arange(257))
     out = []
@@ -78,7 +90,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         pieces, size, rounds = [new], len(new), 0
         while len(new) and size < large:
             before = new[new > 0] - 1
-            new = before[(data[before] == byte) & ~small[before]]
+            new = before[(data[before] == byte) & ~skip[before]]
             rounds += 1
             if rounds > depth:  # all that is left starts with ``depth`` equal bytes
                 rest = by_byte[large_bounds[byte]:large_bounds[byte + 1]]
@@ -88,7 +100,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         whole = np.concatenate([*pieces, direct[bounds[byte]:bounds[byte + 1]]])
         out.append(whole)
         before = whole[whole > 0] - 1
-        before = before[~small[before] & (data[before] > byte)]
+        before = before[~skip[before] & (data[before] > byte)]
         first = data[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -113,33 +125,34 @@ class ByteWindows:
             raise ValueError(f"strings are at least {CORE} bytes long")
         self.width = width
 
-    def units(self, text: str) -> np.ndarray:
-        return np.frombuffer(text.encode(), np.uint8)
+    def units(self, text: str) -> bytes:
+        return text.encode()
 
-    def minimisers(self, units: np.ndarray, seed: int) -> np.ndarray:
+    def minimisers(self, units: bytes, seed: int) -> np.ndarray:
         if len(units) < self.width:
             return np.zeros(0, np.uint64)
-        words = words_at(np.append(units, np.uint8(0)))
+        words = words_at(np.frombuffer(units + b"\0", np.uint8))
         h = mixed(mixed(words[:-8] + np.uint64(seed)) + words[8:])
         return sliding_min(h, self.width - CORE + 1)
 
-    def body(self, units: np.ndarray, first: int, last: int) -> bytes:
-        return units[first:last + self.width - 1].tobytes()
+    def body(self, units: bytes, first: int, last: int) -> bytes:
+        return units[first:last + self.width - 1]
 
     def repeats(self, bodies: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(b) + 1 for b in bodies])
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(bytes([SEPARATOR]).join(bodies) + bytes([SEPARATOR]), np.uint8)
-        order = suffix_array(data, self.width)
-        words = words_at(np.concatenate([data, np.zeros(self.width + 16, np.uint8)]))
-        common = common_prefixes(words, order, self.width)
         body = np.repeat(np.arange(len(bodies)), sizes)
         whole = np.arange(len(data)) + self.width <= (starts + sizes - 1)[body]  # inside one super-k-mer
+        order = suffix_array(data, self.width, whole)
+        order = order[whole[order]]
+        words = words_at(np.concatenate([data, np.zeros(self.width + 16, np.uint8)]))
+        common = common_prefixes(words, order, self.width)
         group = np.cumsum(~common) - 1
-        owner = np.where(whole[order], owners[body[order]], MAX_ID)
+        owner = owners[body[order]]
         least = np.minimum.reduceat(owner, np.flatnonzero(~common))[group]
         dup = np.zeros(len(data), bool)
-        dup[order] = whole[order] & (least < owner)
+        dup[order] = least < owner
         first, last = runs_of(dup)
         return body[first], first - starts[body[first]], last - starts[body[first]]
 
