@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from gaugelake.functions import variants as V
 
-# Accepted besides ISO 8601, tried in this order.
+# Accepted besides ISO 8601, tried in this order; the month comes before the day.
 TIME_FORMATS = (
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "yyyyMMdd'T'HHmmss",
-    "yyyyMMdd HH:mm:ss",
-    "yyyyMMdd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
+    "yyyy/M/d[ H:mm[:ss[.SSSSSSSSS]]]",
+    "yyyyMMdd['T'HHmm[ss]]",
+    "yyyyMMdd[ HH:mm[:ss]]",
+    "M/d/yyyy[ H:mm[:ss[.SSSSSSSSS]]]",
+    "M/d/yyyy h:mm[:ss] a",
+    "yyyy-MM-dd h:mm[:ss] a",
+    "MMM d, yyyy[ H:mm[:ss]]",
+    "MMMM d, yyyy[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]",
 )
+# Day names in front and marks of UTC behind say nothing more.
+_DAY_NAME, _UTC_MARK = r"^[A-Z][a-z]{2}, ", r"( ?(GMT|UTC)|Z)$"
 
 _MICROS_PER = {"s": 1_000_000.0, "ms": 1_000.0, "us": 1.0, "ns": 0.001}
 
@@ -44,7 +48,8 @@ def parse_time_text(text: Column, bucket_clock: str = "utc") -> Column:
         iso = text.try_cast("timestamp")
     else:
         raise ValueError(f"bucket_clock must be utc or source, not {bucket_clock!r}")
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
+    plain = F.regexp_replace(F.regexp_replace(text, _DAY_NAME, ""), _UTC_MARK, "")
+    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in TIME_FORMATS])
 
 
 def payload_time(value: Column, kind: Column, bucket_clock: str = "utc", numeric_unit: str = "ms") -> Column:

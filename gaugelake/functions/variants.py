@@ -59,6 +59,14 @@ def as_text(value: Column) -> Column:
     return value.try_cast("string")
 
 
+def as_written(value: Column, kind: Column) -> Column:
+    """Like ``as_text``; a number written with a fraction keeps one (1.0, not 1).
+
+    Whole numbers of up to 18 digits are BIGINT, so a DECIMAL of that size without places had some.
+    """
+    return F.concat(as_text(value), F.when(kind.rlike(r"^DECIMAL\((\d|1[0-8]),0\)$"), F.lit(".0")).otherwise(F.lit("")))
+
+
 def is_truthy(value: Column, kind: Column) -> Column:
     """Whether a payload value counts as given: not null, "", 0, false, [] or {}."""
     return F.coalesce(

@@ -65,7 +65,8 @@ def flatten_wide(
 def _with_entries(rows: DataFrame) -> DataFrame:
     """Add ``_entries``: the payload as array of (key, value), objects one level down as ``{key}_{subkey}``.
 
-    Names are unique: of two equal ones the first in key order stays.
+    Names are unique: of equal ones the last in key order keeps the name, as in a payload written in that
+    order; those before it are kept as ``{name}__2``, ``{name}__3`` and so on.
     """
     top = computed_once(rows, _top=F.map_entries(F.col("data").try_cast("map<string,variant>")))
 
@@ -81,7 +82,14 @@ def _with_entries(rows: DataFrame) -> DataFrame:
     single = F.array(_pair(F.lit("value"), F.col("data")))
     entries = computed_once(top, _all=F.coalesce(F.flatten(F.transform("_top", opened)), single))
     named = entries.withColumn("_names", F.transform("_all", lambda e: e["key"]))
-    unique = F.filter("_all", lambda e, i: F.array_position(F.col("_names"), e["key"]) == i.cast("bigint") + 1)
+    # names that occur once, as most do, are not compared with each other
+    apart = F.size(F.array_distinct("_names")) == F.size("_names")
+
+    def renamed(e: Column, i: Column) -> Column:
+        later = F.size(F.filter("_names", lambda n, j: (j > i) & (n == e["key"])))
+        return _pair(F.when(later == 0, e["key"]).otherwise(F.concat(e["key"], F.lit("__"), (later + 1).cast("string"))), e["value"])
+
+    unique = F.when(apart, F.col("_all")).otherwise(F.transform("_all", renamed))
     return computed_once(named, _entries=unique).drop("_top", "_all", "_names")
 
 

@@ -98,7 +98,7 @@ def route(
     timed = given.withColumn(
         "_event_time", T.payload_time(time["value"], time["kind"], bucket_clock, numeric_time_unit)
     )
-    asset_text = F.when(asset["kind"] == "BOOLEAN", F.lit("True")).otherwise(V.as_text(asset["value"]))
+    asset_text = F.when(asset["kind"] == "BOOLEAN", F.lit("True")).otherwise(V.as_written(asset["value"], asset["kind"]))
     routed = computed_once(
         timed,
         event_time=F.coalesce("_event_time", "ingest_ts"),

@@ -80,9 +80,11 @@ WITH files AS (
 
 _SAMPLES = """
 WITH samples AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS asset_id, l_returnflag AS sensor_name, l_shipdate AS event_time,
-    l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
-    epoch_us(l_shipdate) AS arrival
+  SELECT CAST(l_suppkey % 2 AS VARCHAR) AS asset_id, l_returnflag AS sensor_name,
+    date_trunc('quarter', CAST(l_shipdate AS TIMESTAMP)) + to_hours(l_partkey % 2) + to_minutes(l_linenumber % 3 * 10)
+      + to_seconds(l_suppkey % 60) AS event_time,
+    l_quantity AS quantity, round(l_extendedprice) AS price, round(l_discount * 100) AS discount, round(l_tax * 100) AS tax,
+    l_orderkey * 8 + l_linenumber AS arrival
   FROM lineitem
 )"""
 
@@ -234,7 +236,7 @@ ORACLES: dict[str, str] = {
     "agg_hour_multi": _rollup(_SAMPLES, "samples", _QUANTITIES, "hour"),
     "agg_day": _rollup(_VALUES, "measured", ["value"], "day"),
     "agg_day_target": _rollup(
-        _SAMPLES, "samples", ["quantity"], "day", hour_filter="CAST(hour_bucket AS DATE) = DATE '1998-06-15'"
+        _SAMPLES, "samples", ["quantity"], "day", hour_filter="CAST(hour_bucket AS DATE) = DATE '1998-04-01'"
     ),
     "agg_cascade": _rollup(_BOTH, "measured", ["value", "props_k"], "day"),
     "agg_cascade_sensor": _rollup(_BOTH, "measured", ["value", "props_k"], "day", ("sensor_name",), digits=8),

@@ -33,7 +33,7 @@ TOPICS = "^sensor-data-(view|click).*"
 HIGH_WATER = datetime(2024, 1, 15)
 PULL_ROWS = 1000
 TARGET_HOUR = datetime(2024, 1, 10, 12)
-TARGET_DAY = date(1998, 6, 15)
+TARGET_DAY = date(1998, 4, 1)
 EVENTS_NOW = datetime(2024, 1, 31)
 FILES_NOW = datetime(2001, 8, 1)
 LISTING_PREFIX = "asset_1"

@@ -103,16 +103,19 @@ SAMPLE_MEASURES = ("quantity", "price", "discount", "tax")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day-granular measurements. Arrival order is the event time."""
+    """Measurements in few buckets: quarters, two hours of a day, three minutes of an hour. Rows arrive by order, not by time."""
     return table(spark, sf_dir, "lineitem").repartition(PARTITIONS, "l_orderkey").select(
-        F.col("l_suppkey").cast("string").alias("asset_id"),
+        F.pmod("l_suppkey", F.lit(2)).cast("string").alias("asset_id"),
         F.col("l_returnflag").alias("sensor_name"),
-        F.col("l_shipdate").cast("timestamp").alias("event_time"),
+        (F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")) + F.make_dt_interval(
+            F.lit(0), (F.col("l_partkey") % 2).cast("int"), (F.col("l_linenumber") % 3 * 10).cast("int"), (F.col("l_suppkey") % 60).cast("decimal(18,6)")
+        )).alias("event_time"),
         F.col("l_quantity").alias("quantity"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_discount").alias("discount"),
-        F.col("l_tax").alias("tax"),
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("arrival_order"),
+        # whole numbers: their means do not end halfway between two rounded values
+        F.round("l_extendedprice").alias("price"),
+        F.round(F.col("l_discount") * 100).alias("discount"),
+        F.round(F.col("l_tax") * 100).alias("tax"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("arrival_order"),
     )
 
 

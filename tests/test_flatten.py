@@ -43,7 +43,7 @@ def test_payloads_that_are_no_objects(routed):
 
 def test_colliding_names_do_not_fail(routed):
     r = FL.flatten_maps(routed('{"a":{"b":1},"a_b":2,"c_d":{"e":3},"c":{"d_e":4}}')).first()
-    assert set(r.measures) == {"a_b", "c_d_e"}
+    assert r.measures == {"a_b": 2.0, "a_b__2": 1.0, "c_d_e": 3.0, "c_d_e__2": 4.0}
 
 
 def test_reserved_names_are_no_measures(routed):

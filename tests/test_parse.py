@@ -81,6 +81,13 @@ def test_names_from_topics(spark, topic, sensor, table):
     ('{"time":"2024/01/15 10:20:30"}', datetime(2024, 1, 15, 10, 20, 30), "payload"),
     ('{"time":"20240115"}', datetime(2024, 1, 15), "payload"),
     ('{"time":"01/15/2024"}', datetime(2024, 1, 15), "payload"),
+    ('{"time":"Jan 5, 2024 10:00"}', datetime(2024, 1, 5, 10), "payload"),
+    ('{"time":"January 5, 2024"}', datetime(2024, 1, 5), "payload"),
+    ('{"time":"2024-01-05 10:00 PM"}', datetime(2024, 1, 5, 22), "payload"),
+    ('{"time":"20240105T100000Z"}', datetime(2024, 1, 5, 10), "payload"),
+    ('{"time":"5/1/2024 10:00"}', datetime(2024, 5, 1, 10), "payload"),
+    ('{"time":"Fri, 05 Jan 2024 10:00:00 GMT"}', datetime(2024, 1, 5, 10), "payload"),
+    ('{"time":"2024/01/05 10:00:00.5"}', datetime(2024, 1, 5, 10, 0, 0, 500000), "payload"),
     ('{"time":1704067200000}', datetime(2024, 1, 1), "payload"),
     ('{"time":"soon"}', INGEST, "fallback"),
     ('{"time":[1]}', INGEST, "fallback"),
@@ -112,7 +119,7 @@ def test_event_time_options(make_messages):
     ('{"daqid":"a1"}', "a1"), ('{"daqid":7}', "7"), ('{"daqid":0}', "unknown_asset"), ('{"daqid":"0"}', "0"),
     ('{"daqid":""}', "unknown_asset"), ('{"daqid":null}', "unknown_asset"), ('{"daqid":true}', "True"),
     ('{"daqid":false}', "unknown_asset"), ('{"daqid":[]}', "unknown_asset"), ('{"daqid":{}}', "unknown_asset"),
-    ("{}", "unknown_asset"), ("[1]", "unknown_asset"),
+    ('{"daqid":1.0}', "1.0"), ('{"daqid":-2.50}', "-2.5"), ('{"daqid":12}', "12"), ("{}", "unknown_asset"), ("[1]", "unknown_asset"),
 ])
 def test_asset(make_messages, payload, asset):
     assert rows_of(make_messages, [payload])[0].asset_id == asset
