@@ -12,24 +12,37 @@ from gaugelake.functions import naming as N
 from gaugelake.functions.timing import instant
 
 
+PULL_PARTITIONS = 16
+FETCH_ROWS = 10_000
+
+
+def capped_query(table: str, max_rows: int, ts_col: str = "timestamp", high_water: datetime | None = None,
+                 until: datetime | None = None) -> str:
+    """The oldest ``max_rows`` rows and those tied with the last, as a query that the database answers."""
+    bounds = [f"{ts_col} {sign} TIMESTAMP '{at.isoformat(sep=' ')}'" for sign, at in ((">", high_water), ("<=", until)) if at]
+    where = f" WHERE {' AND '.join(bounds)}" if bounds else ""
+    return f"(SELECT * FROM {table}{where} ORDER BY {ts_col} FETCH FIRST {int(max_rows)} ROWS WITH TIES) AS capped"
+
+
 def jdbc_options(
     url: str,
     table: str,
     ts_col: str = "timestamp",
     high_water: datetime | None = None,
     until: datetime | None = None,
-    partitions: int = 1,
+    partitions: int = PULL_PARTITIONS,
+    max_rows: int | None = None,
     **extra: str,
 ) -> dict[str, str]:
     """Options of the ``jdbc`` source.
 
-    With a known range and ``partitions > 1`` the pull is split on the timestamp, so that no single
-    task reads it all. The predicate itself is added by ``pulled`` and pushed down by Spark.
+    With a known range the pull is split on the timestamp, so that no single task reads it all; a capped
+    pull is small and is one query. The predicate itself is added by ``pulled`` and pushed down by Spark.
     """
-    options = {"url": url, "dbtable": table, **extra}
-    if partitions > 1:
-        if high_water is None or until is None:
-            raise ValueError("a split pull needs high_water and until")
+    options = {"url": url, "dbtable": table, "fetchsize": str(FETCH_ROWS), **extra}
+    if max_rows is not None:
+        options["dbtable"] = capped_query(table, max_rows, ts_col, high_water, until)
+    elif partitions > 1 and high_water is not None and until is not None:
         options |= {
             "partitionColumn": ts_col,
             "lowerBound": high_water.isoformat(sep=" "),
@@ -41,9 +54,10 @@ def jdbc_options(
 
 def jdbc_pull(
     spark: SparkSession, url: str, table: str, ts_col: str = "timestamp",
-    high_water: datetime | None = None, until: datetime | None = None, partitions: int = 1, **extra: str,
+    high_water: datetime | None = None, until: datetime | None = None,
+    partitions: int = PULL_PARTITIONS, max_rows: int | None = None, **extra: str,
 ) -> DataFrame:
-    options = jdbc_options(url, table, ts_col, high_water, until, partitions, **extra)
+    options = jdbc_options(url, table, ts_col, high_water, until, partitions, max_rows, **extra)
     return pulled(spark.read.format("jdbc").options(**options).load(), ts_col, high_water, until)
 
 

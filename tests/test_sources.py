@@ -38,9 +38,14 @@ def test_jdbc_options():
     o = I.jdbc_options("jdbc:x", "sensor_data", high_water=hw, until=until, partitions=8, fetchsize="1000")
     assert (o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"]) == (
         "timestamp", "2024-01-01 00:00:00", "2024-01-02 00:00:00", "8")
+    assert o["fetchsize"] == "1000"
+    o = I.jdbc_options("jdbc:x", "sensor_data", high_water=hw, until=until)
+    assert o["numPartitions"] == "16" and o["fetchsize"] == "10000"
     assert "partitionColumn" not in I.jdbc_options("jdbc:x", "sensor_data")
-    with pytest.raises(ValueError):
-        I.jdbc_options("jdbc:x", "sensor_data", partitions=4)
+    o = I.jdbc_options("jdbc:x", "sensor_data", high_water=hw, max_rows=1000)
+    assert o["dbtable"] == ("(SELECT * FROM sensor_data WHERE timestamp > TIMESTAMP '2024-01-01 00:00:00' "
+                            "ORDER BY timestamp FETCH FIRST 1000 ROWS WITH TIES) AS capped")
+    assert "partitionColumn" not in o
 
 
 @pytest.fixture(scope="module")
