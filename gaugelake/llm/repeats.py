@@ -94,21 +94,24 @@ def _super_kmers(docs: DataFrame, kind: Kind) -> DataFrame:
                 h = kind.minimisers(units, 0)
                 if not len(h):
                     continue
-                keep = np.isin(h, hs.values.to_numpy().view(np.uint64))
                 divided = h
                 if len(hot.values):
                     second = kind.minimisers(units, 1)
                     divided = np.where(np.isin(h, hot.values.to_numpy().view(np.uint64)), h ^ (second << np.uint64(1)), h)
                 cut = np.flatnonzero(np.concatenate([[True], (divided[1:] != divided[:-1]) | (h[1:] != h[:-1])]))
                 ends = np.append(cut[1:], len(h))
-                kept = keep[cut]
+                kept = np.isin(h[cut], hs.values.to_numpy().view(np.uint64))
                 doc, own = doc_id.as_py(), tkey.as_py()
                 for a, b, d in zip(cut[kept].tolist(), ends[kept].tolist(), divided[cut[kept]].view(np.int64).tolist(), strict=True):
                     body = kind.body(units, a, b)
-                    key = (d, body)
-                    rows.append((d, xxhash.xxh3_64_intdigest(body) - 2**63, None if key in sent else body, b - a, doc, own, a))
-                    sent.add(key)
-                    size += len(body) + 50
+                    key = (d, xxhash.xxh3_64_intdigest(body) - 2**63)
+                    size += 50
+                    if key in sent:
+                        rows.append((*key, None, b - a, doc, own, a))
+                    else:
+                        sent.add(key)
+                        rows.append((*key, body, b - a, doc, own, a))
+                        size += len(body)
                 if size > 6_000_000:
                     yield _rows(rows, FOUND)
                     rows, sent, size = [], set(), 0

@@ -30,6 +30,10 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), ">u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
 
 
+def padded_words(data: np.ndarray, depth: int) -> np.ndarray:
+    return words_at(np.concatenate([data, np.zeros(depth + 16, np.uint8)]))
+
+
 def sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """``at`` in the order of the ``depth`` bytes from there; only what ties is compared further."""
     group = np.zeros(len(at), np.int64)
@@ -51,7 +55,7 @@ def sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     return at[order]
 
 
-def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
     """Positions of ``data`` in the order of their suffixes, exact to ``depth`` bytes.
 
     With ``wanted`` (marks), only those positions and what they are induced from: each one's run of
@@ -60,7 +64,7 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     n = len(data)
     if n < 2:
         return np.arange(n)
-    words = words_at(np.concatenate([data, np.zeros(depth + 16, np.uint8)]))
+    words = padded_words(data, depth) if words is None else words
     differs = np.append(data[:-1] != data[1:], True)
     after = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
     follows = np.append(data[1:], 0).astype(np.int16)
@@ -144,9 +148,9 @@ class ByteWindows:
         data = np.frombuffer(bytes([SEPARATOR]).join(bodies) + bytes([SEPARATOR]), np.uint8)
         body = np.repeat(np.arange(len(bodies)), sizes)
         whole = np.arange(len(data)) + self.width <= (starts + sizes - 1)[body]  # inside one super-k-mer
-        order = suffix_array(data, self.width, whole)
+        words = padded_words(data, self.width)
+        order = suffix_array(data, self.width, whole, words)
         order = order[whole[order]]
-        words = words_at(np.concatenate([data, np.zeros(self.width + 16, np.uint8)]))
         common = common_prefixes(words, order, self.width)
         group = np.cumsum(~common) - 1
         owner = owners[body[order]]
