@@ -90,7 +90,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def src_topic_filter(spark, sf_dir):
-    return K.subscribed(W.messages(spark, sf_dir), TOPICS).select("topic", "partition", "offset")
+    return K.subscribed(W.envelopes(spark, sf_dir), TOPICS).select("topic", "partition", "offset")
 
 
 @query
@@ -134,7 +134,7 @@ def parse_envelope(spark, sf_dir):
 
 @query
 def parse_topic(spark, sf_dir):
-    return W.messages(spark, sf_dir).select(
+    return W.envelopes(spark, sf_dir).select(
         "offset", N.sensor_name(F.col("topic")).alias("sensor_name"), N.table_name(F.col("topic")).alias("table_name")
     )
 
@@ -368,7 +368,7 @@ def ingest_group_sizes(spark, sf_dir):
 @query
 def ingest_dedup(spark, sf_dir):
     """Every message delivered twice, kept once."""
-    once = W.messages(spark, sf_dir).select("topic", "partition", "offset")
+    once = W.envelopes(spark, sf_dir).select("topic", "partition", "offset")
     kept = K.drop_redelivered(once.unionByName(once))
     return kept.groupBy("topic", "partition").agg(F.count("*").alias("rows"), F.max("offset").alias("last_offset"))
 
@@ -442,7 +442,7 @@ def life_cleanup_report(spark, sf_dir):
 
 @query
 def mon_rate_5m(spark, sf_dir):
-    return rounded(M.message_rate(W.messages(spark, sf_dir), ["topic"], "timestamp"))
+    return rounded(M.message_rate(W.envelopes(spark, sf_dir), ["topic"], "timestamp"))
 
 
 @query
@@ -460,13 +460,13 @@ def mon_failure_rate(spark, sf_dir):
 
 @query
 def mon_lag(spark, sf_dir):
-    head = W.messages(spark, sf_dir).select("topic", "partition", "offset", "ingest_ts")
+    head = W.envelopes(spark, sf_dir).select("topic", "partition", "offset", "ingest_ts")
     return M.consumer_lag(head, head.where(F.col("ingest_ts") <= instant(LAG_CUT)), LAG_LIMIT)
 
 
 @query
 def mon_gaps(spark, sf_dir):
-    return M.silences(W.messages(spark, sf_dir), ["topic"], "timestamp", EVENTS_NOW)
+    return M.silences(W.envelopes(spark, sf_dir), ["topic"], "timestamp", EVENTS_NOW)
 
 
 @query
@@ -499,7 +499,7 @@ def mon_last_value(spark, sf_dir):
 
 @query
 def mon_stale(spark, sf_dir):
-    return rounded(M.stale_sources(W.messages(spark, sf_dir), EVENTS_NOW, ["topic", "partition"], "timestamp"))
+    return rounded(M.stale_sources(W.envelopes(spark, sf_dir), EVENTS_NOW, ["topic", "partition"], "timestamp"))
 
 
 @query

@@ -46,6 +46,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _envelope() -> list[Column]:
+    return [
+        F.concat(F.lit(TOPIC_PREFIX), F.col("event_type")).alias("topic"),
+        F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").alias("timestamp"),
+    ]
+
+
+def _ingest_ts() -> Column:
+    return (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ingest_ts")
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a message says without its payload; questions that need no more should read no more."""
+    return events(spark, sf_dir).select(*_envelope(), _ingest_ts())
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = computed_once(events(spark, sf_dir).repartition(PARTITIONS, "event_id"), k=F.from_json("props", EVENT_KEY)["k"])
     k = F.col("k")
@@ -90,12 +108,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed_once(source, body=body).select(
         F.col("user_id").cast("string").cast("binary").alias("key"),
         F.col("body").alias("value"),
-        F.concat(F.lit(TOPIC_PREFIX), F.col("event_type")).alias("topic"),
-        F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"),
-        F.col("event_id").alias("offset"),
-        F.col("ts").alias("timestamp"),
+        *_envelope(),
         F.when(k == NO_TIMESTAMP_TYPE, -1).otherwise(0).alias("timestampType"),
-        (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ingest_ts"),
+        _ingest_ts(),
     )
 
 
