@@ -84,7 +84,7 @@ WITH samples AS (
     date_trunc('quarter', CAST(l_shipdate AS TIMESTAMP)) + to_hours(l_partkey % 2) + to_minutes(l_linenumber % 3 * 10)
       + to_seconds(l_suppkey % 60) AS event_time,
     l_quantity AS quantity, round(l_extendedprice) AS price, round(l_discount * 100) AS discount, round(l_tax * 100) AS tax,
-    l_orderkey * 8 + l_linenumber AS arrival
+    (l_orderkey * 8 + l_linenumber) * 64 + l_suppkey % 60 AS arrival
   FROM lineitem
 )"""
 

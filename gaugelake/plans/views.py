@@ -130,7 +130,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("l_extendedprice").alias("price"),
         F.round(F.col("l_discount") * 100).alias("discount"),
         F.round(F.col("l_tax") * 100).alias("tax"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("arrival_order"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_suppkey") % 60).cast("bigint").alias("arrival_order"),
     )
 
 
