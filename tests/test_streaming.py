@@ -2,7 +2,6 @@ import glob
 import os
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
