@@ -5,8 +5,6 @@ from __future__ import annotations
 ORACLES: dict[str, str] = {}
 
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
 ORACLES["op7_url_filter"] = r"""
 WITH parts AS (
   SELECT page_id,
