@@ -129,13 +129,15 @@ def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 def _judged(bodies: DataFrame, kind: Kind) -> DataFrame:
     """``h``, ``key``, ``owner`` and ``runs`` (windows of the owner that also start in a smaller document), where any document has a repeat."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        # a minimiser's only super-k-mer has nothing to be compared with: its owner has no repeats
+        rows, alone, group, size = [], [], [], 0
 
         def done() -> pa.RecordBatch:
-            h, key, bodies, owners, lasts = zip(*rows, strict=True) if rows else [()] * 5
+            h, key, bodies, owners, lasts = zip(*rows, *alone, strict=True) if rows or alone else [()] * 5
             owner, last_doc = np.array(owners, np.int64), np.array(lasts, np.int64)
-            which, first, end = map(np.asarray, kind.repeats(list(bodies), owner)) if rows else [np.zeros(0, np.int64)] * 3
-            at = np.searchsorted(which, np.arange(len(rows) + 1)).astype(np.int32)
+            n = len(rows)
+            which, first, end = map(np.asarray, kind.repeats(list(bodies[:n]), owner[:n])) if rows else [np.zeros(0, np.int64)] * 3
+            at = np.searchsorted(which, np.arange(len(owner) + 1)).astype(np.int32)
             run = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["first", "last"])
             out = pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array(owner), pa.ListArray.from_arrays(pa.array(at), run)],
@@ -144,12 +146,15 @@ def _judged(bodies: DataFrame, kind: Kind) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if row[0] != last and size > BLOCK_BYTES:
-                    yield done()
-                    rows, size = [], 0
-                last = row[0]
-                rows.append(row)
+                if group and row[0] != group[0][0]:
+                    (rows if len(group) > 1 else alone).extend(group)
+                    group = []
+                    if size > BLOCK_BYTES:
+                        yield done()
+                        rows, alone, size = [], [], 0
+                group.append(row)
                 size += len(row[2])
+        (rows if len(group) > 1 else alone).extend(group)
         yield done()
 
     return bodies.mapInArrow(judge, "h bigint, key bigint, owner bigint, runs array<struct<first:int,last:int>>")
