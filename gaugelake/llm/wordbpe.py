@@ -10,6 +10,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -20,7 +21,7 @@ MAX_PARTS = 500_000
 
 # How the tokenizer splits, spelled out for lower-case Latin-1 text.
 _LETTERS, _NUMBERS, _SPACES = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_LATIN = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
 def split(text: str) -> list[str]:
@@ -37,8 +38,9 @@ def split(text: str) -> list[str]:
 class WordEncoder(dict):
     """part -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_parts: int = MAX_PARTS):
         super().__init__()
+        self.max_parts = max_parts
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,11 +59,11 @@ class WordEncoder(dict):
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; what is new in some of them goes through the library in one call."""
         for low, high in grouped(texts):
-            if len(self) > MAX_PARTS:
+            if len(self) > self.max_parts:
                 self.clear()
             parts = [split(text) for text in texts[low:high]]
             # in lower case and without marks a word is one run of tokens up to a word end
-            new = sorted(part for part in set().union(*parts) if part not in self and part.isalpha() and part.islower())
+            new = sorted(part for part in set(filterfalse(self.__contains__, chain.from_iterable(parts))) if part.isalpha() and part.islower())
             ids = self._library(" ".join(new))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(new):
@@ -93,5 +95,5 @@ def grouped(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, max_parts: int = MAX_PARTS) -> WordEncoder:
+    return WordEncoder(path, max_parts)
