@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake.llm.shared import stored, texts
-from gaugelake.llm.wordbpe import MAX_PARTS, encoder, grouped
+from gaugelake.llm.wordbpe import encoder, grouped
 
 CAPACITY = 2048
 #: Ranks within a length are counted in so many parts, so that a frequent length is not one task.
@@ -91,7 +91,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     end = np.array([separator], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path, 2 * MAX_PARTS)  # nothing else takes memory here
+        words = encoder(path, 1_000_000)  # nothing else takes memory here
         for batch in batches:
             ids_of, texts_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in grouped(texts_of):

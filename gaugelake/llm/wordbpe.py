@@ -17,7 +17,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts that a worker remembers; when they are this many it starts anew.
-MAX_PARTS = 500_000
+MAX_PARTS = 150_000
 
 # How the tokenizer splits, spelled out for lower-case Latin-1 text.
 _LETTERS, _NUMBERS, _SPACES = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
