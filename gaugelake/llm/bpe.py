@@ -115,8 +115,8 @@ def repeat_bitmap(docs: DataFrame) -> np.ndarray:
 
     repeated = docs.mapInArrow(keys, "key bigint, uses bigint").groupBy("key").agg(F.sum("uses").alias("uses")).filter("uses > 1")
     place = F.pmod(F.col("key"), F.lit(BITMAP_BITS))
-    cells = repeated.groupBy(F.floor(place / 32).cast("int").alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(key, {BITMAP_BITS}) % 32 AS INT))")).alias("bits")).toArrow()
+    cells = stored(repeated.groupBy(F.floor(place / 32).cast("int").alias("cell")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(key, {BITMAP_BITS}) % 32 AS INT))")).alias("bits")), "bpe-bitmap").toArrow()
     bitmap = np.zeros(BITMAP_BITS // 32, np.uint32)
     bitmap[cells["cell"].to_numpy()] = cells["bits"].to_numpy().astype(np.uint32)
     return bitmap

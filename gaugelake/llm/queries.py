@@ -76,9 +76,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
-    return out.select(
+    return stored(out.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256")), "bpe-digests")
 
 
 @query
