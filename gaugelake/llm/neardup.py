@@ -1,7 +1,8 @@
 """MinHash near-dedup (operator 10) with b-bit signatures.
 
 1. Each text becomes the set of its word shingles (64-bit hashes), its minima under many permutations,
-   band keys of those, and a signature of their low bits. Equal sets are one node from here on.
+   band keys of those, and a signature of their low bits. Equal sets are one node from here on, with a
+   number of its own: ids may be missing or repeated and come in again only at the end.
 2. Nodes that share a band key meet. Bit counts of their signatures estimate their similarity, corrected
    for low bits that agree by chance; nodes that could be similar fall into one candidate group. A bucket
    returns a spanning forest of its likely pairs, never all of them.
@@ -128,6 +129,8 @@ def _edges(rows: DataFrame, keys: list[str], value: str, link: Callable[[list],
                 if own != key:
                     close()
                     key, nodes, values = own, [], []
+                elif node == nodes[-1]:  # a repeated row
+                    continue
                 nodes.append(node)
                 values.append(item)
             yield taken()
@@ -145,7 +148,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
         multipliers, offsets = permutations(count)
         for batch in batches:
             sizes, keys, signatures, bands = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 values = shingles(text.as_py(), width)
                 low = minima(values, multipliers, offsets)
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -158,7 +161,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), lists],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), lists],
                 names=["doc_id", "text_key", "n_shingles", "set_key", "signature", "bands"])
 
     return docs.mapInArrow(describe, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>")
@@ -168,16 +171,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``text_key`` (a hash) of each row of ``df``.
 
     Texts are linked where 100 * intersection >= ``percent`` * union of their shingle sets. The smallest
-    id of a component is kept. A text without words (NULL, empty, white space) is linked with nothing.
-    Rows of one id are one document and fall into one component; a NULL id counts as the largest and
-    stays NULL.
+    id of a component is its id and is kept; a NULL id counts as the largest and stays NULL. Rows are
+    judged one by one: where the smallest id has several texts in a component, as rows without an id may,
+    the one with the smallest ``text_key`` is kept, as often as it is repeated. A text without words (NULL,
+    empty, white space) is linked with nothing.
     """
-    docs = texts(df, id_col, text_col).select(sort_id().alias("doc_id"), "text")
+    docs = texts(df, id_col, text_col).select(sort_id().alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     count = BANDS * ROWS
-    rows = stored(described(docs.withColumn("text_key", F.xxhash64("text")), width), "minhash-rows")
+    rows = stored(described(docs, width), "minhash-rows")
     nodes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"),
-        F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")), "minhash-nodes")
+        F.min(F.struct("doc_id", "text_key")).alias("low"), F.any_value("n_shingles").alias("n_shingles"),
+        F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")).withColumn(
+        "node", F.monotonically_increasing_id()), "minhash-nodes")
 
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -191,9 +196,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
     groups = components(_edges(met, ["band"], "signature", likely))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = groups.join(nodes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node").groupBy("root").agg(
-        F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).alias("blocks"))
-    members = docs.withColumnRenamed("doc_id", "node").join(groups.join(sizes, "root"), "node")
+    sizes = groups.join(nodes, "node").groupBy("root").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).alias("blocks"))
+    chosen = groups.join(sizes, "root").join(nodes.select("node", "low.*"), "node")
+    # of equal texts without an id one is enough
+    nameless = docs.filter(F.col("doc_id") == MAX_ID).groupBy("doc_id", "text_key").agg(F.any_value("text").alias("text"))
+    members = docs.filter(F.col("doc_id") < MAX_ID).unionByName(nameless).join(chosen, ["doc_id", "text_key"])
     members = in_blocks(members, F.col("blocks"))
 
     def confirmed(group: list[str]) -> list[tuple[int, int]]:
@@ -222,8 +229,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         return forest(len(sets), near)
 
     labels = components(_edges(members, ["root"], "text", confirmed))
-    out = rows.join(nodes.select("set_key", "node"), "set_key", "left").join(labels, "node", "left")
-    component = F.coalesce("root", "node", "doc_id")
+    labels = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+    lowest = nodes.join(labels, "node").groupBy("root").agg(F.min("low").alias("lowest"))
+    found = nodes.select("set_key", "node", "low").join(labels.join(lowest, "root"), "node", "left")
+    out = rows.join(found.select("set_key", F.coalesce("lowest", "low").alias("low")), "set_key", "left")
     return out.select(
-        F.nullif("doc_id", F.lit(MAX_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(MAX_ID)).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"), "text_key")
+        F.nullif("doc_id", F.lit(MAX_ID)).alias("doc_id"), "n_shingles",
+        F.nullif(F.coalesce("low.doc_id", "doc_id"), F.lit(MAX_ID)).alias("component_id"),
+        F.coalesce((F.col("doc_id") == F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key")), F.lit(True)).alias("kept"),
+        "text_key")

@@ -146,6 +146,33 @@ def test_near_duplicates(spark, odd_docs, odd_rows, no_docs, monkeypatch, split)
     assert neardup.near_duplicates(odd_docs).count() == len(odd_rows)
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_near_duplicates_without_ids(spark, monkeypatch, split):
+    """Rows without an id, and texts of a repeated one, are judged one by one."""
+    if split:
+        monkeypatch.setattr(neardup, "BUCKET_NODES", 2)
+        monkeypatch.setattr(neardup, "GROUP_SHINGLES", 100)
+
+    def text(name, changed=()):
+        return " ".join(f"new{i}" if i in changed else f"{name}{i}" for i in range(100))
+
+    rows = [(1, text("a")), (None, text("a", [3])), (None, text("b")), (None, text("c")), (None, text("c", [7])), (None, text("c", [90])),
+            (None, text("d")), (None, text("d")), (None, None), (2, text("e")), (2, text("f")), (0, text("f", [5])), (3, text("g")), (3, text("g", [9]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    key = {r[0]: t for t, r in ((t, spark.sql("SELECT xxhash64(:t)", {"t": t or ""}).first()) for t in {t for _, t in rows})}
+    assert sorted(((r.doc_id, key[r.text_key]) for r in got), key=str) == sorted(rows, key=str)
+
+    def found(*texts):
+        return [(r.doc_id, r.component_id, r.kept) for r in got if key[r.text_key] in texts]
+
+    assert sorted(found(text("a"), text("a", [3])), key=str) == [(1, 1, True), (None, 1, False)]
+    assert found(text("b")) == [(None, None, True)] and found(None) == [(None, None, True)]
+    assert sorted(found(text("c"), text("c", [7]), text("c", [90])), key=str) == [(None, None, False)] * 2 + [(None, None, True)]
+    assert found(text("d")) == [(None, None, True)] * 2  # equal rows
+    assert found(text("e")) == [(2, 2, True)] and found(text("f")) == [(2, 0, False)] and found(text("f", [5])) == [(0, 0, True)]
+    assert sorted(found(text("g"), text("g", [9]))) == [(3, 3, False), (3, 3, True)]
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(8)
     multipliers, offsets = neardup.permutations(neardup.BANDS * neardup.ROWS)
