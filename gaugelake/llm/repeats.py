@@ -9,7 +9,10 @@ minimisers, and consecutive windows mostly share theirs, so they travel together
 3. A bucket tells for each distinct super-k-mer which of its windows also start in a smaller document.
 4. That goes to where the super-k-mer occurs, and then to the documents.
 
-Copies of a whole text are left out of 1 to 3: all their windows also start in the smallest of them.
+Copies of a whole text are left out of 2 and 3: all their windows also start in the smallest of them.
+
+What is found travels by (id, text), never by the id alone: ids may be missing or repeated, and then only
+tell which document is smaller.
 """
 
 from __future__ import annotations
@@ -54,25 +57,28 @@ def runs_of(dup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _occurring(docs: DataFrame, kind: Kind) -> DataFrame:
-    """``h``, ``doc`` and ``others``: the distinct minimisers of each batch with the documents that have them."""
+    """``h``, ``doc``, ``tkey`` and ``others``: the distinct minimisers of each batch with the texts that have them."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(), []
-            for text in batch.column(1):
-                found.append(np.unique(kind.minimisers(kind.units(text.as_py()), 0)))
+            ids, keys, found, seen = batch.column(0).to_numpy(), batch.column(2).to_numpy(), [], set()
+            for own, text in zip(zip(ids.tolist(), keys.tolist(), strict=True), batch.column(1), strict=True):
+                again = own in seen
+                seen.add(own)
+                found.append(np.zeros(0, np.uint64) if again else np.unique(kind.minimisers(kind.units(text.as_py()), 0)))
             h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            doc = np.repeat(ids, [len(f) for f in found]).astype(np.int64)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
+            row = np.repeat(np.arange(len(ids)), [len(f) for f in found])
+            order = np.lexsort((ids[row], h))
+            h, doc, tkey = h[order], ids[row[order]].astype(np.int64), keys[row[order]].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(first, len(h)))
             rest = np.ones(len(h), bool)
             rest[first] = False
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)), pa.array(doc[rest]))
+            other = pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(tkey[rest])], names=["doc", "tkey"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)), other)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(doc[first]), lists], names=["h", "doc", "others"])
+                [pa.array(h[first].view(np.int64)), pa.array(doc[first]), pa.array(tkey[first]), lists], names=["h", "doc", "tkey", "others"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(read, "h bigint, doc bigint, others array<bigint>")
+    rows = docs.select("doc_id", "text", "tkey").mapInArrow(read, "h bigint, doc bigint, tkey bigint, others array<struct<doc:bigint,tkey:bigint>>")
     return rows.withColumn("others", F.when(F.size("others") > 0, F.col("others")))
 
 
@@ -80,16 +86,14 @@ FOUND = {"h": pa.int64(), "key": pa.int64(), "body": pa.binary(), "n": pa.int32(
 
 
 def _super_kmers(docs: DataFrame, kind: Kind) -> DataFrame:
-    """From documents with ``hs`` (minimisers to follow), ``hot`` (those to divide) and ``copies`` (texts to skip).
+    """From documents with ``hs`` (minimisers to follow) and ``hot`` (those to divide).
 
     One row for each place of a super-k-mer; its ``body`` comes once in a batch. (h, key) stand for it.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, sent, size = [], set(), 0
-            for doc_id, text, tkey, hs, hot, copies in zip(*[batch.column(i) for i in range(6)], strict=True):
-                if copies.as_py() and tkey.as_py() in copies.as_py():
-                    continue
+            for doc_id, text, tkey, hs, hot in zip(*[batch.column(i) for i in range(5)], strict=True):
                 units = kind.units(text.as_py())
                 h = kind.minimisers(units, 0)
                 if not len(h):
@@ -118,7 +122,7 @@ def _super_kmers(docs: DataFrame, kind: Kind) -> DataFrame:
             yield _rows(rows, FOUND)
 
     schema = "h bigint, key bigint, body binary, n int, doc_id bigint, tkey bigint, start int"
-    return docs.select("doc_id", "text", "tkey", "hs", "hot", "copies").mapInArrow(read, schema)
+    return docs.select("doc_id", "text", "tkey", "hs", "hot").mapInArrow(read, schema)
 
 
 def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -181,18 +185,21 @@ def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: st
     copies = stored(copies, "repeats-copies")
 
     by_h = W.partitionBy("h")
-    last = F.coalesce(F.array_max("others"), F.col("doc"))
+    # the others of a batch come in the order of their ids
+    last = F.coalesce(F.element_at("others", -1)["doc"], F.col("doc"))
     shared = _occurring(docs, kind).select(
         "*", F.min("doc").over(by_h).alias("low"), F.max(last).over(by_h).alias("high"),
         F.sum(1 + F.coalesce(F.size("others"), F.lit(0))).over(by_h).alias("n")).filter("low < high")
-    hits = shared.select(F.explode(F.concat(F.array("doc"), F.coalesce("others", F.array().cast("array<bigint>")))).alias("doc_id"), "h", "n")
-    hits = stored(hits.select("doc_id", "h", (F.col("n") >= hot_docs).alias("is_hot")), "repeats-minimisers")
-
-    info = hits.select("doc_id", "h", "is_hot", F.lit(None).cast("bigint").alias("copy")).unionByName(
-        copies.select("doc_id", F.lit(None).cast("bigint").alias("h"), F.lit(False).alias("is_hot"), F.col("tkey").alias("copy")))
-    info = info.groupBy("doc_id").agg(
-        F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("is_hot"), F.col("h"))).alias("hot"), F.collect_list("copy").alias("copies"))
-    found = _super_kmers(docs.join(info.filter(F.size("hs") > 0), "doc_id"), kind)
+    hits = shared.select("h", (F.col("n") >= hot_docs).alias("is_hot"), F.inline(F.concat(
+        F.array(F.struct("doc", "tkey")), F.coalesce("others", F.array().cast("array<struct<doc:bigint,tkey:bigint>>")))))
+    hits = stored(hits.select(F.col("doc").alias("doc_id"), "tkey", "h", "is_hot"), "repeats-minimisers")
+
+    # sets, for repeated rows have the same
+    info = hits.select("doc_id", "tkey", "h", "is_hot", F.lit(False).alias("is_copy")).unionByName(
+        copies.select("doc_id", "tkey", F.lit(None).cast("bigint").alias("h"), F.lit(False).alias("is_hot"), F.lit(True).alias("is_copy")))
+    info = info.groupBy("doc_id", "tkey").agg(
+        F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"), F.bool_or("is_copy").alias("is_copy"))
+    found = _super_kmers(docs.join(info.filter(~F.col("is_copy")), ["doc_id", "tkey"]), kind)
     found = stored(found, "repeats-super-kmers")
 
     bodies = found.select("h", "key", "body", "doc_id").repartition(splits(df), "h").groupBy("h", "key").agg(
@@ -203,10 +210,10 @@ def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: st
     uses = found.drop("body").join(judged, ["h", "key"])
     ranges = F.when(F.col("doc_id") > F.col("owner"), F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("last")))).otherwise(F.col("runs"))
     spans = uses.select("doc_id", "tkey", "start", F.explode(ranges).alias("r"))
-    spans = spans.select("doc_id", F.struct("tkey", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("span"))
-    marks = spans.unionByName(copies.select("doc_id", F.struct(
-        "tkey", F.lit(-1).alias("first"), F.lit(-1).alias("last")).alias("span"))).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = spans.select("doc_id", "tkey", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("span"))
+    marks = spans.unionByName(copies.select("doc_id", "tkey", F.struct(
+        F.lit(-1).alias("first"), F.lit(-1).alias("last")).alias("span"))).groupBy("doc_id", "tkey").agg(F.collect_set("span").alias("spans"))
     marks = stored(marks, "repeats-marks")
-    out = whole.join(marks, "doc_id", "left")
-    own = F.filter(F.coalesce("spans", F.array().cast("array<struct<tkey:bigint,first:int,last:int>>")), lambda s: s["tkey"] == F.col("tkey"))
+    out = whole.join(marks, ["doc_id", "tkey"], "left")
+    own = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
     return out.select("doc_id", "text", F.exists(own, lambda s: s["first"] < 0).alias("is_copy"), F.filter(own, lambda s: s["first"] >= 0).alias("windows"), "carried")

@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gaugelake.llm import queries, suffixes, wordwindows
+from gaugelake.llm import queries, repeats, suffixes, wordwindows
 
 HUGE = 2**63
 
@@ -63,6 +64,39 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, hot_docs):
     assert wordwindows.without_repeats(no_docs).count() == suffixes.without_repeats(no_docs).count() == 0
 
 
+def test_rows_without_ids_do_not_share_a_row(spark, monkeypatch):
+    """Each text gets its own minimisers and spans, not those of all rows without an id; repeated rows get them once."""
+    passages = [" ".join(f"p{i}w{k}" for k in range(40)) for i in range(12)]
+    rows = [(i, f"start {p} end") for i, p in enumerate(passages)]
+    rows += [(None, f"no id {i} {p} and more {i}") for i, p in enumerate(passages)] + [(None, f"again {passages[0]}")] * 30
+    rows += [(99, f"one id {p} many texts {i}") for i, p in enumerate(passages)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes, names, plain, write = [], [], repeats._super_kmers, repeats.stored
+
+    def super_kmers(docs, kind):
+        units = F.size(F.split("text", " ")) if isinstance(kind, wordwindows.WordWindows) else F.octet_length("text")
+        sizes.append([tuple(r) for r in docs.select(F.size("hs"), units).collect()])
+        return plain(docs, kind)
+
+    def stored(part, name):
+        out = write(part, name)
+        if name == "repeats-marks":
+            names.append(out.columns)
+            sizes.append([tuple(r) for r in out.select(F.size("spans"), F.lit(5)).collect()])
+        return out
+
+    monkeypatch.setattr(repeats, "_super_kmers", super_kmers)
+    monkeypatch.setattr(repeats, "stored", stored)
+    got = wordwindows.without_repeats(df, 13).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == want_words(rows)
+    got = suffixes.without_repeats(df, 50).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == want_bytes(rows)
+    words, word_marks, strings, _ = sizes
+    for some in (words, strings):
+        assert len(some) == len(rows) and all(0 < n <= units for n, units in some)
+    assert len(word_marks) == 25 and all("tkey" in columns for columns in names)
+
+
 def test_whole_characters(spark):
     docs = spark.createDataFrame([(1, "é" * 60 + "ab"), (2, "ã" + "é" * 60 + "cd")], "doc_id bigint, text string")
     for r in suffixes.without_repeats(docs, 21, whole_characters=True, carry=("text",)).collect():
