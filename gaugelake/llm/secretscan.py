@@ -5,8 +5,10 @@ only where the candidate decodes to the structure that it pretends to be:
 
 ``jwt``     two or three dotted base64url parts whose first one is a JSON object with ``alg``
 ``pem``     a PEM block whose body is one DER value of exactly its length
-``der``     a base64 or hex run that decodes to a DER SEQUENCE with fitting nested lengths
-``sshkey``  a base64 run with length-prefixed fields, the first being a key type, that end where it ends
+``der``     base64 or hex that decodes to a DER SEQUENCE with fitting nested lengths
+``sshkey``  base64 with length-prefixed fields, the first being a key type, that end where it ends
+
+Base64 is standard or URL-safe and may follow anything but a letter or digit: ``NAME=``, a path, a mark.
 """
 
 from __future__ import annotations
@@ -35,7 +37,14 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
 _KEYWORDS = ("passw", "secret", "token", "api")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]*))?")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40,}={0,2}")
+#: Where a value may start: what a DER SEQUENCE, a short first length and the magic of OpenSSH keys look like in base64.
+_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_MORE = re.compile(r"[A-Za-z0-9+/]")
+_PADDING = re.compile(r"={0,2}")
+_TO_STANDARD = str.maketrans("-_", "+/")
+#: Characters that a run has at least.
+MIN_RUN = 40
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 _KEY_TYPES = (b"ssh-", b"ecdsa-", b"sk-", b"openssh-key-v1")
 
@@ -85,13 +94,79 @@ def is_ssh_fields(data: bytes | None) -> bool:
         return False
     if data.startswith(b"openssh-key-v1\0"):
         return True
-    at = fields = 0
+    return len(data) in ssh_ends(data)
+
+
+def ssh_ends(data: bytes) -> list[int]:
+    """Where the second and each later of the length-prefixed fields ends, the first being a key type."""
+    at, ends = 0, []
     while at + 4 <= len(data):
         size = int.from_bytes(data[at:at + 4], "big")
-        if at + 4 + size > len(data) or (fields == 0 and not data[at + 4:at + 4 + size].startswith(_KEY_TYPES)):
-            return False
-        at, fields = at + 4 + size, fields + 1
-    return at == len(data) and fields >= 2
+        if at + 4 + size > len(data) or (at == 0 and not data[4:4 + size].startswith(_KEY_TYPES)):
+            break
+        at += 4 + size
+        ends.append(at)
+    return ends[1:]
+
+
+def der_size(head: bytes) -> int:
+    """Bytes of the DER value that starts with ``head``, as its header says; 0 if there is none."""
+    if head[1] < 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2:2 + n], "big") if 1 <= n <= 4 else 0
+
+
+def ends_at(text: str, end: int) -> bool:
+    """Whether no base64 goes on at ``end``; URL-safe marks may follow as separators."""
+    return not _MORE.match(text, end)
+
+
+def base64_of(run: str) -> bytes | None:
+    """Standard or URL-safe base64, not both mixed."""
+    if ("-" in run or "_" in run) and ("+" in run or "/" in run):
+        return None
+    return decoded(run.translate(_TO_STANDARD))
+
+
+def key_at(text: str, start: int) -> tuple[int, int] | None:
+    """Kind number and end (without padding) of the DER value or SSH key whose base64 starts at ``start``."""
+    head = base64_of(text[start:start + 8])
+    if head is None:
+        return None
+    if head[0] == 0x30:
+        n = -(-der_size(head) * 4 // 3)
+        end = start + n
+        if n >= MIN_RUN and end <= len(text) and ends_at(text, end) and is_der_sequence(base64_of(text[start:end])):
+            return 5, end
+        return None
+    run = _RUN.match(text, start)[0]
+    # the whole run, or up to where marks that the alphabet of its start lacks separate it from what follows
+    for part in (run, re.split("[-_]", run)[0]):
+        if len(part) < MIN_RUN:
+            continue
+        if is_ssh_fields(base64_of(part)):
+            return 6, start + len(part)
+        data = base64_of(part[:len(part) // 4 * 4]) or b""
+        for size in reversed(ssh_ends(data)):
+            end = start + -(-size * 4 // 3)
+            if size >= 30 and end - start >= MIN_RUN and ends_at(text, end):
+                return 6, end
+    return None
+
+
+def key_spans(text: str) -> list[Span]:
+    """DER values and SSH keys in base64, wherever no letter or digit precedes them."""
+    found, at = [], 0
+    while m := _START.search(text, at):
+        key = key_at(text, m.start())
+        if key is None:
+            at = m.start() + 1
+            continue
+        kind, end = key
+        at = _PADDING.match(text, end).end()
+        found.append((m.start(), kind, at))
+    return found
 
 
 def is_token_header(part: str) -> bool:
@@ -122,12 +197,7 @@ def confirmed_spans(text: str) -> list[Span]:
             data = decoded("".join(m[2].split()))
             if is_der_sequence(data) or is_ssh_fields(data):
                 found.append((m.start(), 4, m.end()))
-    for m in _BASE64.finditer(text):
-        data = decoded(m[0])
-        if is_der_sequence(data):
-            found.append((m.start(), 5, m.end()))
-        elif is_ssh_fields(data):
-            found.append((m.start(), 6, m.end()))
+    found += key_spans(text)
     if "30" in text:
         for m in _HEX_DER.finditer(text):
             if len(m[0]) % 2 == 0 and is_der_sequence(bytes.fromhex(m[0])):

@@ -68,6 +68,24 @@ def test_structures_decide():
     assert secretscan.redacted(f"a {header}.e30.c2ln b", sorted(secretscan.confirmed_spans(f"a {header}.e30.c2ln b"))) == "a [jwt] b"
 
 
+def test_keys_after_names_and_url_safe():
+    key = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x05)), der(0x04, bytes(range(150)) + b"\xfb\xff\xfe" * 9))
+    ssh = b"".join(len(p).to_bytes(4, "big") + p for p in (b"ssh-ed25519", b"\xfb\xff\xfe" * 10 + b"12"))
+    for data, kind in ((key, "der"), (ssh, "sshkey")):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            for value in (encode(data).decode(), encode(data).decode().rstrip("=")):
+                for before, after in (("PRIVATE_KEY=", ""), ("see ", " there"), ("x?key=", "&y=1"), ("KEY_", "_end"), ("KEY-", "-end"), ("/etc/", ""),
+                                      ('{"key":"', '"}'), ("a=b==", "\n"), ("", ""), ("é", "é"), ("-" * 50, ""), ("_" * 50 + "/", "")):
+                    text = before + value + after
+                    if after.startswith(("_", "-")) and "=" in value:
+                        continue
+                    assert secretscan.joined(secretscan.confirmed_spans(text)) == f"{kind}:{len(before)}:{len(before) + len(value)}", text
+                assert secretscan.confirmed_spans("x" + value) == secretscan.confirmed_spans(f"K={value.rstrip('=')}AAAA") == []
+                assert secretscan.confirmed_spans(f"K={value[:60]}") == []
+    mixed = base64.b64encode(key).decode().replace("/", "_", 1)
+    assert "+" in mixed and secretscan.confirmed_spans(f"K={mixed}") == []
+
+
 def test_secret_odd_rows(odd_docs, odd_rows, no_docs):
     out = secretscan.scanned(odd_docs, prefix="s_").collect()
     assert Counter((r.doc_id, r.text, r.s_redacted) for r in out) == Counter(
