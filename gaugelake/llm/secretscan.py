@@ -9,6 +9,7 @@ only where the candidate decodes to the structure that it pretends to be:
 ``sshkey``  base64 with length-prefixed fields, the first being a key type, that end where it ends
 
 Base64 is standard or URL-safe and may follow anything but a letter or digit: ``NAME=``, a path, a mark.
+It may be wrapped, with or without PEM lines; line breaks may be escaped or lie between quoted parts.
 """
 
 from __future__ import annotations
@@ -41,11 +42,15 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1--
 _START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{20,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _MORE = re.compile(r"[A-Za-z0-9+/]")
+#: What stands for a line break in JSON, YAML or source text: escapes, continued lines, joined string parts.
+_ESCAPED = re.compile(r"""\\+[nrt]|\\+(?=\r?\n)|["'][ \t]*[+.,]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*["']""")
+_BREAK = re.compile(r"[ \t]*[\r\n]\s*")
 _PADDING = re.compile(r"={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
-#: Characters that a run has at least.
-MIN_RUN = 40
+#: Characters that a key has at least, and each line of a wrapped one but the last.
+MIN_RUN, MIN_LINE = 40, 20
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+_OPENSSH = b"openssh-key-v1\0"
 _KEY_TYPES = (b"ssh-", b"ecdsa-", b"sk-", b"openssh-key-v1")
 
 Span = tuple[int, int, int]  # start, kind number, end
@@ -92,7 +97,7 @@ def is_ssh_fields(data: bytes | None) -> bool:
     """Length-prefixed fields, at least two, from a key type to the end."""
     if not data or len(data) < 30:
         return False
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.startswith(_OPENSSH):
         return True
     return len(data) in ssh_ends(data)
 
@@ -129,6 +134,23 @@ def base64_of(run: str) -> bytes | None:
     return decoded(run.translate(_TO_STANDARD))
 
 
+def plain_breaks(text: str) -> str:
+    """``text`` with real line breaks for escaped ones and between parts of strings, every character at its place."""
+    if "\\" not in text and '"' not in text and "'" not in text:
+        return text
+    return _ESCAPED.sub(lambda m: "\n" * len(m[0]), _ESCAPED.sub(lambda m: "\n" * len(m[0]), text))
+
+
+def lines_at(text: str, start: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the base64 at ``start`` and of the lines on which it may go on."""
+    while run := _RUN.match(text, start):
+        yield run.span()
+        more = _BREAK.match(text, run.end())
+        if more is None or run.end() - run.start() < MIN_LINE:
+            return
+        start = more.end()
+
+
 def key_at(text: str, start: int) -> tuple[int, int] | None:
     """Kind number and end (without padding) of the DER value or SSH key whose base64 starts at ``start``."""
     head = base64_of(text[start:start + 8])
@@ -136,25 +158,59 @@ def key_at(text: str, start: int) -> tuple[int, int] | None:
         return None
     if head[0] == 0x30:
         n = -(-der_size(head) * 4 // 3)
-        end = start + n
-        if n >= MIN_RUN and end <= len(text) and ends_at(text, end) and is_der_sequence(base64_of(text[start:end])):
-            return 5, end
+        if not MIN_RUN <= n <= len(text) - start:
+            return None
+        parts, left = [], n
+        for low, high in lines_at(text, start):
+            end = min(high, low + left)
+            parts.append(text[low:end])
+            left -= end - low
+            if not left:
+                return (5, end) if ends_at(text, end) and is_der_sequence(base64_of("".join(parts))) else None
         return None
-    run = _RUN.match(text, start)[0]
-    # the whole run, or up to where marks that the alphabet of its start lacks separate it from what follows
-    for part in (run, re.split("[-_]", run)[0]):
-        if len(part) < MIN_RUN:
-            continue
-        if is_ssh_fields(base64_of(part)):
-            return 6, start + len(part)
-        data = base64_of(part[:len(part) // 4 * 4]) or b""
-        for size in reversed(ssh_ends(data)):
-            end = start + -(-size * 4 // 3)
-            if size >= 30 and end - start >= MIN_RUN and ends_at(text, end):
+    if not (head.startswith(b"openss") or head[:4] < b"\0\0\1\0" and any(k.startswith(head[4:]) for k in _KEY_TYPES)):
+        return None
+    lines = list(lines_at(text, start))
+    first = text[slice(*lines[0])]
+    whole = "".join(text[low:high] for low, high in lines)
+    # all lines, the first, or up to where marks that the alphabet of its start lacks separate it from what follows
+    for part in (whole, first, re.split("[-_]", first)[0], re.split("[-_]", whole)[0]):
+        data = base64_of(part) or base64_of(part[:len(part) // 4 * 4]) or b""
+        ends = openssh_ends(data) if data.startswith(_OPENSSH) else ssh_ends(data)
+        for size in reversed(ends):
+            end = place_of(lines, -(-size * 4 // 3))
+            if size >= 30 and end is not None and -(-size * 4 // 3) >= MIN_RUN and ends_at(text, end):
                 return 6, end
+    if len(first) >= MIN_RUN and is_ssh_fields(base64_of(first)):
+        return 6, lines[0][1]
+    return None
+
+
+def place_of(lines: list[tuple[int, int]], n: int) -> int | None:
+    """Where the first ``n`` characters of ``lines`` end."""
+    for low, high in lines:
+        if n <= high - low:
+            return low + n
+        n -= high - low
     return None
 
 
+def openssh_ends(data: bytes) -> list[int]:
+    """Where an OpenSSH private key ends: three fields, a number of public keys, these and the private part."""
+    at, left = len(_OPENSSH), 3
+    counted = False
+    while left:
+        if at + 4 > len(data):
+            return []
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+        left -= 1
+        if not left and not counted:
+            if at + 4 > len(data):
+                return []
+            left, at, counted = 1 + int.from_bytes(data[at:at + 4], "big"), at + 4, True
+    return [at] if at <= len(data) else []
+
+
 def key_spans(text: str) -> list[Span]:
     """DER values and SSH keys in base64, wherever no letter or digit precedes them."""
     found, at = [], 0
@@ -192,12 +248,13 @@ def confirmed_spans(text: str) -> list[Span]:
     found = []
     if "ey" in text:
         found += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_token_header(m[1])]
+    lines = plain_breaks(text)
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
+        for m in _PEM.finditer(lines):
             data = decoded("".join(m[2].split()))
             if is_der_sequence(data) or is_ssh_fields(data):
                 found.append((m.start(), 4, m.end()))
-    found += key_spans(text)
+    found += key_spans(lines)
     if "30" in text:
         for m in _HEX_DER.finditer(text):
             if len(m[0]) % 2 == 0 and is_der_sequence(bytes.fromhex(m[0])):

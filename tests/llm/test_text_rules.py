@@ -86,6 +86,31 @@ def test_keys_after_names_and_url_safe():
     assert "+" in mixed and secretscan.confirmed_spans(f"K={mixed}") == []
 
 
+def test_wrapped_keys():
+    key = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x05)), der(0x04, bytes(range(256)) * 3))
+    field = lambda *parts: b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+    public = field(b"ssh-ed25519", bytes(range(32)))
+    openssh = b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(public, bytes(range(136)))
+    rsa = field(b"ssh-rsa", b"\1\0\1", bytes(range(255, 0, -1)))
+    for data, kind in ((key, "der"), (openssh, "sshkey"), (rsa, "sshkey")):
+        value = base64.b64encode(data).decode()
+        for width in (64, 70, 76):
+            rows = [value[i:i + width] for i in range(0, len(value), width)]
+            for gap in ("\n", "\r\n", "\n    ", r"\n", r"\r\n", r"\\n", "\\n\" +\n  \"", "\\n'\n  '", "\\\n"):
+                body = gap.join(rows)
+                for before, after in (("KEY=", " end"), (f"x{gap}", f"{gap}next words"), ('{"k": "', '"}'), ("line " + "-" * 64 + gap, gap + "-" * 64)):
+                    found = secretscan.joined(sorted(secretscan.confirmed_spans(before + body + after)))
+                    assert found == f"{kind}:{len(before)}:{len(before) + len(body)}", (kind, width, gap, before)
+                label = "OPENSSH PRIVATE KEY" if data is openssh else "PRIVATE KEY"
+                pem = f"-----BEGIN {label}-----{gap}{body}{gap}-----END {label}-----"
+                text = f'{{"private_key": "{pem}{gap}"}}'
+                assert secretscan.redacted(text, sorted(secretscan.confirmed_spans(text))) == f'{{"private_key": "[pem]{gap}"}}'
+            broken = [*rows[:2], rows[2][1:], *rows[3:]]
+            assert secretscan.confirmed_spans("\n".join(broken)) == [] or kind == "sshkey" and data is openssh
+    prose = "AAAA " + "some words in lines\n" * 50 + "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n" * 3
+    assert secretscan.confirmed_spans(prose) == []
+
+
 def test_secret_odd_rows(odd_docs, odd_rows, no_docs):
     out = secretscan.scanned(odd_docs, prefix="s_").collect()
     assert Counter((r.doc_id, r.text, r.s_redacted) for r in out) == Counter(
