@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, neardup, packing, quality, secretscan, sharding, suffixes, topk, urlrules, wordwindows
+from gaugelake.llm import bpe, fillmiddle, neardup, packing, quality, secretscan, sharding, suffixes, topk, urlrules, wordwindows
 from gaugelake.llm.shared import importable, stored, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_key")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fillmiddle.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.encode("output", "utf-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode(fillmiddle.restored(F.col("output"), F.col("form")), "utf-8"), 256).alias("restored_sha256"))
