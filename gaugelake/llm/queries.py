@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, fillmiddle, neardup, packing, quality, secretscan, sharding, suffixes, topk, urlrules, wordwindows
+from gaugelake.llm import bpe, divergence, fillmiddle, neardup, packing, quality, secretscan, sharding, suffixes, topk, urlrules, wordwindows
 from gaugelake.llm.shared import importable, stored, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2(F.encode("output", "utf-8"), 256).alias("output_sha256"),
         F.sha2(F.encode(fillmiddle.restored(F.col("output"), F.col("form")), "utf-8"), 256).alias("restored_sha256"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
