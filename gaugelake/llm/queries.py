@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, divergence, fillmiddle, neardup, packing, quality, secretscan, sharding, suffixes, topk, urlrules, wordwindows
+from gaugelake.llm import bpe, divergence, fillmiddle, nbsvm, neardup, packing, quality, secretscan, sharding, suffixes, topk, urlrules, wordwindows
 from gaugelake.llm.shared import importable, stored, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(fillmiddle.restored(F.col("output"), F.col("form")), "utf-8"), 256).alias("restored_sha256"))
 
 
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = nbsvm.scored(documents, nbsvm.train(documents, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))

@@ -1,0 +1,168 @@
+"""Operator 12."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from gaugelake.llm import nbsvm as N
+from gaugelake.llm import queries
+
+
+def test_shapes():
+    assert [N.shape(t) for t in (b"Hello,", b"THE!!", b"a1b22", b"$$$", "über…".encode(), b"McD")] == [b"Aa,", b"A!", b"a0a0", b"$", b"a", b"AaA"]
+
+
+def split(texts):
+    owner, found = N.features(texts)
+    return [found[owner == i].tolist() for i in range(len(texts))]
+
+
+def test_features_are_sets_and_independent_of_the_batch():
+    rng = random.Random(4)
+    words = ["One", "two", "three,", "FOUR!!", "x%%%", "日本", "|", "5"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))).encode() for _ in range(60)] + [b"", b" \n", b"same same same"]
+    together = split(texts)
+    assert together == [split([t])[0] for t in texts]
+    assert all(f == sorted(set(f)) for f in together) and together[-3] == together[-2] == []
+    # order of lines does not matter but at their borders; case of words matters for shapes alone
+    assert split([b"one two"]) != split([b"two one"])
+    assert len(set(split([b"Two"])[0]) & set(split([b"two"])[0])) >= 1
+
+
+def test_long_text_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 97}x" for i in range(5000)).encode()
+    whole = split([text, b"tail end"])
+    monkeypatch.setattr(N, "PIECE", 50)
+    assert split([text, b"tail end"]) == whole
+
+
+def test_log_ratios():
+    r = N.log_ratios(np.array([9, 0, 4]), np.array([0, 9, 4]))
+    assert r[0] > 0 > r[1] and abs(r[2]) < 1e-12 and abs(r[0] + r[1]) < 1e-12
+    p = np.array([10, 1, 5]) / 16
+    q = np.array([1, 10, 5]) / 16
+    assert np.allclose(r, np.log(p / q))
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The primal value of its solution is that of the dual."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(200)]
+    labels = np.where([r[0] < 3 for r in rows], 1.0, -1.0)
+    labels[:10] *= -1
+    ratios = rng.normal(size=40)
+    weights, bias = N.dual_descent(rows, labels, ratios, epochs=3000)
+    values = [ratios[r] / np.linalg.norm(ratios[r]) for r in rows]
+    margins = np.array([weights[r] @ v + bias for r, v in zip(rows, values, strict=True)])
+    primal = 0.5 * (weights @ weights + bias**2) + np.maximum(0, 1 - labels * margins).sum()
+    for _ in range(300):
+        w, b = weights + rng.normal(size=40) * 0.05, bias + rng.normal() * 0.05
+        other = np.array([w[r] @ v + b for r, v in zip(rows, values, strict=True)])
+        assert primal <= 0.5 * (w @ w + b**2) + np.maximum(0, 1 - labels * other).sum() + 1e-3
+
+
+def test_logistic_curve():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=20_000)
+    positive = rng.random(20_000) < 1 / (1 + np.exp(-(2 * x + 0.5)))
+    slope, offset = N.logistic_curve(x, positive)
+    assert abs(slope - 2) < 0.15 and abs(offset - 0.5) < 0.1
+    assert N.logistic_curve(-x, positive)[0] == 0.0
+    assert all(np.isfinite(N.logistic_curve(np.zeros(0), np.zeros(0, bool))))
+    assert all(np.isfinite(N.logistic_curve(x[:5], np.ones(5, bool))))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Clean texts of label 1; texts full of marks or repeats of label 0."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gam", "del", "eps") for b in ("lo", "mi", "na", "")]
+    docs, labels = [], []
+    for i in range(400):
+        own = rng.choices(words, k=rng.randint(20, 60))
+        bad = i % 3 == 0
+        if bad:
+            own = [w + "%%%" for w in own] if i % 2 else [own[0]] * len(own)
+        docs.append((i, " ".join(own)))
+        labels.append((i, 0 if bad else 1))
+    return (spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int"), dict(labels))
+
+
+def is_held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_training_rows_and_counts(spark, labelled):
+    docs, labels, truth = labelled
+    odd = labels.union(spark.createDataFrame([(1, 0), (None, 1), (4, None), (999, 1), (5, truth[5])], "doc_id bigint, quality int"))
+    for bound in (10**6, 3):
+        rows = N.training_rows(docs, odd, "quality", broadcast_labels=bound).collect()
+        assert {r.doc_id: int(r.positive) for r in rows} == {i: q for i, q in truth.items() if not is_held_out(i) and i != 1}
+    with_1, with_0 = N.feature_counts(N.training_rows(docs, odd, "quality"))
+    want = [Counter(), Counter()]
+    for r in rows:
+        want[r.positive].update(split([r.text.encode()])[0])
+    assert {i: n for i, n in enumerate(with_1.tolist()) if n} == want[1]
+    assert {i: n for i, n in enumerate(with_0.tolist()) if n} == want[0]
+
+
+def test_held_out_labels_are_never_used(spark, labelled):
+    docs, labels, truth = labelled
+    model = N.train(docs, labels)
+    swapped = spark.createDataFrame([(i, 1 - q if is_held_out(i) else q) for i, q in truth.items()], "doc_id bigint, quality int")
+    other = N.train(docs.repartition(7), swapped.repartition(3))
+    for a, b in zip(model, other, strict=True):
+        assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("options", [{}, {"fit_rows": 60}, {"fit_features": 4000}])
+def test_held_out_accuracy(spark, labelled, options):
+    docs, labels, truth = labelled
+    rows = [r for r in N.scored(docs, N.train(docs, labels, **options)).collect() if is_held_out(r.doc_id)]
+    assert len(rows) > 50 and np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def test_sample_is_bounded_with_a_hot_id(spark):
+    rows = spark.createDataFrame([(7, f"t{i}", True) for i in range(300)] + [(i, "x", False) for i in range(100, 160)], "doc_id bigint, text string, positive boolean")
+    out = N.sample(rows, 20).collect()
+    assert len(out) == 20 and len({r.order for r in out}) == 20
+    assert N.sample(rows, 1000).count() == 61
+
+
+def test_odd_rows(spark, odd_rows, odd_docs, no_docs, labelled):
+    model = N.train(labelled[0], labelled[1])
+    clash = odd_docs.selectExpr("*", "'x' AS score", "'en' AS lang")
+    out = N.scored(clash, model, prefix="q_")
+    rows = out.collect()
+    assert out.columns == [*clash.columns, "q_score", "q_predicted"] and len(rows) == len(odd_rows)
+    assert all(0 <= r.q_score <= 1 for r in rows)
+    assert len({r.q_score for r in rows if not (r.text or "").strip()}) == 1
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(r.text or "", r.q_score) == r.q_score
+    assert N.scored(no_docs, model).collect() == []
+
+
+def test_without_labels_or_with_one_kind(spark, labelled, no_docs):
+    docs, labels, _ = labelled
+    assert N.train(docs, labels.limit(0)) is N.NEUTRAL and N.train(no_docs, labels) is N.NEUTRAL
+    assert {r.score for r in N.scored(docs, N.NEUTRAL).collect()} == {0.5}
+    good = N.train(docs, labels.where("quality = 1"))
+    assert all(r.score > 0.7 for r in N.scored(docs, good).collect())
+
+
+def test_query(spark, sf_dir):
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    truth = dict(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").collect())
+    df = queries.QUERIES["op12_quality_classifier"](spark, sf_dir)
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in df.schema] == ["doc_id bigint", "held_out boolean", "score double", "predicted int"]
+    rows = df.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert r.held_out == is_held_out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    unseen = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in unseen]) >= np.mean([truth[r.doc_id] for r in unseen])
