@@ -1,7 +1,6 @@
 import os
 import sys
 import time
-from datetime import datetime, timezone
 
 import pytest
 
@@ -14,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gaugelake.session import local_session  # noqa: E402
 from gaugelake.sources.kafka import MESSAGE_SCHEMA  # noqa: E402
+from times import utc  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,10 +30,6 @@ def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def utc(*parts) -> datetime:
-    return datetime(*parts, tzinfo=timezone.utc)
-
-
 @pytest.fixture(scope="session")
 def make_messages(spark):
     """Messages from (topic, offset, value[, timestamp[, timestampType]]) tuples."""

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import utc
+from times import utc
 from gaugelake.functions import naming as N
 from gaugelake.functions import timing as T
 from gaugelake.functions import variants as V

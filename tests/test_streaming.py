@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import utc
+from times import utc
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import rollup as R
 from gaugelake.plans import refresh
