@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake.llm.perfecthash import PerfectHash, hashes, shard_of
-from gaugelake.llm.shared import stored
+from gaugelake.llm.shared import small, stored
 
 # What the query computes.
 MIN_DOCUMENTS, TOP, SCALE, PRIOR = 10, 10, 1_000_000_000, 2
@@ -120,7 +120,8 @@ def hashed_from(vocabulary: DataFrame, hash_bytes: int = HASH_BYTES) -> int:
 def perfect_hashes(vocabulary: DataFrame, shard_keys: int = SHARD_KEYS) -> dict[str, list[PerfectHash]]:
     """language -> its shards, built on executors from ``lang`` and ``term``."""
     shards = vocabulary.groupBy("lang").agg(F.ceil(F.count("*") / shard_keys).alias("shards"))
-    dealt = vocabulary.join(shards, "lang").select("lang", "term", F.pmod(F.xxhash64("term"), "shards").alias("shard"))
+    dealt = vocabulary.join(small(shards), "lang").select("lang", "term", F.pmod(F.xxhash64("term"), "shards").alias("shard"))
+    dealt = dealt.repartition("lang", "shard")  # a join by language must not decide where shards go
 
     def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         terms = rows["term"].cast(pa.binary()).to_pylist()
@@ -269,17 +270,18 @@ def block_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 def pair_sums(counts: DataFrame, groups: DataFrame, cells: int = CELLS) -> DataFrame:
     """``lang``, ``source``, ``item`` (another source of the language) and ``value``."""
     sizes = groups.groupBy("lang").agg(F.ceil(F.count("*") * F.max("terms") / cells).alias("blocks"))
-    sizes = sizes.withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    sizes = small(sizes.withColumn("blocks", F.greatest("blocks", F.lit(1))))
     blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     names = groups.join(sizes, "lang").select(
         "lang", blocks.alias("block"), "source", (F.col("total") + PRIOR * F.col("terms")).alias("total"),
         F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("n"))
     dealt = counts.join(sizes, "lang").select(
         "lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "source", F.lit(None).cast("bigint").alias("total"), "term", "n")
-    sums = names.unionByName(dealt).groupBy("lang", "block").applyInArrow(block_sums, "lang string, a string, b string, value bigint")
+    both = names.unionByName(dealt).repartition("lang", "block")
+    sums = both.groupBy("lang", "block").applyInArrow(block_sums, "lang string, a string, b string, value bigint")
     pairs = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    both = F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
-    return pairs.select("lang", both, "value")
+    ways = F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
+    return pairs.select("lang", ways, "value")
 
 
 def term_values(counts: DataFrame, groups: DataFrame) -> DataFrame:

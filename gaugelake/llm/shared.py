@@ -74,3 +74,8 @@ def sort_id(doc_id: str = "doc_id") -> Column:
 def splits(df: DataFrame) -> int:
     """Shuffle width of the session, at least one."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
