@@ -124,13 +124,18 @@ def _copy_one(source, source_path: str, target, target_path: str, retries: int,
             # object stores publish a file when it is closed; elsewhere readers must not see a part
             staged = target.type_name in ("local", "hdfs")
             written = f"{target_path}.{uuid.uuid4().hex}.part" if staged else target_path
-            with source.open_input_stream(source_path) as src, target.open_output_stream(written) as dst:
-                while chunk := src.read(COPY_CHUNK_BYTES):
-                    dst.write(chunk)
-            if staged:
-                target.move(written, target_path)
-            if target.get_file_info(target_path).size != size:
-                raise OSError("size differs after the copy")
+            try:
+                with source.open_input_stream(source_path) as src, target.open_output_stream(written) as dst:
+                    while chunk := src.read(COPY_CHUNK_BYTES):
+                        dst.write(chunk)
+                if target.get_file_info(written).size != size:
+                    raise OSError("size differs after the copy")
+                if staged:
+                    target.move(written, target_path)
+            except Exception:
+                if staged:
+                    _forget(target, written)
+                raise
             return "uploaded", None, attempt
         except Exception as e:  # any failure of one file is a result row, not a failed job
             error = f"{type(e).__name__}: {e}"
@@ -139,6 +144,14 @@ def _copy_one(source, source_path: str, target, target_path: str, retries: int,
     return "failed", error, retries
 
 
+def _forget(files, path: str) -> None:
+    """Remove a part; a worker that is lost leaves it to the next sweep."""
+    try:
+        files.delete_file(path)
+    except OSError:
+        pass
+
+
 def _delete_one(files, path: str, repeated: bool):
     from pyarrow import fs
 

@@ -1,7 +1,8 @@
 """Mirroring to the cold tier and retention, as plans over file manifests.
 
 A manifest has ``rel_path, size, mtime`` (and ``path`` where files are touched). The upload log has
-``rel_path, event ('uploaded' | 'deleted'), logged_at`` and may repeat entries.
+``rel_path, event, logged_at`` and may repeat entries. Events are ``uploaded``, ``deleting`` (written before the
+first file goes), ``deleted`` and ``superseded`` (a copy that a newer one has replaced).
 """
 
 from __future__ import annotations
@@ -39,17 +40,24 @@ def sync_plan(local: DataFrame, remote: DataFrame, tolerance: int = SIZE_TOLERAN
     return plan.select(*local.columns, action.alias("action"), "reason")
 
 
-def superseded(local: DataFrame, remote: DataFrame, log: DataFrame) -> DataFrame:
-    """Copies that the hot tier has replaced: another file is in their folder now, and they did not expire.
+def retired(local: DataFrame, remote: DataFrame, failed: DataFrame, folder: Column, generation: Column) -> DataFrame:
+    """Copies that a newer generation of their folder has replaced.
 
-    Rewriting a partition gives its files new names. A file that was deleted because of its age keeps its
-    copy, which the log tells.
+    A copy goes if the hot tier has files in its folder, none of them of its generation, and all of the
+    folder's files are on the cold tier (none has ``failed``). Copies of expired files stay: nothing is in
+    their folder, or the rest of their generation. Names without a generation stay as well.
     """
-    folder = F.regexp_replace("rel_path", "/[^/]*$", "")
-    alive = local.select(folder.alias("folder")).distinct()
-    gone = log.where(F.col("event") == "deleted").select("rel_path").distinct()
-    stale = remote.join(local.select("rel_path"), "rel_path", "left_anti").join(gone, "rel_path", "left_anti")
-    return stale.withColumn("folder", folder).join(alive, "folder", "left_semi").drop("folder")
+    own = local.select(folder.alias("folder"), generation.alias("generation")).where("generation <> ''").groupBy("folder").agg(
+        F.collect_set("generation").alias("own"))
+    whole = own.join(failed.select(folder.alias("folder")).distinct(), "folder", "left_anti")
+    copies = remote.withColumns({"folder": folder, "generation": generation})
+    return copies.join(whole, "folder").where(
+        (F.col("generation") != "") & ~F.array_contains("own", F.col("generation"))).select(*remote.columns)
+
+
+def gone(log: DataFrame) -> DataFrame:
+    """Paths of files that retention has deleted or was about to delete."""
+    return log.where(F.col("event").isin("deleting", "deleted")).select("rel_path").distinct()
 
 
 def sync_summary(results: DataFrame) -> DataFrame:

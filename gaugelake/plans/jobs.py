@@ -10,8 +10,8 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 from datetime import datetime, timezone
-
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from gaugelake.constants import RAW_FLUSH_AGE, RETENTION_DAYS, TOPIC_PATTERN
 from gaugelake.operators import filejobs as J
 from gaugelake.functions import naming as N
 from gaugelake.operators import lifecycle as L
+from gaugelake.plans import ledger, tiers
 from gaugelake.plans.refresh import LEVELS, TABLES, refresh_new, refresh_rollups, table, table_path
 from gaugelake.session import configure
 from gaugelake.sources import lake
@@ -28,23 +29,54 @@ from gaugelake.sources.kafka import kafka_stream
 from gaugelake.streaming.ingest import start_ingest
 
 LOG_SCHEMA = "rel_path string, event string, logged_at timestamp"
+#: Age of a part on the cold tier that no running copy writes any more.
+PART_AGE = "1 DAY"
+
+
+def _utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def mirror(spark: SparkSession, root: str, cold: str, log: str, **copy_options) -> DataFrame:
-    """Copy what is new or changed to the cold tier, remove copies it replaces, log the news; returns the result rows.
+def mirror(spark: SparkSession, root: str, cold: str, log: str, now: datetime | None = None, **copy_options) -> DataFrame:
+    """Bring the cold tier up to date, folder by folder: copy, verify, then retire; returns the result rows.
 
-    Copies go first: a reader of the cold tier may see a partition's old and new files, never neither.
+    What is new or changed is copied. Copies that a newer generation of their folder, or its compaction,
+    has replaced are removed once all files of the new one are there and have the right size; a folder with
+    a failed file keeps all its old copies. So a reader of the cold tier may see old and new files of a
+    folder, never neither. Parts that a lost worker left behind are swept when they are ``PART_AGE`` old.
     """
     before = read_log(spark, log)
-    local, remote = lake.list_files(spark, root), lake.list_files(spark, cold)
+    remote = J.snapshot(lake.list_files(spark, cold, "*"), "remote")
+    swept = _sweep_parts(remote, cold, now or _utc_now())
+    remote = lake.data_files(remote.where(F.endswith("rel_path", F.lit(".parquet"))))
+    raw = F.startswith("rel_path", F.lit("raw/"))
+    below = F.regexp_replace(tiers.folder_of(F.col("rel_path")), "^raw/", "")
+    replaced = ledger.read(spark, root, "replaced")
+    local = lake.data_files(lake.list_files(spark, root))
+    local = local.where(~raw).unionByName(tiers.without_replaced(local.where(raw).withColumn("folder", below), replaced).drop("folder"))
     plan = J.snapshot(L.sync_plan(local, remote), "sync-plan")
-    stale = J.snapshot(L.superseded(plan, remote, before), "superseded")
     results = J.run_copy(plan, root, cold, **copy_options)
+    failed = results.where("status = 'failed'").select("rel_path")
+    stale = L.retired(plan, remote, failed, tiers.folder_of(F.col("rel_path")), tiers.generation(F.col("rel_path")))
+    stale = stale.unionByName(_compacted_copies(remote.where(raw).withColumn("folder", below), replaced, failed, plan).select(*remote.columns))
     removed = J.run_delete(stale, cold, dry_run=False)
     entries = L.log_entries(L.news(results, before)).unionByName(
         removed.where("status = 'deleted'").select("rel_path", F.lit("superseded").alias("event"), F.col("finished_at").alias("logged_at")))
     J.append_log(entries, log)
-    return results.unionByName(removed.withColumn("reason", F.lit("superseded")))
+    return results.unionByName(removed.withColumn("reason", F.lit("superseded"))).unionByName(swept)
+
+
+def _compacted_copies(remote: DataFrame, replaced: DataFrame, failed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Copies in folders whose compaction is on the cold tier without a failure."""
+    batch = tiers.batch_of(F.col("rel_path"))
+    there = plan.select(batch.alias("by")).unionByName(remote.select(batch.alias("by"))).distinct()
+    there = there.join(failed.select(batch.alias("by")).distinct(), "by", "left_anti")
+    return remote.join(replaced.distinct().join(there, "by", "left_semi").select("folder").distinct(), "folder", "left_semi").drop("folder")
+
+
+def _sweep_parts(remote: DataFrame, cold: str, now: datetime) -> DataFrame:
+    old = remote.where(F.endswith("rel_path", F.lit(".part")) & (F.col("mtime") < L.instant(now, "timestamp") - F.expr(f"INTERVAL {PART_AGE}")))
+    return J.run_delete(old, cold, dry_run=False).withColumn("reason", F.lit("left_over"))
 
 
 def read_log(spark: SparkSession, log: str) -> DataFrame:
@@ -54,10 +86,22 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
 
 def expire(
     spark: SparkSession, root: str, log: str, now: datetime, age_days: int = RETENTION_DAYS, dry_run: bool = True,
-    **delete_options,
+    tables: Sequence[str] | None = None, **delete_options,
 ) -> DataFrame:
-    """Delete old, mirrored files (only listed unless ``dry_run=False``); returns the result rows."""
-    eligible = L.cleanup_eligible(lake.list_files(spark, root), read_log(spark, log), now, age_days)
+    """Delete old, mirrored files (only listed unless ``dry_run=False``); returns the result rows.
+
+    ``tables`` are the folders below the root to look at, by default all but the engine's own tables. The
+    log says ``deleting`` before the first file goes and ``deleted`` after the last: a run that breaks off
+    in between leaves no file that is gone without a word.
+    """
+    if tables is None:
+        files = lake.list_files(spark, root)
+    else:
+        files = lake.list_files(spark, root, below=tables)
+    files = lake.data_files(files)
+    eligible = J.snapshot(L.cleanup_eligible(files, read_log(spark, log), now, age_days), "eligible")
+    if not dry_run:
+        J.append_log(eligible.select("rel_path", F.lit("deleting").alias("event"), F.current_timestamp().alias("logged_at")), log)
     results = J.run_delete(eligible, root, dry_run, **delete_options)
     if not dry_run:
         J.append_log(L.log_entries(results), log)
@@ -107,6 +151,7 @@ def _arguments() -> argparse.ArgumentParser:
     job.add_argument("--root", required=True)
     job.add_argument("--log", required=True)
     job.add_argument("--age-days", type=int, default=RETENTION_DAYS)
+    job.add_argument("--table", action="append", help="only this table; may be given more than once")
     job.add_argument("--delete", action="store_true")
 
     job = jobs.add_parser("stats", help="files and bytes per tier and asset")
@@ -127,7 +172,7 @@ def main(argv: list[str] | None = None) -> None:
             messages, args.root, checkpoint=args.checkpoint, drain=args.drain, every=args.every
         ).awaitTermination()
     elif args.job == "refresh":
-        deleted = read_log(spark, args.log).where("event = 'deleted'").select("rel_path") if args.log else None
+        deleted = L.gone(read_log(spark, args.log)) if args.log else None
         if args.new:
             refresh_new(spark, args.root, args.level, cold=args.cold, deleted=deleted)
         else:
@@ -135,8 +180,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "mirror":
         L.sync_summary(mirror(spark, args.root, args.cold, args.log)).show(truncate=False)
     elif args.job == "expire":
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        results = expire(spark, args.root, args.log, now, args.age_days, dry_run=not args.delete)
+        results = expire(spark, args.root, args.log, _utc_now(), args.age_days, dry_run=not args.delete, tables=args.table)
         L.cleanup_report(results).show(truncate=False)
     elif args.job == "stats":
         stats(spark, args.root).write.mode("overwrite").parquet(args.out)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from gaugelake.constants import STATS
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import rollup as R
-from gaugelake.operators.filejobs import snapshot
+from gaugelake.plans import ledger, tiers
 from gaugelake.sources import lake
 
 LEVELS = ("hourly", "daily", "both")
@@ -83,26 +83,6 @@ def hours_of(spark: SparkSession, root: str, name: str, hours: Iterable[datetime
     return lake.read_folders(spark, table_path(root, name), TABLES[name], hour_folders(hours))
 
 
-def all_raw(spark: SparkSession, root: str, hours: Sequence[datetime], cold: str | None, deleted: DataFrame | None) -> DataFrame:
-    """All raw rows that ever landed in these hours: those still there and, from ``cold``, those expired.
-
-    ``deleted`` are the ``rel_path``s of expired files. Without ``cold``, hours that have some are refused:
-    their rollups could only be replaced by incomplete ones.
-    """
-    hot = hours_of(spark, root, "raw", hours)
-    if cold is None:
-        if deleted is not None:
-            folder = F.regexp_extract("rel_path", r"^raw/(event_date=[^/]*/event_hour=[^/]*)/", 1)
-            lost = deleted.select(folder.alias("folder")).where(F.col("folder").isin(hour_folders(hours))).distinct().collect()
-            if lost:
-                raise ValueError(f"raw files of these hours have expired, name the cold tier: {sorted(r.folder for r in lost)}")
-        return hot
-    kept = hours_of(spark, cold, "raw", hours)
-    file = F.regexp_extract(F.col("_metadata.file_path"), r"(event_date=.*)$", 1)
-    here = hot.select(file.alias("file")).distinct()
-    return hot.unionByName(kept.withColumn("file", file).join(here, "file", "left_anti").drop("file"))
-
-
 def touched_hours(raw: DataFrame) -> list[datetime]:
     """The hours rows fall into, for example those of the newest ingest batches.
 
@@ -115,17 +95,19 @@ def touched_hours(raw: DataFrame) -> list[datetime]:
 def refresh_hours(spark: SparkSession, root: str, hours: Sequence[datetime], cold: str | None = None,
                   deleted: DataFrame | None = None, **write_options) -> None:
     """Recompute the minute and hour rollups of the given hours, all in one job per level."""
-    rows = FL.explode_measures(all_raw(spark, root, hours, cold, deleted))
-    minutes = R.minute_rollup(rows, ["value"], R.LONG_KEYS)
+    raw = tiers.rows(spark, root, cold, "raw", RAW_SCHEMA, hour_folders(hours), deleted)
+    minutes = R.minute_rollup(FL.explode_measures(raw), ["value"], R.LONG_KEYS)
     _store(minutes, root, "minute", "minute_bucket", **write_options)
     # read back what was written: the hour level then starts from a stored table
     stored = hours_of(spark, root, "minute", hours).drop("event_date", "event_hour")
     _store(R.hour_rollup(_rolled_on(stored), R.LONG_KEYS), root, "hour", "hour_bucket", **write_options)
 
 
-def refresh_days(spark: SparkSession, root: str, days: Iterable[date], **write_options) -> None:
+def refresh_days(spark: SparkSession, root: str, days: Iterable[date], cold: str | None = None,
+                 deleted: DataFrame | None = None, **write_options) -> None:
+    """Recompute the day rollups of the given days from all their hours, also those that have expired."""
     folders = sorted({d.strftime("event_date=%Y-%m-%d") for d in days})
-    hours = lake.read_folders(spark, table_path(root, "hour"), HOUR_SCHEMA, folders).drop("event_date", "event_hour")
+    hours = tiers.rows(spark, root, cold, "hour", HOUR_SCHEMA, folders, deleted).drop("event_date", "event_hour")
     _store(R.day_rollup(hours, R.LONG_KEYS), root, "day", "day_bucket", **write_options)
 
 
@@ -135,7 +117,8 @@ def refresh_rollups(
 ) -> None:
     """Bring the rollups of the target hours (``hourly``), their days (``daily``) or both up to date.
 
-    Name ``cold`` (or ``deleted``) where raw files expire, see ``all_raw``.
+    Where files expire, name the ``cold`` tier, so that hours and days are computed from all that ever
+    landed, and the ``deleted`` files, so that what is incomplete is refused. See ``tiers.rows``.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
@@ -145,25 +128,20 @@ def refresh_rollups(
     if level in ("hourly", "both"):
         refresh_hours(spark, root, hours, cold, deleted, **write_options)
     if level in ("daily", "both"):
-        refresh_days(spark, root, [h.date() for h in hours], **write_options)
+        refresh_days(spark, root, [h.date() for h in hours], cold, deleted, **write_options)
 
 
 def refresh_new(spark: SparkSession, root: str, level: str = "both", **options) -> list[datetime]:
     """Refresh the hours of everything that landed since the last such refresh; returns them.
 
-    Which ingest batches are done is kept in ``refreshed/``. It is written last, so that a refresh that
-    broke off is repeated.
+    What landed is in the ledger; no raw file of other hours is opened or listed. The ledger of what is
+    done is written last, so that a refresh that broke off is repeated.
     """
-    done = table_path(root, "refreshed")
-    keys = ["event_date", "event_hour", "ingest_batch"]
-    landed = table(spark, root, "raw").select(*keys).distinct()
-    if lake.exists(spark, done):
-        landed = landed.join(spark.read.parquet(done), keys, "left_anti")
-    landed = snapshot(landed, "landed")
-    hours = touched_hours(landed)
+    todo = ledger.unrefreshed(spark, root)
+    hours = touched_hours(todo)
     refresh_rollups(spark, root, hours, level, **options)
     if hours:
-        landed.write.mode("append").parquet(done)
+        ledger.append(todo, root, "refreshed")
     return hours
 
 

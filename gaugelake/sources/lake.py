@@ -85,8 +85,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    files, place = _folder(spark, path)
+    return files.exists(place)
 
 
 def read_folders(spark: SparkSession, path: str, schema: T.StructType, folders: Sequence[str]) -> DataFrame:
@@ -111,40 +111,77 @@ def day_slice(table: DataFrame, target: date) -> DataFrame:
 LISTED = "path string, rel_path string, size bigint, mtime timestamp, is_dir boolean"
 #: Folders of files that are being written.
 UNFINISHED = ("_temporary", ".spark-staging-", "_spark_metadata")
+#: The engine's own small tables, below the root of a lake; no data.
+BOOKKEEPING = "_engine"
+#: Levels of folders that are dealt out anew before each task goes through all below its folders.
+SPREAD_LEVELS = 3
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet", below: Sequence[str] = ("",),
+               tasks: int | None = None) -> DataFrame:
     """Manifest of the tree below ``root``: path, rel_path, size and mtime; contents are not read.
 
-    Executors list: two levels folder by folder, then the folders found, each with all below. Names that
-    start with ``_`` or ``.`` are listed like others. An absent root is empty.
+    Executors list. The folders found on each of the first levels are dealt out over ``tasks`` (twice the
+    cores by default) whatever their size in bytes; below, a task holds one folder's listing at a time.
+    ``below`` are the folders to start from. Names that start with ``_`` or ``.`` are listed like others.
+    What is absent is empty.
     """
-    def listing(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    tasks = tasks or 2 * spark.sparkContext.defaultParallelism
+
+    def listing(deep: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyarrow import fs
 
             files, base = filesystem(root)
             for batch in batches:
-                for rel, is_dir in zip(batch["rel_path"], batch["is_dir"], strict=True):
-                    if not is_dir:
-                        continue
-                    found = files.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/"), allow_not_found=True, recursive=recursive))
+                todo = list(batch["rel_path"][batch["is_dir"].astype(bool)])
+                while todo:
+                    rel = todo.pop()
+                    found = files.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/"), allow_not_found=True))
                     rows = [(f.path, f.path[len(base):].lstrip("/"), f.size, f.mtime, f.type == fs.FileType.Directory) for f in found]
-                    rows = [r for r in rows if not any(part.startswith(UNFINISHED) for part in r[1].split("/"))]
-                    yield pd.DataFrame(rows, columns=["path", "rel_path", "size", "mtime", "is_dir"]).astype(
-                        {"size": "Int64", "mtime": "datetime64[us, UTC]"})
+                    rows = [r for r in rows if not r[1].rsplit("/", 1)[-1].startswith(UNFINISHED)]
+                    if deep:
+                        todo += [r[1] for r in rows if r[4]]
+                        rows = [r for r in rows if not r[4]]
+                    for at in range(0, len(rows), 10_000):
+                        yield pd.DataFrame(rows[at:at + 10_000], columns=["path", "rel_path", "size", "mtime", "is_dir"]).astype(
+                            {"size": "Int64", "mtime": "datetime64[us, UTC]"})
                 yield batch[~batch["is_dir"].astype(bool)]
         return run
 
-    start = spark.range(1).selectExpr(
-        "'' AS path", "'' AS rel_path", "CAST(NULL AS BIGINT) AS size", "CAST(NULL AS TIMESTAMP) AS mtime", "true AS is_dir")
-    found = start.mapInPandas(listing(False), LISTED)
-    for recursive in (False, True):
-        found = found.repartition("rel_path").mapInPandas(listing(recursive), LISTED)
+    start = spark.createDataFrame([(b.strip("/"),) for b in below], "rel_path string").selectExpr(
+        "'' AS path", "rel_path", "CAST(NULL AS BIGINT) AS size", "CAST(NULL AS TIMESTAMP) AS mtime", "true AS is_dir")
+    found = start.coalesce(1).mapInPandas(listing(False), LISTED)
+    for level in range(SPREAD_LEVELS):
+        # a fixed number of partitions: adaptive execution would merge the few bytes of paths into one task
+        found = found.repartition(tasks, "rel_path").mapInPandas(listing(level == SPREAD_LEVELS - 1), LISTED)
     name = re.escape(pattern).replace(r"\*", "[^/]*")
     return found.where(~F.col("is_dir") & F.col("rel_path").rlike(f"(^|/){name}$")).drop("is_dir")
 
 
+def data_files(files: DataFrame) -> DataFrame:
+    """Without the engine's own tables."""
+    return files.where(~F.startswith("rel_path", F.lit(f"{BOOKKEEPING}/")))
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly in a small folder."""
+    files, place = _folder(spark, path)
+    return [f"{path.rstrip('/')}/{status.getPath().getName()}" for status in files.listStatus(place)]
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete files or whole folders; what is gone already is no error."""
+    for path in paths:
+        files, place = _folder(spark, path)
+        files.delete(place, True)
+
+
 def filesystem(root: str):
     """File system and base path of a root: a URI (s3, gs, hdfs, file, …) or a local path."""
     from pyarrow import fs

@@ -5,17 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugelake.constants import RAW_FLUSH_AGE
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import parse as P
+from gaugelake.plans import ledger
 from gaugelake.plans.refresh import RAW_SCHEMA, table_path
 from gaugelake.sources import lake
 
 Hook = Callable[[DataFrame], DataFrame]
+#: Day of landing in the ledger, for rows without a time of ingestion.
+LANDED_UNKNOWN = "1970-01-01"
 
 
 def trigger_options(drain: bool = False, every: str = RAW_FLUSH_AGE) -> dict:
@@ -41,6 +44,29 @@ def raw_rows(messages: DataFrame, hook: Hook | None = None, **route_options) ->
     return FL.flatten_maps(hook(rows) if hook else rows)
 
 
+def land_rows(keyed: DataFrame, root: str, extra_partitions: Sequence[str] = (), **write_options) -> None:
+    """Write rows of the raw table, all columns, to their own ``ingest_batch`` folders and enter these in the ledger.
+
+    Written again, rows replace themselves, and the ledger's entry stays one. The rows are in place before
+    the ledger says so.
+    """
+    spark, seen = keyed.sparkSession, Observation()
+    stamped = keyed.observe(seen, F.collect_set(F.struct("event_date", "event_hour", "ingest_batch")).alias("keys"),
+                            F.max("ingest_ts").cast("date").cast("string").alias("landed_on"))
+    lake.write_table(
+        stamped, table_path(root, "raw"), (*lake.TIME_PARTITIONS, *extra_partitions, "ingest_batch"),
+        sort_by=[c for c in ("asset_id", "sensor_name", "event_time") if c not in extra_partitions], **write_options,
+    )
+    found = seen.get
+    keys = {(k["event_date"], k["event_hour"], k["ingest_batch"]) for k in found["keys"] or ()}
+    if not keys:
+        return
+    hours = {f"event_date={day}/event_hour={hour}" for day, hour, _ in keys}
+    written = lake.read_folders(spark, table_path(root, "raw"), RAW_SCHEMA, sorted(hours)).where(
+        F.col("ingest_batch").isin(sorted({batch for _, _, batch in keys})))
+    ledger.append(ledger.entries_of(written, found["landed_on"] or LANDED_UNKNOWN), root, "landed")
+
+
 def start_ingest(
     messages: DataFrame,
     root: str,
@@ -80,10 +106,7 @@ def start_ingest(
             name_of_batch = batch_name(batch.sparkSession, checkpoint, batch_id)
             rows = raw_rows(batch, hook, **route_options).withColumn("ingest_batch", F.lit(name_of_batch))
             keyed = lake.with_time_partitions(rows, "event_time").select(*RAW_SCHEMA.fieldNames())
-            lake.write_table(
-                keyed, table_path(root, "raw"), (*lake.TIME_PARTITIONS, *extra_partitions, "ingest_batch"),
-                sort_by=[c for c in ("asset_id", "sensor_name", "event_time") if c not in extra_partitions], **options,
-            )
+            land_rows(keyed, root, extra_partitions, **options)
             refused = P.rejects(P.decode(batch)).select(
                 "*", F.date_format("ingest_ts", "yyyy-MM-dd").alias("ingest_date"),
                 F.lit(name_of_batch).alias("ingest_batch"),
