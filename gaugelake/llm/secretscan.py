@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -36,15 +37,16 @@ MIN_ASSIGNED, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
 
 _KEYWORDS = ("passw", "secret", "token", "api")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]*))?")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# No pattern reads a run of characters from more than one place: runs are taken from their start, and kept.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)(?:\.([A-Za-z0-9_-]*+))?")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 #: Where a value may start: what a DER SEQUENCE, a short first length and the magic of OpenSSH keys look like in base64.
-_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{20,}")
+_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)(?=[A-Za-z0-9+/_-]{20})")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _MORE = re.compile(r"[A-Za-z0-9+/]")
 #: What stands for a line break in JSON, YAML or source text: escapes, continued lines, joined string parts.
-_ESCAPED = re.compile(r"""\\+[nrt]|\\+(?=\r?\n)|["'][ \t]*[+.,]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*["']""")
-_BREAK = re.compile(r"[ \t]*[\r\n]\s*")
+_ESCAPED = re.compile(r"""(?<!\\)\\++(?:[nrt]|(?=\r?\n))|["'][ \t]*+(?:[+.,][ \t]*+)?\r?\n[ \t]*+(?:[+.][ \t]*+)?["']""")
+_BREAK = re.compile(r"[ \t]*+[\r\n]\s*+")
 _PADDING = re.compile(r"={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
 #: Characters that a key has at least, and each line of a wrapped one but the last.
@@ -97,21 +99,13 @@ def is_ssh_fields(data: bytes | None) -> bool:
     """Length-prefixed fields, at least two, from a key type to the end."""
     if not data or len(data) < 30:
         return False
-    if data.startswith(_OPENSSH):
-        return True
-    return len(data) in ssh_ends(data)
-
-
-def ssh_ends(data: bytes) -> list[int]:
-    """Where the second and each later of the length-prefixed fields ends, the first being a key type."""
-    at, ends = 0, []
-    while at + 4 <= len(data):
+    at = fields = 0
+    while at + 4 <= len(data) and not data.startswith(_OPENSSH):
         size = int.from_bytes(data[at:at + 4], "big")
         if at + 4 + size > len(data) or (at == 0 and not data[4:4 + size].startswith(_KEY_TYPES)):
-            break
-        at += 4 + size
-        ends.append(at)
-    return ends[1:]
+            return False
+        at, fields = at + 4 + size, fields + 1
+    return data.startswith(_OPENSSH) or at == len(data) and fields > 1
 
 
 def der_size(head: bytes) -> int:
@@ -141,81 +135,180 @@ def plain_breaks(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" * len(m[0]), _ESCAPED.sub(lambda m: "\n" * len(m[0]), text))
 
 
-def lines_at(text: str, start: int) -> Iterator[tuple[int, int]]:
-    """Start and end of the base64 at ``start`` and of the lines on which it may go on."""
-    while run := _RUN.match(text, start):
-        yield run.span()
-        more = _BREAK.match(text, run.end())
-        if more is None or run.end() - run.start() < MIN_LINE:
-            return
-        start = more.end()
+class Runs:
+    """Runs of base64 in a text and the lines on which they go on, each found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.low = self.high = 0  # the run asked for last
+        self.last_standard = self.last_url_safe = -1  # where it has its last marks of either alphabet
+        self.following: dict[int, int | None] = {}
+        self.ends: dict[int, int] = {}
+
+    def end(self, start: int) -> int:
+        """Where the run around ``start`` ends."""
+        if not self.low <= start < self.high:
+            self.low, self.high = start, self._end(start)
+            marks = [[self.text.rfind(m, start, self.high) for m in pair] for pair in ("+/", "-_")]
+            self.last_standard, self.last_url_safe = map(max, marks)
+        return self.high
+
+    def _end(self, start: int) -> int:
+        if start not in self.ends:
+            run = _RUN.match(self.text, start)
+            self.ends[start] = run.end() if run else start
+        return self.ends[start]
+
+    def mixed(self, start: int) -> bool:
+        """Whether the run from ``start`` on has marks of both alphabets."""
+        self.end(start)
+        return min(self.last_standard, self.last_url_safe) >= start
+
+    def lines(self, start: int) -> Iterator[tuple[int, int]]:
+        """Start and end of the base64 at ``start`` and of the lines on which it may go on."""
+        end = self.end(start)
+        while end > start:
+            yield start, end
+            if end - start < MIN_LINE:
+                return
+            if end not in self.following:
+                more = _BREAK.match(self.text, end)
+                self.following[end] = more.end() if more else None
+            start = self.following[end]
+            if start is None:
+                return
+            end = self._end(start)
+
+
+class Decoded:
+    """The bytes that the base64 at a place stands for, read where they are asked for."""
+
+    def __init__(self, runs: Runs, start: int):
+        self.text, self.start, self.more = runs.text, start, runs.lines(start)
+        self.lines: list[tuple[int, int, int]] = []  # start, end, characters before
+        self.n = 0
+
+    def reach(self, characters: int) -> bool:
+        """Whether there are so many characters."""
+        if characters > len(self.text) - self.start:
+            return False
+        while self.n < characters:
+            line = next(self.more, None)
+            if line is None:
+                return False
+            self.lines.append((*line, self.n))
+            self.n += line[1] - line[0]
+        return True
+
+    def has(self, size: int) -> bool:
+        return self.reach(-(-size * 4 // 3))
+
+    def characters(self, low: int, high: int) -> str:
+        """Characters ``low`` to ``high``, fewer at the end."""
+        self.reach(min(high, len(self.text) - self.start))
+        at = bisect.bisect_right(self.lines, low, key=lambda line: line[2]) - 1
+        parts = []
+        while 0 <= at < len(self.lines) and self.lines[at][2] < high:
+            start, end, before = self.lines[at]
+            parts.append(self.text[start + max(low - before, 0):min(end, start + high - before)])
+            at += 1
+        return "".join(parts)
+
+    def bytes(self, low: int, high: int) -> bytes:
+        first = low // 3
+        part = self.characters(4 * first, 4 * -(-high // 3)).translate(_TO_STANDARD)
+        data = decoded(part[:-1] if len(part) % 4 == 1 else part) or b""
+        return data[low - 3 * first:high - 3 * first]
+
+    def place(self, characters: int) -> int | None:
+        """Where in the text the first ``characters`` end."""
+        if not self.reach(characters):
+            return None
+        start, _, before = self.lines[bisect.bisect_left(self.lines, characters, key=lambda line: line[2]) - 1]
+        return start + characters - before
 
 
-def key_at(text: str, start: int) -> tuple[int, int] | None:
+def key_at(runs: Runs, start: int) -> tuple[int, int] | None:
     """Kind number and end (without padding) of the DER value or SSH key whose base64 starts at ``start``."""
+    text = runs.text
     head = base64_of(text[start:start + 8])
     if head is None:
         return None
+    # most candidates are none by their first bytes; a run too short for that is read line by line
+    first = text[start:start + 32] if runs.end(start) - start >= 32 else None
+    first = decoded(first.translate(_TO_STANDARD)) if first else None
     if head[0] == 0x30:
         n = -(-der_size(head) * 4 // 3)
-        if not MIN_RUN <= n <= len(text) - start:
+        if not MIN_RUN <= n <= len(text) - start or (first and not first_value_fits(first)):
+            return None
+        if start + n <= runs.end(start):  # on one line
+            end = start + n
+            return (5, end) if ends_at(text, end) and is_der_sequence(base64_of(text[start:end])) else None
+        body = Decoded(runs, start)
+        if not body.reach(n) or not first_value_fits(body.bytes(0, 18)):
             return None
-        parts, left = [], n
-        for low, high in lines_at(text, start):
-            end = min(high, low + left)
-            parts.append(text[low:end])
-            left -= end - low
-            if not left:
-                return (5, end) if ends_at(text, end) and is_der_sequence(base64_of("".join(parts))) else None
+        end = body.place(n)
+        return (5, end) if end is not None and ends_at(text, end) and is_der_sequence(base64_of(body.characters(0, n))) else None
+    if not head.startswith(b"openss") and not (head[:4] < b"\0\0\1\0" and any(k.startswith(head[4:]) for k in _KEY_TYPES)):
         return None
-    if not (head.startswith(b"openss") or head[:4] < b"\0\0\1\0" and any(k.startswith(head[4:]) for k in _KEY_TYPES)):
+    if first and not first.startswith(_OPENSSH) and not first[4:].startswith(_KEY_TYPES):
         return None
-    lines = list(lines_at(text, start))
-    first = text[slice(*lines[0])]
-    whole = "".join(text[low:high] for low, high in lines)
-    # all lines, the first, or up to where marks that the alphabet of its start lacks separate it from what follows
-    for part in (whole, first, re.split("[-_]", first)[0], re.split("[-_]", whole)[0]):
-        data = base64_of(part) or base64_of(part[:len(part) // 4 * 4]) or b""
-        ends = openssh_ends(data) if data.startswith(_OPENSSH) else ssh_ends(data)
-        for size in reversed(ends):
-            end = place_of(lines, -(-size * 4 // 3))
-            if size >= 30 and end is not None and -(-size * 4 // 3) >= MIN_RUN and ends_at(text, end):
-                return 6, end
-    if len(first) >= MIN_RUN and is_ssh_fields(base64_of(first)):
-        return 6, lines[0][1]
+    body = Decoded(runs, start)
+    openssh = body.bytes(0, len(_OPENSSH)) == _OPENSSH
+    for size in reversed(openssh_ends(body) if openssh else ssh_ends(body)):
+        n = -(-size * 4 // 3)
+        end = body.place(n)
+        if size >= 30 and end is not None and n >= MIN_RUN and ends_at(text, end) and base64_of(body.characters(0, n)) is not None:
+            return 6, end
+    end = runs.end(start)
+    # a private key that is cut short or goes on in another way: its first line
+    if openssh and end - start >= MIN_RUN and (end - start) % 4 != 1 and not runs.mixed(start):
+        return 6, end
     return None
 
 
-def place_of(lines: list[tuple[int, int]], n: int) -> int | None:
-    """Where the first ``n`` characters of ``lines`` end."""
-    for low, high in lines:
-        if n <= high - low:
-            return low + n
-        n -= high - low
-    return None
+def first_value_fits(head: bytes) -> bool:
+    """Whether the first value inside a DER SEQUENCE that starts with ``head`` ends inside it."""
+    outer = der_size(head)
+    at = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    inner = der_size(head[at:]) if at + 2 <= len(head) else 0
+    return 0 < inner <= outer - at
+
+
+def ssh_ends(body: Decoded) -> list[int]:
+    """Where the second and each later of the length-prefixed fields ends, the first being a key type."""
+    at, ends = 0, []
+    while len(head := body.bytes(at, at + 4)) == 4:
+        size = int.from_bytes(head, "big")
+        if not body.has(at + 4 + size) or (at == 0 and not body.bytes(4, 4 + min(size, 20)).startswith(_KEY_TYPES)):
+            break
+        at += 4 + size
+        ends.append(at)
+    return ends[1:]
 
 
-def openssh_ends(data: bytes) -> list[int]:
+def openssh_ends(body: Decoded) -> list[int]:
     """Where an OpenSSH private key ends: three fields, a number of public keys, these and the private part."""
-    at, left = len(_OPENSSH), 3
-    counted = False
+    at, left, counted = len(_OPENSSH), 3, False
     while left:
-        if at + 4 > len(data):
+        head = body.bytes(at, at + 4)
+        if len(head) < 4 or not body.has(at + 4 + int.from_bytes(head, "big")):
             return []
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
+        at += 4 + int.from_bytes(head, "big")
         left -= 1
         if not left and not counted:
-            if at + 4 > len(data):
+            head = body.bytes(at, at + 4)
+            if len(head) < 4:
                 return []
-            left, at, counted = 1 + int.from_bytes(data[at:at + 4], "big"), at + 4, True
-    return [at] if at <= len(data) else []
+            left, at, counted = 1 + int.from_bytes(head, "big"), at + 4, True
+    return [at]
 
 
 def key_spans(text: str) -> list[Span]:
     """DER values and SSH keys in base64, wherever no letter or digit precedes them."""
-    found, at = [], 0
+    found, at, runs = [], 0, Runs(text)
     while m := _START.search(text, at):
-        key = key_at(text, m.start())
+        key = key_at(runs, m.start())
         if key is None:
             at = m.start() + 1
             continue

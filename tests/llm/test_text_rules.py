@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 from gaugelake.llm import quality, queries, secretscan, urlrules
@@ -171,3 +172,26 @@ def test_clean_texts_stay_and_junk_goes(spark, sf_dir):
     rows = queries.QUERIES["op8_quality_rules"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
     assert all(r.kept for r in rows if r.quality == 1 and not r.base_failed)
     assert not any(r.kept for r in rows if r.quality == 0)
+
+
+def test_long_runs_are_read_once():
+    """Texts of a megabyte that invite a pattern to start over at every place of a run."""
+    blob = base64.b64encode(random.Random(8).randbytes(750_000)).decode()
+    key = base64.b64encode(b"".join(len(p).to_bytes(4, "big") + p for p in (b"ssh-ed25519", bytes(32)))).decode()
+    n = 1_000_000
+    texts = ["\\" * n, '"' + " " * n, '"' * n, ('"' + " " * 9) * (n // 10), '\\"' * (n // 2), blob, "\n".join(blob[i:i + 64] for i in range(0, n, 64)),
+             "MIIE/" * (n // 5), "/MIIEpAIBAAKCAQEA" * (n // 17), "AAAAB3Nz/" * (n // 9), "/AAAA" * (n // 5), "/b3BlbnNzaC1rZXktdjEA" * (n // 21),
+             "ey" * (n // 2), "ey." * (n // 3), "-----BEGIN A-----\n" * (n // 18), "30" * (n // 2), "\n" * n, "secret " * (n // 7)]
+    for text in texts:
+        took = []
+        for part in (text[:n // 4], text):
+            start = time.process_time()
+            secretscan.base_spans(part)
+            secretscan.confirmed_spans(part)
+            took.append(time.process_time() - start)
+        assert took[1] < 6 and took[1] < 8 * max(took[0], 0.1), (text[:40], took)
+    # keys line by line, one of them broken, are found in the time of their length
+    lines = "\n".join([key] * 5000 + [key[:-4]] + [key] * 5000)
+    start = time.process_time()
+    spans = secretscan.confirmed_spans(lines)
+    assert time.process_time() - start < 6 and sum(end - at for at, _, end in spans) > 0.99 * len(lines)
