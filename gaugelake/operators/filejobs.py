@@ -60,6 +60,8 @@ def run_copy(
             yield _result_rows(batch, done)
 
     uploads = todo.where("action = 'upload'").select("rel_path", "size")
+    if uploads.isEmpty():
+        return _snapshot(skipped, f"{job_dir}/results")
     copied = _in_tasks(uploads, tasks).mapInPandas(copy_batches, RESULT_SCHEMA)
     return _snapshot(copied.unionByName(skipped), f"{job_dir}/results")
 
@@ -71,6 +73,8 @@ def run_delete(
     spark = eligible.sparkSession
     job_dir = job_dir or _new_job_dir(spark, "delete")
     todo = _snapshot(eligible.select("rel_path", "size"), f"{job_dir}/plan")
+    if todo.isEmpty():
+        return spark.createDataFrame([], RESULT_SCHEMA)
     if dry_run:
         return todo.select(
             "rel_path", F.lit("would_delete").alias("status"), F.lit(None).cast("string").alias("reason"),

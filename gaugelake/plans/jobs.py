@@ -49,16 +49,18 @@ def mirror(spark: SparkSession, root: str, cold: str, log: str, now: datetime |
     remote = J.snapshot(lake.list_files(spark, cold, "*"), "remote")
     swept = _sweep_parts(remote, cold, now or _utc_now())
     remote = lake.data_files(remote.where(F.endswith("rel_path", F.lit(".parquet"))))
-    raw = F.startswith("rel_path", F.lit("raw/"))
-    below = F.regexp_replace(tiers.folder_of(F.col("rel_path")), "^raw/", "")
-    replaced = ledger.read(spark, root, "replaced")
     local = lake.data_files(lake.list_files(spark, root))
-    local = local.where(~raw).unionByName(tiers.without_replaced(local.where(raw).withColumn("folder", below), replaced).drop("folder"))
+    compacted = tiers.has_replaced(spark, root)
+    if compacted:
+        replaced = ledger.read(spark, root, "replaced")
+        raw, below = F.startswith("rel_path", F.lit("raw/")), F.regexp_replace(tiers.folder_of(F.col("rel_path")), "^raw/", "")
+        local = local.where(~raw).unionByName(tiers.without_replaced(local.where(raw).withColumn("folder", below), replaced).drop("folder"))
     plan = J.snapshot(L.sync_plan(local, remote), "sync-plan")
     results = J.run_copy(plan, root, cold, **copy_options)
     failed = results.where("status = 'failed'").select("rel_path")
     stale = L.retired(plan, remote, failed, tiers.folder_of(F.col("rel_path")), tiers.generation(F.col("rel_path")))
-    stale = stale.unionByName(_compacted_copies(remote.where(raw).withColumn("folder", below), replaced, failed, plan).select(*remote.columns))
+    if compacted:
+        stale = stale.unionByName(_compacted_copies(remote.where(raw).withColumn("folder", below), replaced, failed, plan).select(*remote.columns))
     removed = J.run_delete(stale, cold, dry_run=False)
     entries = L.log_entries(L.news(results, before)).unionByName(
         removed.where("status = 'deleted'").select("rel_path", F.lit("superseded").alias("event"), F.col("finished_at").alias("logged_at")))

@@ -50,6 +50,11 @@ def without_replaced(files: DataFrame, replaced: DataFrame) -> DataFrame:
     return known.drop("batch", "finished").join(replaced.select("folder").distinct(), "folder", "left_anti")
 
 
+def has_replaced(spark: SparkSession, root: str) -> bool:
+    """Whether compaction has begun anything in this lake."""
+    return lake.exists(spark, ledger.place(root, "replaced"))
+
+
 def both_tiers(spark: SparkSession, root: str, cold: str | None, name: str, folders: Sequence[str]) -> DataFrame:
     """Every file of these folders of a table, once: ``rel_path``, ``folder``, ``generation``, ``hot``, ``size``, ``mtime``, ``live``."""
     def listed(tier: str, hot: bool) -> DataFrame:
@@ -60,7 +65,7 @@ def both_tiers(spark: SparkSession, root: str, cold: str | None, name: str, fold
         found = found.unionByName(listed(cold, False))
     files = found.groupBy("rel_path").agg(F.bool_or("hot").alias("hot"), F.max("size").alias("size"), F.max("mtime").alias("mtime"))
     files = files.select("*", folder_of(F.col("rel_path")).alias("folder"), generation(F.col("rel_path")).alias("generation"))
-    if name == "raw":
+    if name == "raw" and has_replaced(spark, root):
         files = without_replaced(files, ledger.read(spark, root, "replaced"))
     here = W.partitionBy("folder")
     own = F.collect_set(F.when(F.col("hot"), F.col("generation"))).over(here)
@@ -69,7 +74,7 @@ def both_tiers(spark: SparkSession, root: str, cold: str | None, name: str, fold
     return files.withColumns({"hot_ones": own, "newest": newest}).withColumn("live", live).drop("hot_ones", "newest")
 
 
-def lost(files: DataFrame, name: str, folders: Sequence[str], deleted: DataFrame, replaced: DataFrame) -> DataFrame:
+def lost(files: DataFrame, name: str, folders: Sequence[str], deleted: DataFrame, replaced: DataFrame | None) -> DataFrame:
     """Deleted files (``rel_path`` below the root) of these folders that count but that no tier has."""
     depth = folders[0].count("/") + 1
     wanted = files.sparkSession.createDataFrame([(f,) for f in folders], "part string")
@@ -79,7 +84,7 @@ def lost(files: DataFrame, name: str, folders: Sequence[str], deleted: DataFrame
         "rel_path", folder_of(F.col("rel_path")).alias("folder"), generation(F.col("rel_path")).alias("generation"))
     alive = files.where("live").groupBy("folder").agg(F.collect_set("generation").alias("alive"))
     found = missing.join(alive, "folder", "left").where(F.col("alive").isNull() | F.array_contains("alive", F.col("generation")))
-    return (without_replaced(found, replaced) if name == "raw" else found).select("rel_path")
+    return (without_replaced(found, replaced) if replaced is not None else found).select("rel_path")
 
 
 def rows(spark: SparkSession, root: str, cold: str | None, name: str, schema: T.StructType, folders: Sequence[str],
@@ -92,11 +97,11 @@ def rows(spark: SparkSession, root: str, cold: str | None, name: str, schema: T.
     path = f"{root.rstrip('/')}/{name}"
     if not folders:
         return spark.createDataFrame([], schema)
-    if cold is None and deleted is None and not (name == "raw" and lake.exists(spark, ledger.place(root, "replaced"))):
+    if cold is None and deleted is None and not (name == "raw" and has_replaced(spark, root)):
         return lake.read_folders(spark, path, schema, folders)
     files = snapshot(both_tiers(spark, root, cold, name, folders), "tiers")
     if deleted is not None:
-        unfound = lost(files, name, folders, deleted, ledger.read(spark, root, "replaced"))
+        unfound = lost(files, name, folders, deleted, ledger.read(spark, root, "replaced") if name == "raw" and has_replaced(spark, root) else None)
         gone = sorted(r["folder"] for r in unfound.select(folder_of(F.col("rel_path")).alias("folder")).distinct().collect())
         if gone:
             raise ValueError(f"files of these folders of {name} have expired and are on no tier that was named: {gone}")
