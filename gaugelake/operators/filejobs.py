@@ -62,7 +62,7 @@ def run_copy(
     uploads = todo.where("action = 'upload'").select("rel_path", "size")
     if uploads.isEmpty():
         return _snapshot(skipped, f"{job_dir}/results")
-    copied = _in_tasks(uploads, tasks).mapInPandas(copy_batches, RESULT_SCHEMA)
+    copied = in_tasks(uploads, tasks).mapInPandas(copy_batches, RESULT_SCHEMA)
     return _snapshot(copied.unionByName(skipped), f"{job_dir}/results")
 
 
@@ -89,11 +89,11 @@ def run_delete(
             done = [_delete_one(files, f"{base}/{p}", repeated) for p in batch["rel_path"]]
             yield _result_rows(batch, done)
 
-    deleted = _in_tasks(todo, tasks).mapInPandas(delete_batches, RESULT_SCHEMA)
+    deleted = in_tasks(todo, tasks).mapInPandas(delete_batches, RESULT_SCHEMA)
     return _snapshot(deleted, f"{job_dir}/results")
 
 
-def _in_tasks(files: DataFrame, tasks: int | None) -> DataFrame:
+def in_tasks(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Files over ``tasks`` tasks, by default by bytes and number; how many run at a time is up to the cluster."""
     if tasks is None:
         n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()

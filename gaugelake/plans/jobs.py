@@ -22,9 +22,9 @@ from gaugelake.operators import filejobs as J
 from gaugelake.functions import naming as N
 from gaugelake.operators import lifecycle as L
 from gaugelake.plans import ledger, tiers
-from gaugelake.plans.refresh import LEVELS, TABLES, refresh_new, refresh_rollups, table, table_path
+from gaugelake.plans.refresh import LEVELS, TABLES, hour_folders, refresh_new, refresh_rollups, table, table_path
 from gaugelake.session import configure
-from gaugelake.sources import lake
+from gaugelake.sources import documented, lake
 from gaugelake.sources.kafka import kafka_stream
 from gaugelake.streaming.ingest import start_ingest
 
@@ -110,15 +110,37 @@ def expire(
     return results
 
 
+def export(spark: SparkSession, root: str, out: str, hours: Sequence[datetime], cold: str | None = None, log: str | None = None) -> DataFrame:
+    """Raw rows and rollups of these hours, and rollups of their days, as files of the documented layout below ``out``.
+
+    They come from both tiers and replace files of earlier exports. Returns path, rows and size of each file.
+    """
+    gone = L.gone(read_log(spark, log)) if log else None
+    days = sorted({h.strftime("event_date=%Y-%m-%d") for h in hours})
+    raw = tiers.rows(spark, root, cold, "raw", TABLES["raw"], hour_folders(hours), gone)
+    written = [documented.write_raw_files(raw.drop(*lake.TIME_PARTITIONS, "ingest_batch"), out)]
+    for level, folders in (("minute", hour_folders(hours)), ("hour", days), ("day", days)):
+        rollup = tiers.rows(spark, root, cold, level, TABLES[level], folders, gone)
+        written.append(documented.write_rollup_files(rollup.drop(*lake.TIME_PARTITIONS), out, level))
+    return reduce(DataFrame.unionByName, written)
+
+
 def stats(spark: SparkSession, root: str) -> DataFrame:
-    """Files and bytes per tier and asset of the engine's tables; a file of several assets counts for each."""
-    tiers = [lake.asset_files(table(spark, root, name), name) for name in TABLES if lake.exists(spark, table_path(root, name))]
-    if not tiers:
-        return L.storage_stats(lake.manifest_parts(lake.list_files(spark, root)))
-    per_file = reduce(DataFrame.unionByName, tiers)
-    per_asset = per_file.groupBy("tier", "asset_id").agg(
-        F.countDistinct("file").alias("files"), F.round(F.sum("size")).cast("bigint").alias("size_bytes"))
-    return per_asset.withColumn("size_mb", N.megabytes(F.col("size_bytes")))
+    """Files and bytes per tier and asset of the engine's tables, per tier and in total (``*`` stands for all).
+
+    A file of several assets counts for each of them, with its size by their rows; in totals it counts once.
+    """
+    tables = [lake.asset_files(table(spark, root, name), name) for name in TABLES if lake.exists(spark, table_path(root, name))]
+    if not tables:
+        return L.storage_stats(lake.manifest_parts(lake.data_files(lake.list_files(spark, root))))
+    per_file = J.snapshot(reduce(DataFrame.unionByName, tables), "asset-files")
+    sizes = [F.countDistinct("file").alias("files"), F.round(F.sum("size")).cast("bigint").alias("size_bytes")]
+    everything = F.lit("*")
+    per_asset = per_file.groupBy("tier", "asset_id").agg(*sizes)
+    per_tier = per_file.groupBy("tier").agg(*sizes).select("tier", everything.alias("asset_id"), "files", "size_bytes")
+    total = per_tier.groupBy().agg(F.sum("files").alias("files"), F.sum("size_bytes").alias("size_bytes")).select(
+        everything.alias("tier"), everything.alias("asset_id"), "files", "size_bytes")
+    return per_asset.unionByName(per_tier).unionByName(total).withColumn("size_mb", N.megabytes(F.col("size_bytes")))
 
 
 def _arguments() -> argparse.ArgumentParser:
@@ -156,6 +178,13 @@ def _arguments() -> argparse.ArgumentParser:
     job.add_argument("--table", action="append", help="only this table; may be given more than once")
     job.add_argument("--delete", action="store_true")
 
+    job = jobs.add_parser("export", help="files under the documented names")
+    job.add_argument("--root", required=True)
+    job.add_argument("--to", required=True)
+    job.add_argument("--hour", action="append", type=datetime.fromisoformat, required=True)
+    job.add_argument("--cold")
+    job.add_argument("--log")
+
     job = jobs.add_parser("stats", help="files and bytes per tier and asset")
     job.add_argument("--root", required=True)
     job.add_argument("--out", required=True, help="where the table of results goes")
@@ -184,6 +213,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "expire":
         results = expire(spark, args.root, args.log, _utc_now(), args.age_days, dry_run=not args.delete, tables=args.table)
         L.cleanup_report(results).show(truncate=False)
+    elif args.job == "export":
+        export(spark, args.root, args.to, args.hour, args.cold, args.log).show(truncate=False)
     elif args.job == "stats":
         stats(spark, args.root).write.mode("overwrite").parquet(args.out)
 

@@ -19,7 +19,6 @@ _CODECS = {"lz4": "lz4_raw"}
 
 TIME_PARTITIONS = ("event_date", "event_hour")
 COMPAT_PARTITIONS = ("asset_id", "year", "month", "day", "hour", "table_name")
-LEGACY_PATH = r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{2})/([^/]+)_\d{8}_\d{2}\.parquet$"
 
 
 def with_time_partitions(df: DataFrame, time_col: str) -> DataFrame:
@@ -69,9 +68,10 @@ def write_raw(
 
 
 def write_compat(rows: DataFrame, path: str, time_col: str = "event_time", **options) -> None:
-    """The asset/year/month/day/hour/table directory layout, for readers that expect it.
+    """``asset_id=…/year=…/…`` folders, for readers of partitioned tables that expect them.
 
-    It makes a directory per asset, hour and table; prefer ``write_raw`` for many assets.
+    It makes a directory per asset, hour and table; prefer ``write_raw`` for many assets. Plain folders
+    and exact file names are in ``documented``.
     """
     keyed = rows.select("*", *N.calendar_keys(F.col(time_col)))
     write_table(keyed, path, COMPAT_PARTITIONS, sort_by=[time_col], **options)
@@ -212,16 +212,5 @@ def asset_files(table: DataFrame, tier: str) -> DataFrame:
     return counted.select(F.lit(tier).alias("tier"), "asset_id", "file", share.alias("size"))
 
 
-def read_legacy(spark: SparkSession, root: str) -> DataFrame:
-    """Files in the plain asset/yyyy/mm/dd/hh layout, with their path parts as columns."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
-    # the path is a URI: %20 is a space, a plus sign is itself
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    names = ("file_asset", "file_year", "file_month", "file_day", "file_hour", "file_table")
-    return rows.select("*", *[
-        F.regexp_extract(path, LEGACY_PATH, i).alias(name) for i, name in enumerate(names, start=1)
-    ])
-
-
 def with_prefix(listing: DataFrame, prefix: str = "", column: str = "name") -> DataFrame:
     return listing.where(F.col(column).startswith(prefix)) if prefix else listing

@@ -5,9 +5,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugelake.functions import naming as N
 from gaugelake.operators import lifecycle as L
+from gaugelake.sources import documented as D
 from gaugelake.sources import lake
 
 
@@ -95,14 +97,75 @@ def test_listing(spark, readings, tmp_path):
     assert [r.rel_path for r in lake.list_files(spark, "file://" + root, "*.txt").collect()] == ["note.txt"]
 
 
-def test_legacy_reader(spark, tmp_path):
-    folder = tmp_path / "asset_001" / "2024" / "01" / "05" / "09"
-    folder.mkdir(parents=True)
-    pq.write_table(pa.table({"value": [1.0, 2.0]}), folder / "quad_ch1_20240105_09.parquet")
-    rows = lake.read_legacy(spark, str(tmp_path)).collect()
-    assert len(rows) == 2
-    assert (rows[0].file_asset, rows[0].file_year, rows[0].file_month, rows[0].file_day, rows[0].file_hour,
-            rows[0].file_table) == ("asset_001", "2024", "01", "05", "09", "quad_ch1")
+def test_documented_files_from_elsewhere(spark, tmp_path):
+    """Files that other programs wrote: with other columns, in other kinds."""
+    def put(name, **columns):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table(columns), path)
+
+    put("asset_001/2024/01/05/09/quad_ch1_20240105_09.parquet", value=[1.0, 2.0])
+    put("_x/2024/01/05/09/_t_20240105_09.parquet", value=pa.array([3, 4], pa.int64()), note=["a", None], at=pa.array([datetime(2024, 1, 5)] * 2, pa.timestamp("ns")))
+    put("007/2024/01/05/09/q_20240105_09.parquet", value=[5.5], note=pa.array([7], pa.int64()))
+    put("other/readme.parquet", value=["no data"])
+    rows = {(r.file_asset, r.file_year, r.file_month, r.file_day, r.file_hour, r.file_table, r.value, r.note, r["at"])
+            for r in D.read_documented(spark, str(tmp_path)).collect()}
+    day = ("2024", "01", "05", "09")
+    assert rows == {("asset_001", *day, "quad_ch1", 1.0, None, None), ("asset_001", *day, "quad_ch1", 2.0, None, None),
+                    ("_x", *day, "_t", 3.0, "a", datetime(2024, 1, 5)), ("_x", *day, "_t", 4.0, None, datetime(2024, 1, 5)),
+                    ("007", *day, "q", 5.5, "7", None)}
+    assert D.read_documented(spark, str(tmp_path), T.StructType.fromDDL("value double"), below=["007", "none"]).count() == 1
+
+
+ODD_NAMES = ["line 1", "_x", "007", ".hidden", "a/b", "%", "100%", "..", "", "a=b", "q+r", "[s]*?{t}", "é"]
+
+
+def test_documented_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(name, f"t{name}", datetime(2024, 1, 15, 10 + i % 2, i), float(i)) for name in ODD_NAMES for i in range(6)],
+        "asset_id string, table_name string, event_time timestamp, value double").withColumn("measures", F.create_map(F.lit("v"), "value"))
+    root = str(tmp_path / "out")
+    want = sorted(map(str, rows.collect()))
+    for _ in range(2):  # the second run replaces the files of the first
+        written = D.write_raw_files(rows, root).collect()
+        assert len(written) == 2 * len(ODD_NAMES) and {r.rows for r in written} == {3}
+        assert sorted(os.path.relpath(f, root) for f in parquet_files(root)) == sorted(r.rel_path for r in written)
+    assert os.path.exists(f"{root}/line 1/2024/01/15/10/tline 1_20240115_10.parquet") and os.path.exists(f"{root}/007/2024/01/15/11/t007_20240115_11.parquet")
+    back = D.read_documented(spark, root, rows.schema)
+    assert sorted(map(str, back.select(rows.columns).collect())) == want
+    assert {(r.file_asset, r.file_table) for r in back.collect()} == {(n, f"t{n}") for n in ODD_NAMES}
+    assert back.where("file_day <> '15' OR file_hour NOT IN ('10', '11')").count() == 0
+
+
+def test_documented_reader_takes_partition_folders(spark, readings, tmp_path):
+    root = str(tmp_path / "compat")
+    named = readings.withColumn("asset_id", F.when(F.col("asset_id") == "000", "_x").when(F.col("asset_id") == "001", "line 1+:").otherwise(F.col("asset_id")))
+    lake.write_compat(named, root)
+    got = D.read_documented(spark, root)
+    assert {(r.file_asset, r.file_table, r.file_hour, r.value) for r in got.collect()} == {
+        (r.asset_id, r.table_name, "10", r.value) for r in named.collect()}
+
+
+def test_a_broken_write_leaves_the_old_file(spark, readings, tmp_path):
+    root = str(tmp_path / "out")
+    D.write_raw_files(readings, root)
+    before = sorted((f, os.path.getsize(f)) for f in parquet_files(root))
+    broken = readings.withColumn("value", F.when(F.col("value") == 9, F.raise_error(F.lit("lost"))).otherwise(F.col("value") + 1))
+    with pytest.raises(Exception, match="lost"):
+        D.write_raw_files(broken, root)
+    assert sorted(f for f, _ in before) == sorted(parquet_files(root))
+    assert D.read_documented(spark, root).count() == 10
+    assert not [f for _, _, fs in os.walk(root) for f in fs if f.endswith(".part")]
+
+
+def test_rollup_files(spark, tmp_path):
+    rows = [("s/1", "a", datetime(2024, 1, 15, h, 5), 1.0) for h in (3, 4)]
+    minutes = spark.createDataFrame(rows, "sensor_name string, asset_id string, minute_bucket timestamp, v_mean double")
+    names = {r.rel_path for level, df in (("minute", minutes), ("hour", minutes.withColumnRenamed("minute_bucket", "hour_bucket")),
+                                          ("day", minutes.withColumnRenamed("minute_bucket", "day_bucket")))
+             for r in D.write_rollup_files(df, str(tmp_path), level).collect()}
+    assert names == {"aggregated/a/2024/01/15/03/s%2F1_minute.parquet", "aggregated/a/2024/01/15/04/s%2F1_minute.parquet",
+                     "aggregated/a/2024/01/15/s%2F1_hour.parquet", "daily/a/2024/01/s%2F1_day.parquet"}
 
 
 def test_storage_stats_by_tier(spark):
