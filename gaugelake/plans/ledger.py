@@ -67,7 +67,7 @@ def rebuild(spark: SparkSession, root: str, now: datetime) -> None:
     files = lake.list_files(spark, f"{root.rstrip('/')}/raw").where(folder)
     found = files.groupBy(part(1).alias(KEYS[0]), part(2).alias(KEYS[1]), F.url_decode(part(3)).alias(KEYS[2])).agg(
         F.count("*").alias("files"), F.lit(None).cast("bigint").alias("rows"), F.sum("size").alias("bytes"))
-    missing = found.join(landed(spark, root).select(*KEYS), list(KEYS), "left_anti")
+    missing = found.where(~F.startswith("ingest_batch", F.lit("compacted-"))).join(landed(spark, root).select(*KEYS), list(KEYS), "left_anti")
     append(missing.withColumn("landed_on", F.lit(now.strftime("%Y-%m-%d"))), root, "landed")
 
 

@@ -240,6 +240,7 @@ ORACLES: dict[str, str] = {
     ),
     "agg_cascade": _rollup(_BOTH, "measured", ["value", "props_k"], "day"),
     "agg_cascade_sensor": _rollup(_BOTH, "measured", ["value", "props_k"], "day", ("sensor_name",), digits=8),
+    "agg_refresh_late": _rollup(_SAMPLES, "samples", _QUANTITIES, "day"),
     "agg_pivot_wide": f"""SELECT * EXCLUDE (timestamp_first) FROM (
         {_rollup(_BOTH, "measured", ["value", "props_k"], "minute")})""",
     "agg_text_buckets": f"""
@@ -335,6 +336,42 @@ ORACLES: dict[str, str] = {
         SELECT asset_id, used_bytes, capacity_bytes, round(used_bytes / capacity_bytes, 6) AS usage,
           used_bytes / capacity_bytes > 0.85 AS breach
         FROM u JOIN q USING (asset_id) WHERE capacity_bytes > 0""",
+    "mon_alerts": """
+        WITH s AS (
+          SELECT 'event_value' AS name, 'half=' || (user_id % 2) || ',topic=' || event_type AS series, ts, value FROM events
+          UNION ALL
+          SELECT 'events_total', 'half=' || (user_id % 2) || ',topic=' || event_type, ts, CAST(event_id % 500 AS DOUBLE) FROM events
+        ), k AS (
+          SELECT *, epoch_us(ts) // 60000000 * 60 AS t, lag(value) OVER (PARTITION BY name, series, epoch_us(ts) // 60000000 ORDER BY ts, value) AS prev FROM s
+        ), reduced AS (
+          SELECT name, series, t, sum(CASE WHEN value >= prev THEN value - prev WHEN value < prev THEN value END) AS grown,
+            arg_min(value, (ts, value)) AS first, arg_max(value, (ts, value)) AS value
+          FROM k GROUP BY name, series, t
+        ), step AS (
+          SELECT *, coalesce(grown, 0) + coalesce(CASE WHEN lag(value) OVER w IS NULL THEN NULL WHEN first >= lag(value) OVER w THEN first - lag(value) OVER w ELSE first END, 0) AS increase
+          FROM reduced WINDOW w AS (PARTITION BY name, series ORDER BY t)
+        ), rates AS (
+          SELECT name, series, t, value,
+            sum(increase) OVER (PARTITION BY name, series ORDER BY t RANGE BETWEEN 540 PRECEDING AND CURRENT ROW) / 600.0 AS r600,
+            sum(increase) OVER (PARTITION BY name, series ORDER BY t RANGE BETWEEN 3540 PRECEDING AND CURRENT ROW) / 3600.0 AS r3600,
+            sum(increase) OVER (PARTITION BY name, series ORDER BY t RANGE BETWEEN 7140 PRECEDING AND CURRENT ROW) / 7200.0 AS r7200
+          FROM step
+        ), judged AS (
+          SELECT 'high_value' AS rule, 'critical' AS severity, name, series, t, value AS measure, value > 40 AS holds, 3600 AS hold_s FROM rates WHERE name = 'event_value'
+          UNION ALL SELECT 'low_value', 'warning', name, series, t, value, value < 20, 5400 FROM rates WHERE name = 'event_value'
+          UNION ALL SELECT 'many_events', 'warning', name, series, t, r3600, r3600 > 0.05, 3600 FROM rates WHERE name = 'events_total'
+          UNION ALL SELECT 'few_events', 'warning', name, series, t, r7200, r7200 < 0.01, 7200 FROM rates WHERE name = 'events_total'
+          UNION ALL SELECT 'started_anew', 'warning', name, series, t, r600, r600 = 0, 0 FROM rates WHERE name = 'events_total'
+        ), marked AS (
+          SELECT *, CASE WHEN holds AND NOT coalesce(lag(holds) OVER w AND t - lag(t) OVER w <= 10800, false) THEN 1 ELSE 0 END AS starts
+          FROM judged WINDOW w AS (PARTITION BY rule, name, series ORDER BY t)
+        ), numbered AS (
+          SELECT *, sum(starts) OVER (PARTITION BY rule, name, series ORDER BY t ROWS UNBOUNDED PRECEDING) AS hold FROM marked
+        )
+        SELECT rule, severity, name, series, make_timestamp(min(t) * 1000000) AS held_from, make_timestamp(max(t) * 1000000) AS held_until,
+          max(t) - min(t) AS held_seconds,
+          round(CASE WHEN rule IN ('low_value', 'few_events') THEN min(measure) ELSE max(measure) END, 6) AS peak
+        FROM numbered WHERE holds GROUP BY rule, severity, name, series, hold, hold_s HAVING max(t) - min(t) >= hold_s""",
     "mon_threshold_for": """
         WITH s AS (
           SELECT 'half=' || (user_id % 2) || ',topic=' || event_type AS series, date_trunc('minute', ts) AS t,

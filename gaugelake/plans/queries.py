@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +14,22 @@ from pyspark.sql import types as T
 from gaugelake.functions import naming as N
 from gaugelake.functions import variants as V
 from gaugelake.functions.timing import instant
+from gaugelake.operators import alerts as A
 from gaugelake.operators import flatten as FL
 from gaugelake.operators import lifecycle as L
 from gaugelake.operators import monitor as M
 from gaugelake.operators import parse as P
 from gaugelake.operators import rollup as R
 from gaugelake.operators.union import union_by_name
+from gaugelake.plans import jobs, ledger, tiers
 from gaugelake.plans import views as W
-from gaugelake.session import configure
+from gaugelake.plans.refresh import DAY_SCHEMA, RAW_SCHEMA, refresh_new
+from gaugelake.session import configure, shared_dir, with_shared_dir
 from gaugelake.sources import incremental as I
 from gaugelake.sources import kafka as K
 from gaugelake.sources import lake
 from gaugelake.streaming import windows as ST
+from gaugelake.streaming.ingest import land_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +49,16 @@ LAG_CUT = datetime(2024, 1, 20)
 LAG_LIMIT = 3_500
 ROLLUP_NOW = datetime(2024, 1, 30)
 STALE_SECONDS = 21_600
+LATE_SENSOR = "R"
+ALERT_GAP_SECONDS = 10_800
+ALERT_RULES = (
+    A.AlertRule("high_value", "event_value", ">", 40, 3600, None, "critical"),
+    A.AlertRule("low_value", "event_value", "<", 20, 5400),
+    A.AlertRule("many_events", "events_total", ">", 0.05, 3600, 3600),
+    A.AlertRule("few_events", "events_total", "<", 0.01, 7200, 7200),
+    A.AlertRule("started_anew", "events_total", "=", 0, 0, 600),
+    A.AlertRule("never", "no_such_metric", ">", 0, 0),
+)
 
 MEASURES = {"value": ["value"], "props_k": ["props", "k"]}
 
@@ -308,6 +323,29 @@ def agg_cascade_sensor(spark, sf_dir):
     return rounded(R.cascade(wide(spark, sf_dir), list(MEASURES), keys=("sensor_name",)), 8)
 
 
+@query
+def agg_refresh_late(spark, sf_dir):
+    """The day level of a lake whose files have expired when a sensor's rows come late.
+
+    All other rows land, are rolled up, mirrored and deleted from the hot tier; then the late ones land and
+    their hours and days are refreshed from both tiers.
+    """
+    place = f"{shared_dir(with_shared_dir(spark))}/agg-refresh-late-{uuid.uuid4().hex}"
+    root, cold, log = (f"{place}/{name}" for name in ("hot", "cold", "log"))
+    rows = W.sample_rows(spark, sf_dir).withColumn("ingest_batch", F.when(F.col("sensor_name") == LATE_SENSOR, "late").otherwise("on_time"))
+    rows = lake.with_time_partitions(rows, "event_time").select(*RAW_SCHEMA.fieldNames())
+    land_rows(rows.where("ingest_batch = 'on_time'"), root)
+    refresh_new(spark, root)
+    jobs.mirror(spark, root, cold, log)
+    jobs.expire(spark, root, log, datetime.now(timezone.utc).replace(tzinfo=None) + timedelta(days=365), dry_run=False)
+    land_rows(rows.where("ingest_batch = 'late'"), root)
+    gone = L.gone(jobs.read_log(spark, log))
+    refresh_new(spark, root, cold=cold, deleted=gone)
+    dates = [r["event_date"] for r in ledger.landed(spark, root).select("event_date").distinct().collect()]
+    days = tiers.rows(spark, root, cold, "day", DAY_SCHEMA, [f"event_date={d}" for d in dates], gone)
+    return rounded(R.pivot_measures(days, list(W.SAMPLE_MEASURES)))
+
+
 @query
 def agg_pivot_wide(spark, sf_dir):
     """The long rollup turned wide for chosen measures."""
@@ -486,6 +524,13 @@ def mon_threshold_for(spark, sf_dir):
     ))
 
 
+@query
+def mon_alerts(spark, sf_dir):
+    """Rules over a gauge and the rate of a counter, all in one plan."""
+    samples = W.metrics(spark, sf_dir).unionByName(W.counters(spark, sf_dir))
+    return rounded(A.fired(samples, ALERT_RULES, max_gap_s=ALERT_GAP_SECONDS))
+
+
 @query
 def mon_rollup_delay(spark, sf_dir):
     hours = R.hour_rollup(R.minute_rollup(wide(spark, sf_dir), ["value"]))

@@ -55,6 +55,22 @@ def has_replaced(spark: SparkSession, root: str) -> bool:
     return lake.exists(spark, ledger.place(root, "replaced"))
 
 
+def raw_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The whole raw table of the hot tier, each row once also while it is compacted."""
+    path = f"{root.rstrip('/')}/raw"
+    if not lake.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    table = spark.read.schema(schema).parquet(path)
+    if not has_replaced(spark, root):
+        return table
+    replaced = ledger.read(spark, root, "replaced")
+    old = replaced.select(*[F.try_url_decode(F.regexp_extract("folder", f"{k}=([^/]*)", 1)).alias(k) for k in ledger.KEYS]).distinct()
+    by = replaced.select(F.col("by").alias("ingest_batch")).distinct()
+    plain = table.where(~F.startswith("ingest_batch", F.lit(COMPACTED)))
+    finished = table.where(F.startswith("ingest_batch", F.lit(COMPACTED))).join(by, "ingest_batch", "left_semi").select(*table.columns)
+    return plain.unionByName(finished).join(old, list(ledger.KEYS), "left_anti").select(*table.columns)
+
+
 def both_tiers(spark: SparkSession, root: str, cold: str | None, name: str, folders: Sequence[str]) -> DataFrame:
     """Every file of these folders of a table, once: ``rel_path``, ``folder``, ``generation``, ``hot``, ``size``, ``mtime``, ``live``."""
     def listed(tier: str, hot: bool) -> DataFrame:

@@ -33,14 +33,16 @@ SCALAR_PAYLOAD = 96
 
 EVENT_KEY = "k INT"
 
-#: Partitions of the topic and of the measurements, whatever files the tables come in.
-PARTITIONS = 32
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of fewer splits than cores dealt out over the cores; a larger one is read as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(4 * cores, key)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ``ts`` as an instant."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -65,7 +67,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = computed_once(events(spark, sf_dir).repartition(PARTITIONS, "event_id"), k=F.from_json("props", EVENT_KEY)["k"])
+    source = computed_once(spread(events(spark, sf_dir), "event_id"), k=F.from_json("props", EVENT_KEY)["k"])
     k = F.col("k")
     text_time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -119,7 +121,7 @@ SAMPLE_MEASURES = ("quantity", "price", "discount", "tax")
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements in few buckets: quarters, two hours of a day, three minutes of an hour. Rows arrive by order, not by time."""
-    return table(spark, sf_dir, "lineitem").repartition(PARTITIONS, "l_orderkey").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.pmod("l_suppkey", F.lit(2)).cast("string").alias("asset_id"),
         F.col("l_returnflag").alias("sensor_name"),
         (F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")) + F.make_dt_interval(
@@ -134,6 +136,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``samples`` as rows of the raw table, without its partition columns."""
+    rows = samples(spark, sf_dir)
+    measures = F.create_map(*[x for name in SAMPLE_MEASURES for x in (F.lit(name), F.col(name).cast("double"))])
+    none = {"attrs": F.lit(None).cast("map<string,string>"), "partition": F.lit(None).cast("int"), "kafka_timestamp": F.lit(None).cast("bigint")}
+    return rows.select(
+        "sensor_name", F.col("sensor_name").alias("table_name"), "asset_id", "event_time", F.lit("payload").alias("time_quality"),
+        F.concat(F.lit(TOPIC_PREFIX), F.col("sensor_name")).alias("topic"), F.col("arrival_order").alias("offset"),
+        F.col("event_time").alias("ingest_ts"), "arrival_order", measures.alias("measures"), *[c.alias(n) for n, c in none.items()])
+
+
 def _file_path() -> Column:
     return F.concat(
         F.lit("asset_"), F.col("o_custkey").cast("string"), F.lit("/"),

@@ -52,3 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return folder.rstrip("/")
+
+
+def with_shared_dir(spark: SparkSession) -> SparkSession:
+    """For sessions that name no such folder: one in the warehouse, which all executors reach as well."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return spark

@@ -24,6 +24,12 @@ def capped_query(table: str, max_rows: int, ts_col: str = "timestamp", high_wate
     return f"(SELECT * FROM {table}{where} ORDER BY {ts_col} FETCH FIRST {int(max_rows)} ROWS WITH TIES) AS capped"
 
 
+def bounds_query(table: str, ts_col: str = "timestamp", high_water: datetime | None = None) -> str:
+    """Oldest and newest timestamp after ``high_water``, as a query that the database answers."""
+    where = f" WHERE {ts_col} > TIMESTAMP '{high_water.isoformat(sep=' ')}'" if high_water else ""
+    return f"(SELECT MIN({ts_col}) AS low, MAX({ts_col}) AS high FROM {table}{where}) AS bounds"
+
+
 def jdbc_options(
     url: str,
     table: str,

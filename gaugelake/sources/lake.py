@@ -21,6 +21,10 @@ TIME_PARTITIONS = ("event_date", "event_hour")
 COMPAT_PARTITIONS = ("asset_id", "year", "month", "day", "hour", "table_name")
 
 
+def codec(compression: str) -> str:
+    return _CODECS.get(compression, compression)
+
+
 def with_time_partitions(df: DataFrame, time_col: str) -> DataFrame:
     return df.withColumn("event_date", F.date_format(time_col, "yyyy-MM-dd")).withColumn(
         "event_hour", F.date_format(time_col, "HH")
@@ -50,7 +54,7 @@ def write_table(
     (
         placed.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .option("compression", _CODECS.get(compression, compression))
+        .option("compression", codec(compression))
         .option("maxRecordsPerFile", max_rows_per_file or 0)
         .partitionBy(*partition_by)
         .parquet(path)

@@ -15,6 +15,7 @@ from gaugelake.operators import parse as P
 from gaugelake.plans import ledger
 from gaugelake.plans.refresh import RAW_SCHEMA, table_path
 from gaugelake.sources import lake
+from gaugelake.sources.kafka import drop_redelivered
 
 Hook = Callable[[DataFrame], DataFrame]
 #: Day of landing in the ledger, for rows without a time of ingestion.
@@ -79,6 +80,7 @@ def start_ingest(
     compression: str = "lz4",
     max_rows_per_file: int | None = None,
     extra_partitions: Sequence[str] = (),
+    dedupe: str | None = None,
     **route_options,
 ) -> StreamingQuery:
     """Land a message stream in ``raw/`` and ``rejects/`` below ``root``.
@@ -86,7 +88,9 @@ def start_ingest(
     Each micro-batch writes its own ``ingest_batch`` partitions and replaces them when it is
     repeated, and offsets are committed after the write: rows land exactly once. Streams with other
     checkpoints, also later ones into the same ``root``, never touch them. Any lateness is accepted.
-    ``extra_partitions`` are columns of the raw table to partition by as well. Progress carries the counters ``messages_consumed``, ``messages_failed`` and
+    With ``dedupe`` (a time such as ``"10 minutes"``) messages that the source delivers again, the same
+    topic, partition and offset, land once if they come within that time of message time; state is kept
+    that long. ``extra_partitions`` are columns of the raw table to partition by as well. Progress carries the counters ``messages_consumed``, ``messages_failed`` and
     ``last_message_time``.
     """
     options = {"compression": compression, "max_rows_per_file": max_rows_per_file}
@@ -100,6 +104,9 @@ def start_ingest(
         F.max(F.when(usable, F.col("ingest_ts"))).alias("last_message_time"),
     )
 
+    if dedupe is not None:
+        counted = drop_redelivered(counted, dedupe)
+
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:

@@ -52,6 +52,19 @@ def with_bucket(windows: DataFrame, level: str) -> DataFrame:
     return windows.select(start.alias(bucket), *[c for c in windows.columns if c != f"{level}_window"])
 
 
+def latest_minutes(stored: DataFrame, keys: Sequence[str] = R.LONG_KEYS) -> DataFrame:
+    """Rows that ``start_minute_rollup`` has landed, for each minute and key the one of the latest batch.
+
+    Batches are compared as numbers, ``…-10`` is later than ``…-9``. Rows of several queries must not be
+    mixed: their batches have no common order.
+    """
+    batch = F.regexp_extract("ingest_batch", r"(\d+)$", 1).cast("bigint")
+    parts = ("minute_bucket", *keys)
+    rest = [c for c in stored.columns if c not in (*parts, *lake.TIME_PARTITIONS, "ingest_batch")]
+    newest = stored.groupBy(*parts).agg(F.max_by(F.struct(*rest), batch).alias("newest"))
+    return newest.select(*parts, "newest.*")
+
+
 def start_minute_rollup(
     rows: DataFrame, root: str, *, checkpoint: str, watermark: str = "10 minutes",
     output_mode: str = "append",
@@ -60,7 +73,7 @@ def start_minute_rollup(
     """Land closed minutes in ``minute_live/``; a repeated micro-batch replaces its own partitions.
 
     With ``output_mode="update"`` each trigger lands the minutes it has changed, closed or not; of
-    several rows for a minute the one of the latest batch counts.
+    several rows for a minute the one of the latest batch counts: read them with ``latest_minutes``.
 
     ``refresh_rollups`` owns ``minute/`` and also knows rows that came after the watermark.
     """

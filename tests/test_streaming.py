@@ -1,5 +1,6 @@
 import glob
 import os
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -7,11 +8,13 @@ from pyspark.sql import functions as F
 
 from times import utc
 from gaugelake.operators import flatten as FL
+from gaugelake.operators import monitor as M
 from gaugelake.operators import rollup as R
 from gaugelake.plans import refresh
 from gaugelake.plans import views as W
 from gaugelake.sources import kafka as K
 from gaugelake.streaming import ingest, windows
+from gaugelake.streaming.progress import record_progress
 
 
 @pytest.fixture(scope="module")
@@ -196,3 +199,52 @@ def test_updated_minutes_equal_batch(spark, tmp_path):
 def test_trigger_options():
     assert ingest.trigger_options(drain=True) == {"availableNow": True}
     assert ingest.trigger_options() == {"processingTime": "5 minutes"}
+
+
+def test_redelivered_messages_land_once(spark, make_messages, tmp_path):
+    source = tmp_path / "in"
+    rows = [("sensor-data-a", i, f'{{"v":{i}}}', utc(2024, 1, 1, 0, 0, i)) for i in range(5)]
+    make_messages(*rows, rows[2]).coalesce(1).write.mode("append").parquet(str(source))
+    root, checkpoint = str(tmp_path / "lake"), str(tmp_path / "cp")
+    land = lambda: run(ingest.start_ingest(K.replay_stream(spark, str(source)), root, checkpoint=checkpoint, drain=True, dedupe="10 minutes"))
+    land()
+    make_messages(*rows[3:], ("sensor-data-a", 9, '{"v":9}', utc(2024, 1, 1, 0, 1))).coalesce(1).write.mode("append").parquet(str(source))
+    land()
+    assert sorted(r.offset for r in refresh.table(spark, root, "raw").collect()) == [0, 1, 2, 3, 4, 9]
+
+
+def test_update_mode_is_read_as_batch(spark, replay, tmp_path):
+    """Minutes that several triggers have changed; batches 9 and 10 are told apart as numbers."""
+    root = str(tmp_path / "lake")
+    flat = lambda df: FL.explode_measures(ingest.raw_rows(df)).where("measure = 'value'")
+    run(windows.start_minute_rollup(flat(stream_of(spark, replay, 1)), root, checkpoint=str(tmp_path / "cp"), watermark="40 days", output_mode="update", drain=True))
+    stored = spark.read.parquet(f"{root}/minute_live")
+    latest = windows.latest_minutes(stored)
+    want = R.minute_rollup(flat(replay[1]), ["value"], R.LONG_KEYS)
+    assert rows(latest.select(want.columns)) == rows(want)
+    one = stored.limit(1).drop("ingest_batch")
+    several = one.withColumns({"ingest_batch": F.lit("q-9"), "value_max": F.lit(9.0)}).unionByName(
+        one.withColumns({"ingest_batch": F.lit("q-10"), "value_max": F.lit(10.0)}))
+    assert [r.value_max for r in windows.latest_minutes(several).collect()] == [10.0]
+
+
+def test_progress_becomes_metrics(spark, replay, tmp_path):
+    path = str(tmp_path / "metrics")
+    listener = record_progress(spark, path)
+    try:
+        query = run(ingest.start_ingest(stream_of(spark, replay, 3), str(tmp_path / "lake"), checkpoint=str(tmp_path / "cp"), drain=True, name="metered", dedupe="30 days"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(100):
+            seen = spark.read.parquet(path).where("name = 'batch_id'").count() if os.path.exists(f"{path}/_SUCCESS") else 0
+            if seen >= len(query.recentProgress):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.failed == 0
+    stored = spark.read.parquet(path).where("series = 'query=metered'")
+    last = {r.name: r.last_value for r in M.last_values(stored).collect()}
+    raw, refused = (spark.read.parquet(f"{tmp_path}/lake/{name}").count() for name in ("raw", "rejects"))
+    assert last["messages_consumed_total"] == raw and last["messages_failed_total"] == refused
+    assert last["open_state_rows"] > 0 and last["open_state_bytes"] > 0 and last["last_message_time"] > 0
+    assert stored.where("labels['query'] <> 'metered'").count() == 0
