@@ -53,7 +53,7 @@ WITH docs AS (
          length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          len(list_filter(words, lambda x: list_contains([
-           'the', 'of', 'and', 'to', 'in', 'is', 'that', 'for', 'it', 'was', 'on', 'are', 'as', 'with', 'be', 'by', 'pos',
+           'the', 'of', 'and', 'to', 'in', 'is', 'that', 'for', 'it', 'was', 'on', 'are', 'as', 'with', 'be', 'by', 'at',
            'this', 'from', 'an', 'or', 'not', 'have', 'le', 'la', 'les', 'de', 'des', 'du', 'et', 'en', 'un', 'une',
            'est', 'que', 'qui', 'dans', 'pour', 'sur', 'au', 'par', 'il', 'elle', 'ne', 'pas', 'der', 'die', 'das', 'und',
            'den', 'von', 'zu', 'mit', 'sich', 'auf', 'für', 'ist', 'im', 'dem', 'nicht', 'ein', 'eine', 'als', 'auch',
@@ -72,15 +72,15 @@ FROM measured
 
 ORACLES["op9_exact_top_k"] = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 5

@@ -1,18 +1,23 @@
 """Exact top-k search (operator 9) by inner product, with a pivot table.
 
-Vectors are packed into blocks that hold their distances to the pivots. A pair of a query block and a
-candidate block is one task: by the triangle inequality the largest difference of two vectors'
-distances to a pivot bounds their distance from below, and so their product from above. Candidates are
-evaluated in the order of that bound until the best of the rest is below the k-th score found.
+Every vector has its distances to the pivots. By the triangle inequality the largest difference of two
+vectors' distances to a pivot bounds their distance from below, and so their product from above.
+
+Vectors are grouped by their nearest pivot and packed into blocks. A block of queries first meets one block
+of its own group, which gives each query a score to beat. Then it meets the blocks of those groups that may
+hold a better one for some of its queries, as the least and largest distances in a group tell; inside a
+block candidates are evaluated in the order of their bounds until the best of the rest is out of reach.
+
+How much that saves is up to the data. Vectors without any clusters are nearly all as far from each pivot as
+the query is, so hardly a candidate is excluded.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,13 +25,13 @@ from pyspark.sql import functions as F
 
 from gaugelake.llm.shared import stored
 
-PIVOTS = 16
+PIVOTS = 32
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 #: Queries whose bounds are computed together.
 QUERIES_AT_ONCE = 64
 
-BLOCK = "dim int, block int, ids binary, vectors binary, pivots binary"
-FOUND = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
+BLOCK = "dim int, grp int, block int, ids binary, vectors binary, pivots binary"
+FOUND = "query_id bigint, query_key bigint, query_copies bigint, vec_id bigint, copies bigint, score bigint, evaluated bigint"
 
 
 def whole_parts(vector: Column, scale: float) -> Column:
@@ -40,102 +45,211 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def _packed(rows: DataFrame, block: Column, pivots: dict[int, np.ndarray]) -> DataFrame:
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(pdf["vector"].tolist(), np.float64)
-        dim = vectors.shape[1]
-        ids = np.column_stack([pdf["vec_id"].to_numpy(np.int64), pdf["vec_key"].to_numpy(np.int64)])
-        far = np.sqrt(((vectors[:, None, :] - pivots[dim][None]) ** 2).sum(2))
-        return pd.DataFrame({"dim": [dim], "block": [pdf["block"].iloc[0]], "ids": [ids.tobytes()],
-                             "vectors": [vectors.tobytes()], "pivots": [far.tobytes()]})
+def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """From each vector to each pivot."""
+    out = np.empty((len(vectors), len(pivots)))
+    for low in range(0, len(vectors), 4096):
+        part = slice(low, low + 4096)
+        out[part] = np.sqrt(((vectors[part, None, :] - pivots[None]) ** 2).sum(2))
+    return out
+
+
+def _grouped(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with the number of their nearest pivot and their distances to all."""
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                vectors = np.array(own["vector"].to_pylist(), np.float64)
+                far = distances(vectors, pivots[dim])
+                yield pa.RecordBatch.from_arrays(
+                    [own["vec_id"], own["vec_key"], own["copies"], own["is_query"], own["dim"], pa.array(far.argmin(1).astype(np.int32)),
+                     pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([f.tobytes() for f in far], pa.binary())],
+                    names=["vec_id", "vec_key", "copies", "is_query", "dim", "grp", "vector", "pivots"])
 
-    return rows.withColumn("block", block).groupBy("dim", "block").applyInPandas(pack, BLOCK)
+    kind = "vec_id bigint, vec_key bigint, copies bigint, is_query boolean, dim int, grp int, vector binary, pivots binary"
+    return rows.select("vec_id", "vec_key", "copies", "is_query", "dim", "vector").mapInArrow(nearest, kind)
+
+
+def _packed(rows: DataFrame, block: Column) -> DataFrame:
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids = np.column_stack([table[c].to_numpy() for c in ("vec_id", "vec_key", "copies")])
+        body = {c: [b"".join(table[c].to_pylist())] for c in ("vector", "pivots")}
+        return pa.table({"dim": [key[0]], "grp": [key[1]], "block": [key[2]], "ids": [ids.tobytes()], "vectors": body["vector"], "pivots": body["pivots"]})
+
+    return rows.withColumn("block", block).groupBy("dim", "grp", "block").applyInArrow(pack, BLOCK)
+
+
+def _spans(rows: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, float]]:
+    """(dimension, group) -> least and largest distance to each pivot, largest length; a row for each reaches the driver."""
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for dim, grp, far, vector in zip(*(batch[c].to_pylist() for c in ("dim", "grp", "pivots", "vector")), strict=True):
+                far, size = np.frombuffer(far), np.frombuffer(vector)
+                row = [far, far, np.array([float(size @ size)])]
+                old = spans.get((dim, grp))
+                spans[dim, grp] = row if old is None else [np.minimum(old[0], far), np.maximum(old[1], far), np.maximum(old[2], row[2])]
+        for (dim, grp), row in spans.items():
+            yield pa.RecordBatch.from_pydict({"dim": [dim], "grp": [grp], "low": [row[0].tolist()], "high": [row[1].tolist()], "square": row[2].tolist()})
+
+    found = rows.select("dim", "grp", "pivots", "vector").mapInArrow(reduce, "dim bigint, grp bigint, low array<double>, high array<double>, square double")
+    each = found.select("dim", "grp", "square", F.posexplode(F.arrays_zip("low", "high")).alias("p", "span"))
+    merged = each.groupBy("dim", "grp", "p").agg(F.min("span.low").alias("low"), F.max("span.high").alias("high"), F.max("square").alias("square"))
+    out: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, float]] = {}
+    for key, rows_of in groupby(merged.orderBy("dim", "grp", "p").collect(), key=lambda r: (r["dim"], r["grp"])):
+        own = list(rows_of)
+        out[key] = np.array([r["low"] for r in own]), np.array([r["high"] for r in own]), max(r["square"] for r in own)
+    return out
+
+
+def upper_bound(total: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Largest possible score of vectors ``apart`` whose squared lengths add up to ``total``; scores are whole, rounding is far below the slack."""
+    return (total - apart**2) / 2 + total * 1e-12 + 0.5
+
+
+def group_bounds(queries: np.ndarray, far: np.ndarray, span: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    """For each query the largest score that a vector of the group may have."""
+    low, high, square = span
+    apart = np.maximum(0, np.maximum(far - high, low - far).max(1))
+    return upper_bound((queries**2).sum(1) + square, apart)
 
 
 def best_of(queries: np.ndarray, query_far: np.ndarray, vectors: np.ndarray, far: np.ndarray, ids: np.ndarray,
-            query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, ids, scores) of each query's best ``k``; more only where scores tie with the k-th."""
+            query_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query number, places, scores, evaluated) of each query's best ``k``; more only where scores tie with the k-th.
+
+    What scores below a query's floor is left out.
+    """
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
     square, query_square = (vectors**2).sum(1), (queries**2).sum(1)
     for low in range(0, len(queries), QUERIES_AT_ONCE):
         part = slice(low, low + QUERIES_AT_ONCE)
         apart = np.zeros((len(queries[part]), len(vectors)))
         for p in range(far.shape[1]):
             np.maximum(apart, np.abs(query_far[part, p, None] - far[None, :, p]), out=apart)
-        total = query_square[part, None] + square[None]
-        bounds = (total - apart**2) / 2 + total * 1e-12 + 0.5  # scores are whole, rounding is far below that
+        bounds = upper_bound(query_square[part, None] + square[None], apart)
         for i, bound in enumerate(bounds):
-            query, own = low + i, query_ids[low + i]
-            bound[ids == own] = -np.inf
-            open_, step, scores, found = np.flatnonzero(bound > -np.inf), 64, np.zeros(0), np.zeros(0, np.int64)
+            query, least, evaluated = low + i, floors[low + i], 0
+            bound[ids == query_ids[query]] = -np.inf
+            open_ = np.flatnonzero((bound > -np.inf) & (bound >= least))
+            step, scores, found = 64, np.zeros(0), np.zeros(0, np.int64)
             while len(open_):
                 if step < len(open_):
                     top = np.argpartition(-bound[open_], step)
                     now, open_ = open_[top[:step]], open_[top[step:]]
                 else:
                     now, open_ = open_, open_[:0]
+                evaluated += len(now)
                 found = np.concatenate([found, now])
                 scores = np.concatenate([scores, vectors[now] @ queries[query] if 2 * len(now) < len(vectors)
                                          else (vectors @ queries[query])[now]])
                 if len(scores) >= k:
-                    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    keep = scores >= least
-                    scores, found = scores[keep], found[keep]
-                    open_ = open_[bound[open_] >= least]
+                    least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+                keep = scores >= least
+                scores, found = scores[keep], found[keep]
+                open_ = open_[bound[open_] >= least]
                 step *= 4
-            yield query, ids[found], scores
+            yield query, found, scores, evaluated
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id",
-          vector_col: str = "embedding") -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: for each row with ``is_query`` (over ``id_col``) the ``k`` best others.
+def _arrays(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row[f"{prefix}ids"], np.int64).reshape(-1, 3)
+    return ids, np.frombuffer(row[f"{prefix}vectors"]).reshape(len(ids), -1), np.frombuffer(row[f"{prefix}pivots"]).reshape(len(ids), -1)
 
-    Components become ``floor(scale * x)``; scores are exact up to 2**53. Ties go to the smaller id. Rows
-    whose id or vector is NULL, or whose vector is empty or has a NULL or non-finite component, take no
-    part; vectors of different lengths do not meet. Equal rows count once, and rows with the query's id
-    are no candidates.
-    """
+
+def found_pairs(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id",
+                vector_col: str = "embedding", pivots_of: int = PIVOTS, candidate_block: int = CANDIDATE_BLOCK,
+                query_block: int = QUERY_BLOCK) -> DataFrame:
+    """What ``top_k`` ranks: each query's best rows of each block, and one row without ids for each pair of blocks, with the number of products computed."""
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("vector", whole_parts(F.col("vector"), scale))
-    rows = rows.withColumn("vec_key", F.xxhash64("vector")).dropDuplicates(["vec_id", "vector"]).withColumn("dim", F.size("vector"))
+    rows = rows.withColumn("vec_key", F.xxhash64("vector")).groupBy("vec_id", "vec_key", "vector").agg(
+        F.count("*").alias("copies"), F.bool_or(F.coalesce("is_query", F.lit(False))).alias("is_query")).withColumn("dim", F.size("vector"))
     rows = stored(rows, "topk-vectors")
-    counts = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(
-        F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}
+    total = rows.count()
     # the rows with the smallest hashes: a bounded choice that any order of the rows gives again
     order = W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "vec_key")
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, sum(n for n, _ in counts.values()) // 4096))) == 0)
-    chosen = sample.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PIVOTS).select("dim", "vector").collect()
-    pivots = {dim: np.array([r["vector"] for r in chosen if r["dim"] == dim] or [[0.0] * dim]) for dim in counts}
-
-    def blocks(i: int, size: int) -> Column:
-        number = F.lit(1)
-        for dim, of in counts.items():
-            number = F.when(F.col("dim") == dim, math.ceil(max(of[i], 1) / size)).otherwise(number)
-        return number
-
-    n_c, n_q = blocks(0, CANDIDATE_BLOCK), blocks(1, QUERY_BLOCK)
-    block = F.xxhash64("vec_id", "vec_key")
-    candidates = _packed(rows, F.pmod(block, n_c).cast("int"), pivots)
-    queries = _packed(rows.filter("is_query"), F.pmod(block, n_q).cast("int"), pivots)
-    left = queries.select("dim", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), n_c - 1)).alias("c"),
-                          *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "pivots")])
-    pairs = candidates.select("*", F.col("block").alias("c"), F.explode(F.sequence(F.lit(0), n_q - 1)).alias("q")).join(left, ["dim", "c", "q"])
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // 4096))) == 0)
+    chosen = sample.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pivots_of).select("dim", "vector").collect()
+    dims = [r["dim"] for r in rows.select("dim").distinct().collect()]
+    pivots = {dim: np.array([r["vector"] for r in chosen if r["dim"] == dim] or [[0.0] * dim]) for dim in dims}
+    grouped = stored(_grouped(rows, pivots), "topk-grouped")
+    spans = _spans(grouped)
+    counts = {(r["dim"], r["grp"]): (r["n"], r["q"]) for r in grouped.groupBy("dim", "grp").agg(
+        F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}  # at most pivots_of for each dimension
+    blocks = {key: (-(-n // candidate_block), -(-max(q, 1) // query_block)) for key, (n, q) in counts.items()}
+
+    def number(i: int) -> Column:
+        pairs = [x for (dim, grp), n in blocks.items() for x in (F.lit(f"{dim}/{grp}"), F.lit(n[i]))]
+        return F.create_map(*pairs)[F.concat_ws("/", "dim", "grp")] if pairs else F.lit(1)
+
+    hashed = F.xxhash64("vec_id", "vec_key")
+    candidates = stored(_packed(grouped, F.pmod(hashed, number(0)).cast("int")), "topk-candidates")
+    queries = _packed(grouped.filter("is_query"), F.pmod(hashed, number(1)).cast("int"))
+    shared = df.sparkSession.sparkContext.broadcast((spans, blocks))
+
+    # one block of the own group first: scores to beat
+    q_side = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "grp", "block", "ids", "vectors", "pivots")])
+    q_side = q_side.withColumns({"dim": F.col("q_dim"), "grp": F.col("q_grp")}).withColumn("block", F.pmod("q_block", number(0)).cast("int"))
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, blocks = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, queries, far = _arrays(row, "q_")
+                least = np.full(len(ids), -np.inf)
+                if row["ids"] is not None:
+                    c_ids, vectors, c_far = _arrays(row)
+                    for i, _, scores, _ in best_of(queries, far, vectors, c_far, c_ids[:, 0], ids[:, 0], k):
+                        if len(scores) >= k:
+                            least[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+                # the blocks of groups in which some query may find better
+                places = [(grp, block) for (dim, grp), span in spans.items() if dim == row["q_dim"] and (group_bounds(queries, far, span) >= least).any()
+                          for block in range(blocks[dim, grp][0])]
+                yield pa.RecordBatch.from_pydict({
+                    "dim": pa.array([row["q_dim"]], pa.int32()), "q_ids": [row["q_ids"]], "q_vectors": [row["q_vectors"]], "q_pivots": [row["q_pivots"]],
+                    "floors": [least.tobytes()], "places": pa.array([[{"grp": g, "block": b} for g, b in places]], pa.list_(pa.struct([("grp", pa.int32()), ("block", pa.int32())])))})
+
+    first = q_side.join(candidates, ["dim", "grp", "block"], "left").mapInArrow(
+        floors, "dim int, q_ids binary, q_vectors binary, q_pivots binary, floors binary, places array<struct<grp:int,block:int>>")
+    first = stored(first, "topk-floors")
+    met = first.select("dim", "q_ids", "q_vectors", "q_pivots", "floors", F.inline("places")).join(candidates, ["dim", "grp", "block"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, _ = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                d = row["dim"]
-                ids, q_ids = (np.frombuffer(row[c], np.int64).reshape(-1, 2) for c in ("ids", "q_ids"))
-                v, q = (np.frombuffer(row[c], np.float64).reshape(-1, d) for c in ("vectors", "q_vectors"))
-                far, q_far = np.frombuffer(row["pivots"]).reshape(len(v), -1), np.frombuffer(row["q_pivots"]).reshape(len(q), -1)
-                out = [(np.repeat(q_ids[i:i + 1], len(s), 0), found, s)
-                       for i, found, s in best_of(q, q_far, v, far, ids[:, 0], q_ids[:, 0], k)]
-                if out:
-                    own, found, scores = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (own[:, 0], own[:, 1], found, scores.astype(np.int64))],
-                        names=[c.split()[0] for c in FOUND.split(", ")])
-
-    found = pairs.mapInArrow(search, FOUND)
-    ranked = found.withColumn("rank", F.row_number().over(
-        W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                ids, vectors, far = _arrays(row)
+                q_ids, queries, q_far = _arrays(row, "q_")
+                least = np.frombuffer(row["floors"])
+                own = np.flatnonzero(group_bounds(queries, q_far, spans[row["dim"], row["grp"]]) >= least)
+                out, evaluated = [np.zeros((0, 6), np.int64)], 0
+                for i, found, scores, n in best_of(queries[own], q_far[own], vectors, far, ids[:, 0], q_ids[own, 0], k, least[own]):
+                    evaluated += n
+                    out.append(np.column_stack([np.repeat(q_ids[own[i:i + 1]], len(found), 0), ids[found][:, [0, 2]], scores.astype(np.int64)]))
+                names = [c.split()[0] for c in FOUND.split(", ")]
+                rows = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([*[pa.array(rows[:, c]) for c in range(6)], pa.nulls(len(rows), pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 6, pa.array([evaluated], pa.int64())], names=names)
+
+    return met.mapInArrow(search, FOUND)
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id",
+          vector_col: str = "embedding", **block_options) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score``: for each row with ``is_query`` (over ``id_col``) the ``k`` best others.
+
+    Components become ``floor(scale * x)``; scores are exact up to 2**53. Ties go to the smaller id. Rows
+    whose id or vector is NULL, or whose vector is empty or has a NULL or non-finite component, take no
+    part; vectors of different lengths do not meet. Rows with the query's id are no candidates. Equal rows
+    are rows: as candidates they take a rank each, as queries they have an answer each.
+    """
+    found = found_pairs(df, is_query, k, scale, id_col, vector_col, **block_options).filter("evaluated IS NULL")
+    each = found.select("*", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))).alias("copy"))
+    ranked = each.withColumn("rank", F.row_number().over(
+        W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id", "copy")))
+    best = ranked.filter(F.col("rank") <= k)
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("query_copies"))).alias("answer")
+    return best.select("query_id", "rank", "vec_id", "score", again).drop("answer")

@@ -74,33 +74,68 @@ def test_chunks_and_joins(tokenizer):
 
 
 def plain_top(rows, k, scale=256):
-    whole = {i: [int(np.floor(scale * np.float64(np.float32(x)))) for x in v] for i, v in rows
-             if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    whole = [(i, [int(np.floor(scale * np.float64(np.float32(x)))) for x in v]) for i, v in rows
+             if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = {}
-    for q, v in whole.items():
+    for q, v in whole:
         if q % 2 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))
             out[q] = [(i, -s) for s, i in scores[:k]]
     return out
 
 
-def test_top_k_odd_rows(spark, monkeypatch):
+def test_top_k_odd_rows(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([-1.5, 0.0, 0.25, 1.0, 0.1]) for _ in range(4)]) for i in range(120)]
     rows += [(200, None), (202, []), (204, [1.0, None, 0.0, 0.0]), (206, [float("nan")] * 4), (208, [float("inf")] * 4),
              (None, [1.0] * 4), (210, [1.0, 2.0]), (212, [2.0, 1.0]), (214, [3.0]), rows[0]]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS score", "2 AS block", "3 AS dim")
-    for blocks in ((1024, 8192), (7, 11)):
-        monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-        monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[1])
+    for options in ({}, {"query_block": 7, "candidate_block": 11}, {"pivots_of": 1}):
         got = {}
-        for r in topk.top_k(df, df.vec_id % 2 == 0, 5).orderBy("query_id", "rank").collect():
-            assert r.rank == len(got.setdefault(r.query_id, [])) + 1
-            got[r.query_id].append((r.vec_id, r.score))
-        assert got == {q: v for q, v in plain_top(rows, 5).items() if v}
+        for r in topk.top_k(df, df.vec_id % 2 == 0, 5, **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        # row 0 is there twice: it has two answers, and takes two ranks in those of others
+        want = {q: [(i, *pair) for i, pair in enumerate(v, 1) for _ in range(2 if q == 0 else 1)] for q, v in plain_top(rows, 5).items() if v}
+        assert got == want
     assert topk.top_k(df.limit(0), df.vec_id % 2 == 0).count() == 0
 
 
+def test_top_k_skips_far_groups(spark):
+    """Clustered vectors: nearly all products are saved. Without clusters the results are as right, but little is saved."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16)) * 4
+    for spread, least, most in ((0.05, 0.0, 0.2), (8.0, 0.2, 1.01)):
+        vectors = centres[rng.integers(20, size=3000)] + rng.normal(size=(3000, 16)) * spread
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        options = {"query_block": 16, "candidate_block": 64, "pivots_of": 40}
+        found = topk.found_pairs(df, df.vec_id % 50 == 0, 5, **options)
+        evaluated = found.where("evaluated IS NOT NULL").selectExpr("sum(evaluated)").first()[0]
+        assert least <= evaluated / (60 * 2999) < most
+        whole = np.floor(256 * vectors)
+        got = {}
+        for r in topk.top_k(df, df.vec_id % 50 == 0, 5, **options).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        for q in range(0, 3000, 50):
+            scores = (whole @ whole[q]).astype(int).tolist()
+            best = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:5]
+            assert got[q] == {n: (i, -s) for n, (s, i) in enumerate(best, 1)}
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    vectors, queries, pivots = (np.floor(rng.normal(size=(n, 6)) * 200) for n in (300, 40, 9))
+    far, q_far = topk.distances(vectors, pivots), topk.distances(queries, pivots)
+    span = far.min(0), far.max(0), float((vectors**2).sum(1).max())
+    assert (topk.group_bounds(queries, q_far, span) >= (queries @ vectors.T).max(1)).all()
+    ids = np.arange(300)
+    floors = np.sort(queries @ vectors.T, axis=1)[:, -7].astype(float)
+    for i, found, scores, evaluated in topk.best_of(queries, q_far, vectors, far, ids, np.full(40, -1), 5, floors):
+        want = queries[i] @ vectors.T
+        assert sorted(scores, reverse=True)[:5] == sorted(want, reverse=True)[:5] and (scores == want[found]).all() and evaluated <= 300
+
+
 def plain_components(rows, width, percent):
     sets = []
     for _, text in rows:
