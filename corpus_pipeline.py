@@ -6,7 +6,7 @@ Five stages, each over all that the one before kept:
 2. MinHash near-dedup: the document with the smallest id stays of each group, once;
 3. suffix-array dedup: passages that a document with a smaller id has too are cut out of the text;
 4. secret scan: found secrets are replaced by their kind;
-5. best-fit packing: pieces of the texts with their places in sequences.
+5. best-fit packing: pieces of the texts, with their token ids (little-endian unsigned 32-bit), and their places in sequences.
 
 Stages 1 to 4 return the columns of their input in its order; ``n_chars``, where there is one, follows
 the text. A NULL text is empty and goes in stage 1; a document whose text is cut out whole stays, empty.
@@ -66,7 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(stored(packing.pieces(docs, tokenizer_path()), "pieces"))
+    return packing.packed(stored(packing.pieces(docs, tokenizer_path(), with_ids=True), "pieces"))
 
 
 STAGES = [
