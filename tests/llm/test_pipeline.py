@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, and each stage on odd rows."""
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline as P
@@ -44,6 +45,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want_pieces(tokenizer, rows, packing.CAPACITY)
     check_packed(out, packing.CAPACITY)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in out)
 
 
 def test_stages_on_odd_rows(spark, odd_docs, odd_rows, no_docs):
