@@ -4,7 +4,9 @@
     spark-submit -m gaugelake.plans.jobs refresh --root … --hour 2024-01-15T10
     spark-submit -m gaugelake.plans.jobs mirror  --root … --cold … --log …
     spark-submit -m gaugelake.plans.jobs expire  --root … --log … [--delete]
-    spark-submit -m gaugelake.plans.jobs stats   --root …
+    spark-submit -m gaugelake.plans.jobs compact --root … --before 2024-01-15T10
+    spark-submit -m gaugelake.plans.jobs status  --root … --log … --metrics …
+    spark-submit -m gaugelake.plans.jobs stats   --root … --out …
 """
 
 from __future__ import annotations
@@ -17,22 +19,37 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.constants import RAW_FLUSH_AGE, RETENTION_DAYS, TOPIC_PATTERN
-from gaugelake.operators import filejobs as J
+from gaugelake.constants import (
+    BACKLOG_LIMIT, RAW_FLUSH_AGE, RETENTION_DAYS, ROLLUP_DELAY_S, STALE_AFTER_S, TOPIC_PATTERN, USAGE_LIMIT,
+)
 from gaugelake.functions import naming as N
+from gaugelake.operators import alerts as A
+from gaugelake.operators import filejobs as J
 from gaugelake.operators import lifecycle as L
-from gaugelake.plans import ledger, tiers
+from gaugelake.operators import monitor as M
+from gaugelake.plans import compact, ledger, tiers
+from gaugelake.plans import pull as PL
 from gaugelake.plans.refresh import LEVELS, TABLES, hour_folders, refresh_new, refresh_rollups, table, table_path
 from gaugelake.session import configure
 from gaugelake.sources import documented, lake
 from gaugelake.sources.kafka import kafka_stream
 from gaugelake.streaming.ingest import start_ingest
 
+METRICS_SCHEMA = "ts timestamp, name string, labels map<string,string>, series string, value double, date string"
 LOG_SCHEMA = "rel_path string, event string, logged_at timestamp"
 #: Age of a part on the cold tier that no running copy writes any more.
 PART_AGE = "1 DAY"
 
 
+#: Component, metric, limit, and whether the metric is a time whose age counts.
+HEALTH_LIMITS = [
+    ("ingest", "last_message_time", float(STALE_AFTER_S), True),
+    ("rollup", "rollup_delay_seconds", float(ROLLUP_DELAY_S), False),
+    ("upload", "files_pending_upload", float(BACKLOG_LIMIT), False),
+    ("storage", "storage_usage", USAGE_LIMIT, False),
+]
+
+
 def _utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -143,6 +160,47 @@ def stats(spark: SparkSession, root: str) -> DataFrame:
     return per_asset.unionByName(per_tier).unionByName(total).withColumn("size_mb", N.megabytes(F.col("size_bytes")))
 
 
+def status(spark: SparkSession, root: str, log: str, metrics: str, now: datetime, capacity_bytes: int | None = None) -> DataFrame:
+    """Write what is known about the lake to the metrics table, one sample of each gauge; returns the samples.
+
+    ``files_pending_upload``, ``bytes_pending_upload``; ``storage_used_bytes``, ``storage_files`` and, with a capacity,
+    ``storage_usage``; ``landed_rows``, ``landed_files``; ``rollup_delay_seconds`` since the end of the newest
+    hour that is rolled up (none before the first).
+    """
+    files = J.snapshot(lake.data_files(lake.list_files(spark, root)), "status")
+    pending = L.backlog_report(L.backlog(files, read_log(spark, log))).select(
+        F.col("pending_files").alias("files_pending_upload"), F.col("pending_bytes").alias("bytes_pending_upload"))
+    used = F.coalesce(F.sum("size"), F.lit(0))
+    usage = [(used / F.lit(float(capacity_bytes))).alias("storage_usage")] if capacity_bytes else []
+    stored = files.agg(used.alias("storage_used_bytes"), F.count("*").alias("storage_files"), *usage)
+    landed = ledger.landed(spark, root).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"landed_{c}") for c in ("rows", "files")])
+    newest = F.max(F.to_timestamp(F.concat_ws(" ", "event_date", "event_hour"), "yyyy-MM-dd HH")) + F.expr("INTERVAL 1 HOUR")
+    delay = ledger.read(spark, root, "refreshed").agg(
+        (F.unix_seconds(L.instant(now, "timestamp")) - F.unix_seconds(newest)).alias("rollup_delay_seconds"))
+    samples = [M.as_metrics(report, now) for report in (pending, stored, landed, delay)]
+    out = J.snapshot(reduce(DataFrame.unionByName, samples).where("value IS NOT NULL"), "status-samples")
+    M.write_metrics(out, metrics)
+    return out
+
+
+def health(metrics: DataFrame, now: datetime) -> DataFrame:
+    """``component``, ``healthy``, ``issues`` from the last samples of all series, and ``overall``: whether all known ones are.
+
+    Of a component without samples nothing is known (NULL), and it does not count.
+    """
+    spark = metrics.sparkSession
+    limits = spark.createDataFrame(HEALTH_LIMITS, "component string, name string, `limit` double, of_time boolean")
+    measure = F.when(F.col("of_time"), F.unix_seconds(L.instant(now, "timestamp")) - F.col("last_value")).otherwise(F.col("last_value"))
+    # grouped by name and series first, so at most a row for each series meets the few limits
+    seen = limits.join(M.last_values(metrics), "name", "left").withColumn("over", measure > F.col("limit"))
+    judged = seen.groupBy("component").agg(
+        (~F.bool_or("over")).alias("healthy"),
+        F.array_sort(F.collect_set(F.when(F.col("over"), F.concat_ws(" of ", "name", F.nullif("series", F.lit("")))))).alias("issues"))
+    overall = judged.agg(F.lit("overall").alias("component"), F.coalesce(F.bool_and("healthy"), F.lit(True)).alias("healthy"),
+                         F.array_sort(F.flatten(F.collect_list("issues"))).alias("issues"))
+    return judged.unionByName(overall)
+
+
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gaugelake")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -178,6 +236,27 @@ def _arguments() -> argparse.ArgumentParser:
     job.add_argument("--table", action="append", help="only this table; may be given more than once")
     job.add_argument("--delete", action="store_true")
 
+    job = jobs.add_parser("compact", help="merge small raw files of hours that are over")
+    job.add_argument("--root", required=True)
+    job.add_argument("--before", type=datetime.fromisoformat, required=True)
+
+    job = jobs.add_parser("pull", help="take what is new in a database table")
+    job.add_argument("--url", required=True)
+    job.add_argument("--table", required=True)
+    job.add_argument("--ts-col", default="timestamp")
+    job.add_argument("--to", required=True)
+    job.add_argument("--state", required=True)
+
+    job = jobs.add_parser("status", help="backlog, storage, landing and rollup delay as metrics")
+    job.add_argument("--root", required=True)
+    job.add_argument("--log", required=True)
+    job.add_argument("--metrics", required=True)
+    job.add_argument("--capacity-bytes", type=int)
+
+    for name, what in (("health", "whether the components are healthy"), ("alerts", "rules that have fired")):
+        job = jobs.add_parser(name, help=what)
+        job.add_argument("--metrics", required=True)
+
     job = jobs.add_parser("export", help="files under the documented names")
     job.add_argument("--root", required=True)
     job.add_argument("--to", required=True)
@@ -213,6 +292,16 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "expire":
         results = expire(spark, args.root, args.log, _utc_now(), args.age_days, dry_run=not args.delete, tables=args.table)
         L.cleanup_report(results).show(truncate=False)
+    elif args.job == "compact":
+        compact.compact(spark, args.root, args.before)
+    elif args.job == "pull":
+        PL.pull(spark, PL.JdbcTable(args.url, args.table, args.ts_col), args.to, args.state)
+    elif args.job == "status":
+        status(spark, args.root, args.log, args.metrics, _utc_now(), args.capacity_bytes)
+    elif args.job == "health":
+        health(spark.read.schema(METRICS_SCHEMA).parquet(args.metrics), _utc_now()).show(truncate=False)
+    elif args.job == "alerts":
+        A.fired(spark.read.schema(METRICS_SCHEMA).parquet(args.metrics)).show(truncate=False)
     elif args.job == "export":
         export(spark, args.root, args.to, args.hour, args.cold, args.log).show(truncate=False)
     elif args.job == "stats":

@@ -14,7 +14,7 @@ from gaugelake.operators import rollup as R
 from gaugelake.plans import jobs, ledger, tiers
 from gaugelake.plans import queries as Q
 from gaugelake.plans.refresh import RAW_SCHEMA, TABLES, hour_folders, refresh_new, refresh_rollups, table
-from gaugelake.sources import lake
+from gaugelake.sources import documented, lake
 from gaugelake.streaming.ingest import land_rows
 
 T0 = datetime(2024, 1, 1)
@@ -296,6 +296,43 @@ def test_listing_shows_all_names(spark, tmp_path):
     assert got == {(n, 4) for n in ("_x/a.parquet", ".y/b/c/d.parquet", "e.parquet", "line 1/i+j.parquet")}
 
 
+def test_status_and_health(spark, tmp_path):
+    root, cold, log, metrics = (str(tmp_path / n) for n in ("hot", "cold", "log", "metrics"))
+    small_lake(spark, root, range(0, 7200, 60), "q-0")
+    first = {r.name: r.value for r in jobs.status(spark, root, log, metrics, T0 + timedelta(hours=3)).collect()}
+    assert first["files_pending_upload"] == first["storage_files"] == first["landed_files"] == 2 and first["landed_rows"] == 360
+    assert first["bytes_pending_upload"] == first["storage_used_bytes"] > 0 and "rollup_delay_seconds" not in first
+    refresh_new(spark, root)
+    jobs.mirror(spark, root, cold, log)
+    used = int(first["storage_used_bytes"])
+    second = {r.name: r.value for r in jobs.status(spark, root, log, metrics, T0 + timedelta(hours=4), capacity_bytes=used).collect()}
+    assert second["files_pending_upload"] == 0 and second["rollup_delay_seconds"] == 7200 and second["storage_usage"] > 1
+    table_ = spark.read.schema(jobs.METRICS_SCHEMA).parquet(metrics)
+    found = {r.component: (r.healthy, r.issues) for r in jobs.health(table_, T0 + timedelta(hours=4)).collect()}
+    assert found == {"ingest": (None, []), "rollup": (True, []), "upload": (True, []), "storage": (False, ["storage_usage"]),
+                     "overall": (False, ["storage_usage"])}
+    # hours later: the rollups are late, and no message has come
+    late = spark.createDataFrame([(T0 + timedelta(hours=4), "last_message_time", {"query": "q"}, "query=q", T0.timestamp(), None)], jobs.METRICS_SCHEMA)
+    jobs.status(spark, root, log, metrics, T0 + timedelta(hours=9))
+    found = {r.component: (r.healthy, r.issues) for r in jobs.health(spark.read.schema(jobs.METRICS_SCHEMA).parquet(metrics).unionByName(late), T0 + timedelta(hours=9)).collect()}
+    assert found["ingest"] == (False, ["last_message_time of query=q"]) and not found["rollup"][0] and not found["overall"][0]
+    assert [r.healthy for r in jobs.health(late.limit(0), T0).where("component = 'overall'").collect()] == [True]
+    empty = str(tmp_path / "none")
+    assert {r.value for r in jobs.status(spark, empty, log, str(tmp_path / "m2"), T0).collect()} == {0.0}
+
+
+def test_export_follows_the_documented_names(spark, tmp_path):
+    root, out = str(tmp_path / "hot"), str(tmp_path / "out")
+    small_lake(spark, root, [0, 60, 3600], "q-0")
+    refresh_new(spark, root)
+    names = {r.rel_path for r in jobs.export(spark, root, out, [T0, T0 + timedelta(hours=1)]).collect()}
+    assert {"line 1/2024/01/01/00/t_20240101_00.parquet", "_x/2024/01/01/01/t_20240101_01.parquet", "aggregated/007/2024/01/01/00/s_minute.parquet",
+            "aggregated/_x/2024/01/01/s_hour.parquet", "daily/line 1/2024/01/s_day.parquet"} <= names and len(names) == 18
+    back = documented.read_documented(spark, out)
+    assert sorted((r.file_asset, r.file_hour, r.sensor_name, r.event_time) for r in back.collect()) == sorted(
+        (a, f"{h:02d}", "s", T0 + timedelta(hours=h, minutes=m)) for a in ("line 1", "_x", "007") for h, m in ((0, 0), (0, 1), (1, 0)))
+
+
 def test_command_line():
     args = jobs._arguments().parse_args(["refresh", "--root", "r", "--hour", "2024-01-15T10", "--hour", "2024-01-15T11"])
     assert args.hour == [datetime(2024, 1, 15, 10), datetime(2024, 1, 15, 11)] and args.level == "both"
