@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.llm.shared import splits, stored, texts
-from gaugelake.llm.wordbpe import WordEncoder, encoder
+from gaugelake.llm.wordbpe import WordEncoder, encoder, grouped, splits_words
 
 CHUNK_BITS = 11  # a cut every 2048 bytes on average
 MIN_CHUNK = 256
@@ -122,13 +122,28 @@ def repeat_bitmap(docs: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _whole_texts(path: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            for low, high in grouped(rows):
+                ids = pa.array(list(words.encode_all(rows[low:high])), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), ids], names=["doc_id", "ids"])
+
+    return encode
+
+
 def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers) of each row of ``df``.
 
     Equal to the library's ids without added special tokens. A NULL text is empty and has no ids;
-    repeated rows are returned as often as they come; a NULL id stays NULL.
+    repeated rows are returned as often as they come; a NULL id stays NULL. Chunks are used again only where
+    the tokenizer's settings say that texts fall apart at spaces; any other tokenizer gets whole texts.
     """
     docs = texts(df, id_col, text_col)
+    if not splits_words(path):
+        return docs.mapInArrow(_whole_texts(path), "doc_id bigint, ids binary")
     told = docs.sparkSession.sparkContext.broadcast(repeat_bitmap(docs))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,14 @@
-"""BPE ids of texts, for tokenizers that drop white space between words.
+"""BPE ids of texts.
 
-Such a tokenizer gives a text the ids of its parts between spaces, one after the other, so the library
-encodes each distinct part once per worker and texts are put together from those.
+A tokenizer that drops white space between words gives a text the ids of its parts between spaces, one after
+the other, so the library encodes each distinct part once per worker and texts are put together from those.
+That holds for one family of tokenizers, which its settings show (``splits_words``); with any other the
+library encodes and decodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,6 +27,29 @@ _LETTERS, _NUMBERS, _SPACES = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb
 _LATIN = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
+# The settings of tokenizers that ``split`` knows.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+
+
+@lru_cache(maxsize=8)
+def splits_words(path: str) -> bool:
+    """Whether the tokenizer encodes a text as its parts between spaces, one by one."""
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    return (
+        (settings["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+        and (settings["pre_tokenizer"] or {}).get("pretokenizers") == _PRE_TOKENIZERS
+        and settings["post_processor"] is None and settings["decoder"] is None
+        and {k: settings["model"].get(k) for k in _MODEL} == _MODEL
+        and all(t["special"] and t["content"].startswith("<|") for t in settings["added_tokens"])
+    )
+
+
 def split(text: str) -> list[str]:
     """Parts that the tokenizer treats one by one: its own ones for Latin-1, else what stands between spaces."""
     try:
@@ -41,6 +67,7 @@ class WordEncoder(dict):
     def __init__(self, path: str, max_parts: int = MAX_PARTS):
         super().__init__()
         self.max_parts = max_parts
+        self.by_parts = splits_words(path)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,6 +85,9 @@ class WordEncoder(dict):
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; what is new in some of them goes through the library in one call."""
+        if not self.by_parts:
+            yield from (self._library(text).tobytes() for text in texts)
+            return
         for low, high in grouped(texts):
             if len(self) > self.max_parts:
                 self.clear()
@@ -77,7 +107,9 @@ class WordEncoder(dict):
         return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
-        """As the library does without a decoder: tokens joined by spaces."""
+        """As the library does; without a decoder that is tokens joined by spaces."""
+        if not self.by_parts:
+            return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
         tokens = self.tokens
         return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 

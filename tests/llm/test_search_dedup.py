@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,6 +74,20 @@ def test_chunks_and_joins(tokenizer):
     assert len(set(a) & set(b)) >= len(a) - 2
 
 
+def test_another_tokenizer(spark, odd_docs, odd_rows):
+    """One that keeps white space: whole texts go through the library."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert wordbpe.splits_words(queries.tokenizer_path()) and not wordbpe.splits_words(path)
+    library = Tokenizer.from_file(path)
+    want = Counter()
+    for i, text in odd_rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want[i, np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, r.ids, r.decoded) for r in bpe.decoded(bpe.encoded(odd_docs, path), path).collect()) == want
+
+
 def plain_top(rows, k, scale=256):
     whole = [(i, [int(np.floor(scale * np.float64(np.float32(x)))) for x in v]) for i, v in rows
              if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
