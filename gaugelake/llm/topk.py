@@ -27,6 +27,8 @@ from gaugelake.llm.shared import stored
 
 PIVOTS = 32
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Pivots after which a block is looked at, and the share of open candidates above which the others are left out.
+FIRST_PIVOTS, USELESS = 8, 0.95
 #: Queries whose bounds are computed together.
 QUERIES_AT_ONCE = 64
 
@@ -127,9 +129,13 @@ def best_of(queries: np.ndarray, query_far: np.ndarray, vectors: np.ndarray, far
     for low in range(0, len(queries), QUERIES_AT_ONCE):
         part = slice(low, low + QUERIES_AT_ONCE)
         apart = np.zeros((len(queries[part]), len(vectors)))
+        total = query_square[part, None] + square[None]
         for p in range(far.shape[1]):
             np.maximum(apart, np.abs(query_far[part, p, None] - far[None, :, p]), out=apart)
-        bounds = upper_bound(query_square[part, None] + square[None], apart)
+            # where the first pivots exclude next to nothing, the products themselves cost less than the other pivots
+            if p + 1 == FIRST_PIVOTS and (upper_bound(total, apart) >= floors[part, None]).mean() > USELESS:
+                break
+        bounds = upper_bound(total, apart)
         for i, bound in enumerate(bounds):
             query, least, evaluated = low + i, floors[low + i], 0
             bound[ids == query_ids[query]] = -np.inf
