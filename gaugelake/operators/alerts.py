@@ -50,17 +50,18 @@ RULES = (
 def steps(metrics: DataFrame, by: Sequence[str] = SERIES, step_s: int = STEP_S) -> DataFrame:
     """``by``, ``at`` (start of the step, epoch seconds), ``value`` (the last), ``increase`` since the step before.
 
-    A counter that falls has started anew from zero. NULL and NaN samples do not count.
+    A counter that falls has started anew from zero. NULL and NaN samples do not count; samples of a series
+    have distinct times.
     """
     seconds = F.unix_micros("ts")
     at = (F.floor(seconds / (step_s * MICROS)) * step_s).cast("bigint")
     kept = metrics.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*by, "ts", "value", at.alias("at"))
-    inside = Window.partitionBy(*by, "at").orderBy("ts", "value")
+    inside = Window.partitionBy(*by, "at").orderBy("ts")
     before = F.lag("value").over(inside)
     grown = kept.withColumn("grown", _growth(before, F.col("value")))
     reduced = grown.groupBy(*by, "at").agg(
-        F.sum("grown").alias("inner"), F.min_by("value", F.struct("ts", "value")).alias("first"),
-        F.max_by("value", F.struct("ts", "value")).alias("value"))
+        F.sum("grown").alias("inner"), F.min_by("value", "ts").alias("first"),
+        F.max_by("value", "ts").alias("value"))
     last = F.lag("value").over(Window.partitionBy(*by).orderBy("at"))
     return reduced.select(*by, "at", "value", (F.coalesce("inner", F.lit(0.0)) + F.coalesce(_growth(last, F.col("first")), F.lit(0.0))).alias("increase"))
 

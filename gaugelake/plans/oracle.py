@@ -345,7 +345,7 @@ ORACLES: dict[str, str] = {
           SELECT *, epoch_us(ts) // 60000000 * 60 AS t, lag(value) OVER (PARTITION BY name, series, epoch_us(ts) // 60000000 ORDER BY ts, value) AS prev FROM s
         ), reduced AS (
           SELECT name, series, t, sum(CASE WHEN value >= prev THEN value - prev WHEN value < prev THEN value END) AS grown,
-            arg_min(value, (ts, value)) AS first, arg_max(value, (ts, value)) AS value
+            arg_min(value, ts) AS first, arg_max(value, ts) AS value
           FROM k GROUP BY name, series, t
         ), step AS (
           SELECT *, coalesce(grown, 0) + coalesce(CASE WHEN lag(value) OVER w IS NULL THEN NULL WHEN first >= lag(value) OVER w THEN first - lag(value) OVER w ELSE first END, 0) AS increase

@@ -155,10 +155,13 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet", below
 
     start = spark.createDataFrame([(b.strip("/"),) for b in below], "rel_path string").selectExpr(
         "'' AS path", "rel_path", "CAST(NULL AS BIGINT) AS size", "CAST(NULL AS TIMESTAMP) AS mtime", "true AS is_dir")
-    found = start.coalesce(1).mapInPandas(listing(False), LISTED)
-    for level in range(SPREAD_LEVELS):
-        # a fixed number of partitions: adaptive execution would merge the few bytes of paths into one task
-        found = found.repartition(tasks, "rel_path").mapInPandas(listing(level == SPREAD_LEVELS - 1), LISTED)
+    # a fixed number of partitions: adaptive execution would merge the few bytes of paths into one task
+    if len(below) >= tasks:  # folders enough for all tasks
+        found = start.repartition(tasks, "rel_path").mapInPandas(listing(True), LISTED)
+    else:
+        found = start.coalesce(1).mapInPandas(listing(False), LISTED)
+        for level in range(SPREAD_LEVELS):
+            found = found.repartition(tasks, "rel_path").mapInPandas(listing(level == SPREAD_LEVELS - 1), LISTED)
     name = re.escape(pattern).replace(r"\*", "[^/]*")
     return found.where(~F.col("is_dir") & F.col("rel_path").rlike(f"(^|/){name}$")).drop("is_dir")
 
