@@ -66,7 +66,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(stored(packing.pieces(docs, tokenizer_path(), with_ids=True), "pieces"))
+    # places are found without the ids, which move once, to their places
+    row = f"{OWN}row"
+    pieces = stored(packing.pieces(docs, tokenizer_path(), with_ids=True).withColumn(row, F.monotonically_increasing_id()), "pieces")
+    places = packing.packed(pieces.drop("ids")).select(row, "sequence_id", "offset")
+    return pieces.join(places, row).drop(row)
 
 
 STAGES = [
