@@ -97,7 +97,11 @@ def test_mirror_equals_source_and_late_rows_keep_the_hour(spark, tmp_path):
     assert refresh_new_hours(cold=cold, deleted=deleted) == []
     jobs.mirror(spark, root, cold, log)
     assert table(spark, cold, "raw").count() == 93
-    assert {r.asset_id for r in jobs.stats(spark, root).collect()} == {"line 1", "_x", "007"}
+    totals = {(r.tier, r.asset_id): (r.files, r.size_bytes) for r in jobs.stats(spark, root).collect()}
+    assert {asset for _, asset in totals} == {"line 1", "_x", "007", "*"}
+    files = lake.data_files(lake.list_files(spark, root)).collect()
+    assert totals["*", "*"] == (len(files), sum(f.size for f in files))
+    assert totals["raw", "*"][0] == sum(f.rel_path.startswith("raw/") for f in files)
 
 
 FUTURE = datetime.now() + timedelta(days=60)
