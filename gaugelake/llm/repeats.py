@@ -3,7 +3,7 @@
 The minimiser of a window is the least hash of its ``core`` consecutive units. Equal windows have equal
 minimisers, and consecutive windows mostly share theirs, so they travel together as one super-k-mer.
 
-1. Minimisers that occur in one document only are found first; their windows cannot repeat.
+1. Minimisers that occur in one document only are found first, by an aggregate; their windows cannot repeat.
 2. Super-k-mers of the others travel to the bucket of their minimiser, equal ones of a batch once. A
    minimiser of very many documents is divided by a second one with other hashes.
 3. A bucket tells for each distinct super-k-mer which of its windows also start in a smaller document.
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake.llm.shared import sort_id, splits, stored
@@ -56,6 +55,31 @@ def runs_of(dup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _shared(docs: DataFrame, kind: Kind, hot_docs: int) -> DataFrame:
+    """``h`` and ``is_hot`` of the minimisers that more than one document has.
+
+    Aggregated before the shuffle, so that a minimiser of all documents reaches it as one row per task.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            texts = {own: text for own, text in zip(zip(ids.tolist(), keys.tolist(), strict=True), batch.column(1), strict=True)}
+            found = [np.unique(kind.minimisers(kind.units(text.as_py()), 0)) for text in texts.values()]
+            h = np.concatenate([np.zeros(0, np.uint64), *found])
+            doc = np.repeat(np.array([own[0] for own in texts], np.int64), [len(f) for f in found])
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(h))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[ends[:len(first)] - 1]),
+                 pa.array((ends[:len(first)] - first).astype(np.int64))], names=["h", "low", "high", "n"])
+
+    rows = docs.select("doc_id", "text", "tkey").mapInArrow(read, "h bigint, low bigint, high bigint, n bigint")
+    return rows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).filter(
+        "low < high").select("h", (F.col("n") >= hot_docs).alias("is_hot"))
+
+
 def _occurring(docs: DataFrame, kind: Kind) -> DataFrame:
     """``h``, ``doc``, ``tkey`` and ``others``: the distinct minimisers of each batch with the texts that have them."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +208,9 @@ def with_repeats(df: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: st
     copies = named.join(owners, "sha").filter("doc_id > owner").select("doc_id", "tkey").distinct()
     copies = stored(copies, "repeats-copies")
 
-    by_h = W.partitionBy("h")
-    # the others of a batch come in the order of their ids
-    last = F.coalesce(F.element_at("others", -1)["doc"], F.col("doc"))
-    shared = _occurring(docs, kind).select(
-        "*", F.min("doc").over(by_h).alias("low"), F.max(last).over(by_h).alias("high"),
-        F.sum(1 + F.coalesce(F.size("others"), F.lit(0))).over(by_h).alias("n")).filter("low < high")
-    hits = shared.select("h", (F.col("n") >= hot_docs).alias("is_hot"), F.inline(F.concat(
+    # a join, which adaptive execution splits where one minimiser is in very many documents
+    shared = stored(_shared(docs, kind, hot_docs), "repeats-shared")
+    hits = _occurring(docs, kind).join(shared, "h").select("h", "is_hot", F.inline(F.concat(
         F.array(F.struct("doc", "tkey")), F.coalesce("others", F.array().cast("array<struct<doc:bigint,tkey:bigint>>")))))
     hits = stored(hits.select(F.col("doc").alias("doc_id"), "tkey", "h", "is_hot"), "repeats-minimisers")
 

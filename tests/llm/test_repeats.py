@@ -97,6 +97,24 @@ def test_rows_without_ids_do_not_share_a_row(spark, monkeypatch):
     assert len(word_marks) == 25 and all("tkey" in columns for columns in names)
 
 
+def test_a_minimiser_of_all_documents_is_no_window(spark):
+    """Counted by an aggregate with a part before the shuffle; each document has a few minimisers of its own."""
+    line = " ".join(f"licence{k}" for k in range(30))
+    rows = [(i, f"{line} {' '.join(f'own{i}x{k}' for k in range(20))}") for i in range(400)] + [(7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8).select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
+    kind, holders = wordwindows.WordWindows(13), {}
+    for i, text in rows:
+        for h in set(kind.minimisers(kind.units(text or ""), 0).astype(np.int64).tolist()):
+            holders.setdefault(h, set()).add(i)
+    want = {(h, len(ids) >= 100) for h, ids in holders.items() if len(ids) > 1}
+    shared = repeats._shared(docs, kind, 100)
+    assert {tuple(r) for r in shared.collect()} == want and any(hot for _, hot in want)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("partial_sum") == 1
+    assert repeats._shared(docs.limit(0), kind, 100).count() == 0
+
+
 def test_whole_characters(spark):
     docs = spark.createDataFrame([(1, "é" * 60 + "ab"), (2, "ã" + "é" * 60 + "cd")], "doc_id bigint, text string")
     for r in suffixes.without_repeats(docs, 21, whole_characters=True, carry=("text",)).collect():
