@@ -111,7 +111,7 @@ def test_a_minimiser_of_all_documents_is_no_window(spark):
     shared = repeats._shared(docs, kind, 100)
     assert {tuple(r) for r in shared.collect()} == want and any(hot for _, hot in want)
     plan = shared._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and plan.count("partial_sum") == 1
+    assert "Window" not in plan and "partial_sum" in plan
     assert repeats._shared(docs.limit(0), kind, 100).count() == 0
 
 
