@@ -55,6 +55,12 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(" AND ".join(f"{N.quote(key)} IS NOT NULL" for key in keys))
 
 
+def minute_of(time_col: str) -> Column:
+    """The minute of a time, by whole numbers; ``date_trunc`` would build a calendar time for each row and measure."""
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(60_000_000)))
+
+
 def minute_rollup(
     rows: DataFrame,
     columns: Sequence[str] | None = None,
@@ -71,7 +77,7 @@ def minute_rollup(
         F.coalesce(*[F.col(N.quote(c)).cast("double") for c in columns]).isNotNull()
     )
     return measured.groupBy(
-        F.date_trunc("minute", time_col).alias("minute_bucket"), *keys
+        minute_of(time_col).alias("minute_bucket"), *keys
     ).agg(
         *stat_aggregates(columns),
         F.min_by(time_col, order_col).alias("timestamp_first"),

@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows of a table of fewer splits than cores dealt out over the cores; a larger one is read as it is split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(4 * cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, key)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,19 +119,25 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE_MEASURES = ("quantity", "price", "discount", "tax")
 
 
+def whole(x: Column) -> Column:
+    """What ``round`` makes of a DOUBLE, halves away from zero; that one goes through decimal text for every value."""
+    return F.when(F.abs(x - F.rint(x)) == 0.5, x + F.signum(x) * 0.5).otherwise(F.rint(x) + 0.0)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements in few buckets: quarters, two hours of a day, three minutes of an hour. Rows arrive by order, not by time."""
+    quarter = F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp"))
+    # in seconds as a whole number: an interval would go through decimals for every row
+    later = F.col("l_partkey") % 2 * 3600 + F.col("l_linenumber") % 3 * 600 + F.col("l_suppkey") % 60
     return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.pmod("l_suppkey", F.lit(2)).cast("string").alias("asset_id"),
         F.col("l_returnflag").alias("sensor_name"),
-        (F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")) + F.make_dt_interval(
-            F.lit(0), (F.col("l_partkey") % 2).cast("int"), (F.col("l_linenumber") % 3 * 10).cast("int"), (F.col("l_suppkey") % 60).cast("decimal(18,6)")
-        )).alias("event_time"),
+        F.timestamp_micros(F.unix_micros(quarter) + later * 1_000_000).alias("event_time"),
         F.col("l_quantity").alias("quantity"),
         # whole numbers: their means do not end halfway between two rounded values
-        F.round("l_extendedprice").alias("price"),
-        F.round(F.col("l_discount") * 100).alias("discount"),
-        F.round(F.col("l_tax") * 100).alias("tax"),
+        whole(F.col("l_extendedprice")).alias("price"),
+        whole(F.col("l_discount") * 100).alias("discount"),
+        whole(F.col("l_tax") * 100).alias("tax"),
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_suppkey") % 60).cast("bigint").alias("arrival_order"),
     )
 

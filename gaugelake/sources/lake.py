@@ -48,7 +48,9 @@ def write_table(
     share (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) unless ``max_rows_per_file`` bounds
     them; a small bound makes very many files of a large table.
     """
-    placed = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    # what the sort compares stands together at the start of a row: it reads the rows in no order, and from memory
+    first = list(dict.fromkeys((*partition_by, *sort_by)))
+    placed = df.select(*first, *[c for c in df.columns if c not in first]).hint("rebalance", *[F.col(c) for c in partition_by])
     if sort_by:
         placed = placed.sortWithinPartitions(*partition_by, *sort_by)
     (

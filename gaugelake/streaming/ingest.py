@@ -52,19 +52,20 @@ def land_rows(keyed: DataFrame, root: str, extra_partitions: Sequence[str] = (),
     the ledger says so.
     """
     spark, seen = keyed.sparkSession, Observation()
-    stamped = keyed.observe(seen, F.collect_set(F.struct("event_date", "event_hour", "ingest_batch")).alias("keys"),
-                            F.max("ingest_ts").cast("date").cast("string").alias("landed_on"))
+    # sets of plain columns: observed expressions are interpreted row by row
+    folder = F.concat(F.lit("event_date="), "event_date", F.lit("/event_hour="), "event_hour")
+    stamped = keyed.withColumn("_folder", folder).observe(
+        seen, F.collect_set("_folder").alias("folders"), F.collect_set("ingest_batch").alias("batches"),
+        F.max("ingest_ts").cast("date").cast("string").alias("landed_on")).drop("_folder")
     lake.write_table(
         stamped, table_path(root, "raw"), (*lake.TIME_PARTITIONS, *extra_partitions, "ingest_batch"),
         sort_by=[c for c in ("asset_id", "sensor_name", "event_time") if c not in extra_partitions], **write_options,
     )
     found = seen.get
-    keys = {(k["event_date"], k["event_hour"], k["ingest_batch"]) for k in found["keys"] or ()}
-    if not keys:
+    folders, batches = sorted(found["folders"] or ()), sorted(found["batches"] or ())
+    if not folders:
         return
-    hours = {f"event_date={day}/event_hour={hour}" for day, hour, _ in keys}
-    written = lake.read_folders(spark, table_path(root, "raw"), RAW_SCHEMA, sorted(hours)).where(
-        F.col("ingest_batch").isin(sorted({batch for _, _, batch in keys})))
+    written = lake.read_folders(spark, table_path(root, "raw"), RAW_SCHEMA, folders).where(F.col("ingest_batch").isin(batches))
     ledger.append(ledger.entries_of(written, found["landed_on"] or LANDED_UNKNOWN), root, "landed")
 
 

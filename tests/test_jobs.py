@@ -343,3 +343,14 @@ def test_command_line():
     assert not jobs._arguments().parse_args(["expire", "--root", "r", "--log", "l"]).delete
     with pytest.raises(SystemExit):
         jobs._arguments().parse_args(["refresh", "--root", "r"])
+
+
+def test_landing_observes_plain_columns(spark, tmp_path, monkeypatch):
+    root, seen, write = str(tmp_path), [], lake.write_table
+    monkeypatch.setattr(lake, "write_table", lambda df, *args, **options: (seen.append(df), write(df, *args, **options)))
+    small_lake(spark, root, (0, 3600), "q-0")
+    (line,) = [x for x in seen[0]._jdf.queryExecution().analyzed().toString().splitlines() if "CollectMetrics" in x]
+    assert "collect_set" in line and "struct(" not in line and "concat" not in line
+    landed = ledger.landed(spark, root).collect()
+    assert sorted((r.event_hour, r.ingest_batch, r.rows) for r in landed) == [
+        (f"{(T0 + timedelta(hours=h)).hour:02d}", "q-0", 3) for h in (0, 1)]

@@ -201,3 +201,10 @@ def test_names_and_paths(spark):
         "day": "daily/a/2024/01/s_day.parquet", "inside": "a/b.parquet", "outside": "b.parquet", "stem": "s_hour",
         "mb": 1.5, "iso": "2024-01-05T09:07:00.250000",
     }
+
+
+def test_what_the_sort_compares_starts_the_row(readings, tmp_path):
+    lake.write_raw(readings, str(tmp_path))
+    for file in parquet_files(tmp_path):
+        names = pq.read_schema(file).names
+        assert names[:3] == ["asset_id", "sensor_name", "event_time"] and sorted(names) == sorted(readings.columns)

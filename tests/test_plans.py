@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from gaugelake.plans import views as W
 from gaugelake.plans.queries import QUERIES
 
 
@@ -83,3 +85,20 @@ def test_envelopes_read_no_payload(plan_of, name):
 def test_targets_are_cut_before_the_rollup(plan_of, name):
     plan = plan_of(name)
     assert plan.index("HashAggregate") < plan.index("Filter")  # plans read from the result down
+
+
+def test_tables_of_a_split_for_each_core_are_not_dealt_out(spark):
+    cores = spark.sparkContext.defaultParallelism
+    even, fewer = (spark.range(0, 100, 1, n).toDF("id") for n in (cores, cores - 1))
+    assert W.spread(even, "id") is even
+    assert W.spread(fewer, "id").rdd.getNumPartitions() > cores
+
+
+def test_samples_take_no_decimals(spark, sf_dir):
+    values = [0.0, -0.0, 0.3, -0.3, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 12345.5, 2.0**52 + 1, 4503599627370495.5, 1e300,
+              float("nan"), float("inf"), float("-inf"), None, 7.000000000000001, 100.49, 100.51]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    both = df.select("x", W.whole(F.col("x")).alias("ours"), F.round("x").alias("theirs")).collect()
+    assert [(r.x, str(r.ours)) for r in both if str(r.ours) != str(r.theirs)] == []
+    plan = W.samples(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "make_dt_interval" not in plan

@@ -115,3 +115,12 @@ def test_pivot_of_long_rollups(minutes_input):
     wide = R.pivot_measures(R.minute_rollup(long, ["value"], R.LONG_KEYS), ["temperature", "humidity"])
     direct = R.minute_rollup(minutes_input, ["temperature", "humidity"])
     assert sorted(map(str, wide.select(*direct.columns).collect())) == sorted(map(str, direct.collect()))
+
+
+def test_minutes_are_whole_numbers_and_equal_date_trunc(spark):
+    micros = [None, 0, -1, 59_999_999, 60_000_000, -60_000_000, -62_135_596_800_000_001, 253_402_300_800_000_000]
+    times = spark.createDataFrame([(m,) for m in micros], "m bigint").select(F.timestamp_micros("m").alias("t"))
+    both = times.select(R.minute_of("t").alias("ours"), F.date_trunc("minute", "t").alias("theirs"))
+    assert both.where(~F.col("ours").eqNullSafe(F.col("theirs"))).count() == 0
+    rows = times.selectExpr("t AS event_time", "'s' AS sensor_name", "'a' AS asset_id", "1D AS v", "1L AS arrival_order")
+    assert "date_trunc" not in R.minute_rollup(rows, ["v"])._jdf.queryExecution().analyzed().toString()
