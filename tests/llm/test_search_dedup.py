@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -12,6 +13,7 @@ import __spark_entry__ as contract
 from gaugelake.llm import bpe, neardup, queries, topk, wordbpe
 from gaugelake.llm.components import components
 from gaugelake.llm.oracle import ORACLES
+from gaugelake.llm.shared import stored
 from oracle_check import compare, duck
 
 
@@ -138,6 +140,68 @@ def test_top_k_skips_far_groups(spark):
             assert got[q] == {n: (i, -s) for n, (s, i) in enumerate(best, 1)}
 
 
+def test_top_k_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    """What query blocks become, once for each cell that they meet, shows neither in the size of the table nor in that of stored rows."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(topk, "stored", seen)
+    rng = np.random.default_rng(9)
+    vectors = np.repeat(rng.normal(size=(60, 8)), 10, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    options = {"query_block": 16, "candidate_block": 32, "pivots_of": 4}
+    found = topk.found_pairs(df, df.vec_id % 5 == 0, 5, **options)
+    rows = found.collect()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 5 and not any("Broadcast" in plan for plan in plans)
+    # of equal vectors no more than k rows of a cell are kept
+    assert max(Counter(r.query_id for r in rows if r.evaluated is None).values()) <= 5 * 4
+    got = {}
+    for r in topk.top_k(df, df.vec_id % 5 == 0, 5, **options).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    whole = np.floor(256 * vectors)
+    for q in range(0, 600, 5):
+        best = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).astype(int).tolist()) if i != q)[:5]
+        assert got[q] == {n: (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert len(got) == 120
+
+
+def test_top_k_large_and_long_vectors(spark):
+    """Numbers beyond single precision and beyond exact squares, and blocks that make several cells."""
+    rng = np.random.default_rng(10)
+    for size, cell in ((1.0, 64), (40.0, 64), (3e4, 2**22), (3e6, 64)):
+        vectors = rng.normal(size=(300, 5)) * size
+        vectors[:, 4] = 0 if size == 3e6 else vectors[:, 4]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(topk, "CELL_NUMBERS", cell)
+            got = {}
+            for r in topk.top_k(df, df.vec_id % 3 == 0, 4, scale=2.0, pivots_of=3, candidate_block=6, query_block=9).collect():
+                got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        whole = np.floor(2 * vectors).astype(int).astype(object)
+        for q in range(0, 300, 3):
+            best = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:4]
+            assert got[q] == {n: (i, -s) for n, (s, i) in enumerate(best, 1)}
+
+
+def test_narrow_vectors():
+    rng = np.random.default_rng(11)
+    for most, size in ((127, 1), (128, 2), (32767, 2), (40_000, 4), (2.0**40, 8)):
+        whole = np.floor(rng.uniform(-most, most, (7, 3)))
+        whole[2, 1] = -most
+        packed, ids = topk.narrow(whole), np.arange(21).reshape(7, 3)
+        assert packed.itemsize == size
+        back = topk._arrays(pa.scalar(ids.tobytes()), pa.scalar(packed.tobytes()), 3)
+        assert (back[0] == ids).all() and (back[1] == whole).all()
+    pivots = np.floor(rng.normal(size=(9, 6)) * 200)
+    for size in (200, 1e9):
+        vectors = np.floor(rng.normal(size=(50, 6)) * size)
+        assert np.allclose(topk.distances(vectors, pivots), np.linalg.norm(vectors[:, None] - pivots[None], axis=2), rtol=1e-12)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     vectors, queries, pivots = (np.floor(rng.normal(size=(n, 6)) * 200) for n in (300, 40, 9))
